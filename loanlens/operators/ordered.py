@@ -83,12 +83,12 @@ def exact_quantiles(
     counted = (df.where(F.col(value_col).isNotNull())
                .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n")))
     cum = running_totals(counted, value_col, ["_n"], group_cols)
-    sizes = counted.groupBy(*group_cols).agg(F.sum("_n").alias("_N"))
+    sizes = counted.groupBy(*group_cols).agg(F.sum("_n").alias("_total"))
     ranks = []
     for i, p in enumerate(probs):
-        k = F.lit(p) * (F.col("_N") - 1)
+        k = F.lit(p) * (F.col("_total") - 1)
         ranks += [F.floor(k).alias(f"_lo{i}"), F.ceil(k).alias(f"_hi{i}"), (k - F.floor(k)).alias(f"_fr{i}")]
-    sized = sizes.select(*group_cols, "_N", *ranks)
+    sized = sizes.select(*group_cols, "_total", *ranks)
     if group_cols:
         joined = cum.join(bounded_broadcast(sized), group_cols)
     else:
@@ -116,13 +116,21 @@ def exact_quantiles(
     return picked.select(*group_cols, *outs)
 
 
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.5,),
+                     group_cols: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+    """Exact quantiles of several numeric columns in one pass: the columns are unpivoted to
+    (column, value) and ``column`` becomes one more group key. One row per (column, group)."""
+    group_cols = list(group_cols)
+    cast_cols = [F.col(c).cast("double").alias(c) for c in cols]
+    long = df.select(*group_cols, *cast_cols).unpivot(group_cols, list(cols), "column", "value")
+    return exact_quantiles(long, "value", probs, ["column", *group_cols], names)
+
+
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """Global exact medians of several columns, returned as a small dict (one value per column)."""
-    out = {}
-    for c in cols:
-        row = exact_quantiles(df.select(c), c, (0.5,), names=["m"]).first()
-        out[c] = None if row is None else row["m"]
-    return out
+    rows = column_quantiles(df, cols, (0.5,), names=["m"]).collect()  # one row per column
+    found = {r["column"]: r["m"] for r in rows}
+    return {c: found.get(c) for c in cols}
 
 
 def sequential_index(df: DataFrame, order_col: str, name: str = "seq") -> DataFrame:

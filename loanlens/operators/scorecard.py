@@ -46,7 +46,7 @@ def score(df: DataFrame, stats: Mapping[str, tuple[float, float]] | None = None,
           pd_col: str = "pd") -> DataFrame:
     """Append the scorecard probability of default."""
     stats = stats or fit_zscore(df, list(weights))
-    return df.withColumn(pd_col, sigmoid(margin(stats, weights, intercept)))
+    return df.withColumn("margin", margin(stats, weights, intercept)).withColumn(pd_col, sigmoid(F.col("margin")))
 
 
 def fit_intercept(df: DataFrame, stats: Mapping[str, tuple[float, float]] | None = None,

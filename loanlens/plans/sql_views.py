@@ -82,12 +82,12 @@ bf_base AS (
   CROSS JOIN bf_med m),
 v_borrower_features AS (
   SELECT *,
-         {clip('1 - late_30_59 * 0.12', 0.0, 1.0)} AS gst_compliance_score,
+         {clip('1 - CAST(late_30_59 AS DOUBLE) * 0.12', 0.0, 1.0)} AS gst_compliance_score,
          CAST({clip('late_30_59 + late_60_89', 0, 12)} AS INTEGER) AS emi_delay_count,
          {clip('debt_ratio', 0.0, 5.0)} AS cashflow_stress_ratio,
          {clip('revolving_utilization * 0.6 + 0.1', 0.0, 1.0)} AS working_capital_usage,
          {clip('1.2 - debt_ratio * 0.4', 0.2, 2.0)} AS revenue_trend_index,
-         {clip('1 - late_90_days * 0.2 - late_30_59 * 0.05', 0.0, 1.0)} AS payment_history_score,
+         {clip('1 - CAST(late_90_days AS DOUBLE) * 0.2 - CAST(late_30_59 AS DOUBLE) * 0.05', 0.0, 1.0)} AS payment_history_score,
          CAST(late_30_59 > 2 AS DOUBLE) + CAST(late_90_days > 0 AS DOUBLE) AS supplier_payment_risk
   FROM bf_base)"""
 
@@ -107,9 +107,47 @@ def _margin(intercept: float) -> str:
 V_BORROWER = BORROWER_FEATURES + f""",
 bz AS (SELECT {_zstats()} FROM v_borrower_features),
 v_borrower AS (
-  SELECT b.*, {sigmoid(_margin(K.FIXTURE_INTERCEPT))} AS pd
+  SELECT b.*, {_margin(K.FIXTURE_INTERCEPT)} AS margin, {sigmoid(_margin(K.FIXTURE_INTERCEPT))} AS pd
   FROM v_borrower_features b CROSS JOIN bz z)"""
 
 
 def with_views(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(c.strip().rstrip(",") for c in ctes) + "\n" + body
+
+
+V_APPLICATIONS = """
+v_applications AS (
+  SELECT o.o_orderkey AS loan_id, o.o_custkey AS company_id,
+         CAST(18 + floor(c.c_acctbal / 100) AS INTEGER) AS person_age,
+         CASE WHEN c.c_acctbal >= 0 THEN c.c_acctbal * 12 END AS person_income,
+         CASE WHEN o.o_orderstatus <> 'P' THEN o.o_totalprice / 5000.0 END AS person_emp_length,
+         r.r_name AS person_home_ownership,
+         c.c_mktsegment AS loan_intent,
+         chr(64 + TRY_CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER)) AS loan_grade,
+         o.o_totalprice AS loan_amnt,
+         CAST(5.0 AS DOUBLE) + CAST(2.5 AS DOUBLE) * TRY_CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS loan_int_rate,
+         o.o_totalprice / nullif(CASE WHEN c.c_acctbal >= 0 THEN c.c_acctbal * 12 END, 0.0) AS loan_percent_income,
+         CASE o.o_orderstatus WHEN 'F' THEN 'Y' WHEN 'O' THEN 'N' END AS cb_person_default_on_file,
+         CAST(year(o.o_orderdate) - 1990 AS INTEGER) AS cb_person_cred_hist_length,
+         CAST(o.o_orderstatus = 'F' AND o.o_totalprice > 200000 AS INTEGER) AS loan_status
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+                LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+                LEFT JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+
+V_LOANS = """
+v_loans AS (
+  SELECT l.l_orderkey AS order_id, l.l_linenumber AS line_no, l.l_returnflag || l.l_linestatus AS loan_status,
+         o.o_orderpriority AS grade, l.l_tax * 100 AS interest_rate, l.l_discount * 100 AS debt_to_income,
+         CAST(l.l_linenumber - 1 AS INTEGER) AS delinq_2y,
+         l.l_extendedprice * (1 - l.l_discount) AS total_credit_utilized, l.l_extendedprice AS total_credit_limit,
+         CAST(l.l_returnflag = 'R' AS INTEGER) AS num_accounts_30d_past_due,
+         CAST(l.l_linestatus = 'O' AS INTEGER) AS num_historical_failed_to_pay,
+         CAST(l.l_quantity AS INTEGER) AS open_credit_lines, CAST(NULL AS INTEGER) AS num_mort_accounts,
+         o.o_totalprice AS annual_income, 100.0 - l.l_tax * 1000 AS account_never_delinq_percent
+  FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
+
+
+def title_case(x: str) -> str:
+    """Python str.title()-like capitalisation of space-separated words."""
+    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")

@@ -130,3 +130,58 @@ def borrowers(spark: SparkSession, sf_dir: str) -> DataFrame:
     if slot not in _STATS:
         _STATS[slot] = fit_zscore(feat, K.MSME_FEATURES)
     return score(feat, _STATS[slot], K.SCORECARD_WEIGHTS, K.FIXTURE_INTERCEPT)
+
+
+def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consumer loan applications: one row per order (applicant = its customer)."""
+    orders = read_table(spark, sf_dir, "orders",
+                        ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
+    customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
+    geo = customer_geo(spark, sf_dir)
+    cust = customer.join(bounded_broadcast(geo, _DIM_ROWS), customer.c_nationkey == geo.n_nationkey, "left")
+    j = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
+    digit = F.substring("o_orderpriority", 1, 1).try_cast("int")
+    income = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") * 12)
+    return j.select(
+        F.col("o_orderkey").alias("loan_id"),
+        F.col("o_custkey").alias("company_id"),
+        (F.lit(18) + F.floor(F.col("c_acctbal") / 100)).cast("int").alias("person_age"),
+        income.alias("person_income"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 5000.0).alias("person_emp_length"),
+        F.col("r_name").alias("person_home_ownership"),
+        F.col("c_mktsegment").alias("loan_intent"),
+        F.expr("char(64 + try_cast(substring(o_orderpriority, 1, 1) as int))").alias("loan_grade"),
+        F.col("o_totalprice").alias("loan_amnt"),
+        (F.lit(5.0) + F.lit(2.5) * digit).alias("loan_int_rate"),
+        F.try_divide(F.col("o_totalprice"), F.nullif(income, F.lit(0.0))).alias("loan_percent_income"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("Y")).when(F.col("o_orderstatus") == "O", F.lit("N"))
+        .alias("cb_person_default_on_file"),
+        (F.year("o_orderdate") - 1990).cast("int").alias("cb_person_cred_hist_length"),
+        ((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 200000)).cast("int").alias("loan_status"),
+    )
+
+
+def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-domain loan records: one row per line item with its order's grade."""
+    lineitem = read_table(spark, sf_dir, "lineitem",
+                          ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                           "l_returnflag", "l_linestatus"])
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice", "o_orderpriority"])
+    j = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey, "left")
+    return j.select(
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_linenumber").alias("line_no"),
+        F.concat("l_returnflag", "l_linestatus").alias("loan_status"),
+        F.col("o_orderpriority").alias("grade"),
+        (F.col("l_tax") * 100).alias("interest_rate"),
+        (F.col("l_discount") * 100).alias("debt_to_income"),
+        (F.col("l_linenumber") - 1).cast("int").alias("delinq_2y"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("total_credit_utilized"),
+        F.col("l_extendedprice").alias("total_credit_limit"),
+        (F.col("l_returnflag") == "R").cast("int").alias("num_accounts_30d_past_due"),
+        (F.col("l_linestatus") == "O").cast("int").alias("num_historical_failed_to_pay"),
+        F.col("l_quantity").cast("int").alias("open_credit_lines"),
+        F.lit(None).cast("int").alias("num_mort_accounts"),
+        F.col("o_totalprice").alias("annual_income"),
+        (F.lit(100.0) - F.col("l_tax") * 1000).alias("account_never_delinq_percent"),
+    )
