@@ -151,3 +151,35 @@ def title_case(x: str) -> str:
     """Python str.title()-like capitalisation of space-separated words."""
     return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
             f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+
+
+V_PANEL = """
+pm AS (
+  SELECT l.l_suppkey AS company_id, CAST(month(l.l_shipdate) AS INTEGER) AS month,
+         sum(CAST(l.l_extendedprice AS DECIMAL(15,2))) AS s_sales,
+         sum(CAST(l.l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l.l_discount AS DECIMAL(15,2)))) AS s_inflow,
+         sum(CAST(l.l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l.l_discount AS DECIMAL(15,2)))
+             * (1 + CAST(l.l_tax AS DECIMAL(15,2)))) AS s_gst,
+         sum(CAST(l.l_quantity AS DECIMAL(15,2)) * CAST(p.p_retailprice AS DECIMAL(15,2))) AS s_outflow,
+         sum(CAST(l.l_discount AS DECIMAL(15,2))) AS s_disc, sum(CAST(l.l_tax AS DECIMAL(15,2))) AS s_tax,
+         count(*) AS n_lines,
+         CAST(count(*) FILTER (WHERE l.l_returnflag = 'R') AS INTEGER) AS returns_in_month
+  FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey
+  WHERE l.l_shipdate >= TIMESTAMP '1997-01-01' AND l.l_shipdate < TIMESTAMP '1998-01-01'
+  GROUP BY 1, 2),
+v_panel AS (
+  SELECT pm.company_id, pm.month, r.r_name AS sector,
+         CAST(s_sales AS DOUBLE) AS monthly_sales, CAST(s_gst AS DOUBLE) AS gst_turnover,
+         CAST(s_inflow AS DOUBLE) AS monthly_inflow, CAST(s_outflow AS DOUBLE) AS monthly_outflow,
+         CAST(s_disc AS DOUBLE) / n_lines * 10 AS credit_utilization,
+         CAST(s_tax AS DOUBLE) / n_lines * 10 AS working_capital_usage,
+         returns_in_month,
+         CAST(sum(returns_in_month) OVER (PARTITION BY pm.company_id ORDER BY pm.month
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS emi_delay_count,
+         CAST(CAST(s.s_acctbal AS DECIMAL(15,2)) + sum(s_inflow - s_outflow) OVER (PARTITION BY pm.company_id ORDER BY pm.month
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS account_balance,
+         coalesce(greatest(s.s_acctbal, 0.0), 0.0) AS opening_balance,
+         CAST(sum(returns_in_month) OVER (PARTITION BY pm.company_id) * 3 > sum(n_lines) OVER (PARTITION BY pm.company_id) AS INTEGER) AS "default"
+  FROM pm LEFT JOIN supplier s ON pm.company_id = s.s_suppkey
+          LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+          LEFT JOIN region r ON n.n_regionkey = r.r_regionkey)"""

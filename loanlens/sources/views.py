@@ -185,3 +185,59 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").alias("annual_income"),
         (F.lit(100.0) - F.col("l_tax") * 1000).alias("account_never_delinq_percent"),
     )
+
+
+def _dec(c: str):
+    """Money/rate inputs as exact decimals so monthly sums do not depend on summation order."""
+    return F.col(c).cast("decimal(15,2)")
+
+
+def panel_monthly(spark: SparkSession, sf_dir: str, year: int = 1997) -> DataFrame:
+    """Company (supplier) x month panel of one calendar year, before running columns."""
+    lo = F.lit(f"{year}-01-01").cast("timestamp_ntz")
+    hi = F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")
+    lineitem = (read_table(spark, sf_dir, "lineitem",
+                           ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                            "l_returnflag", "l_shipdate"])
+                .where((F.col("l_shipdate") >= lo) & (F.col("l_shipdate") < hi)))
+    part = read_table(spark, sf_dir, "part", ["p_partkey", "p_retailprice"])
+    lines = lineitem.join(part, lineitem.l_partkey == part.p_partkey, "left")
+    ep, d, t, q, rp = _dec("l_extendedprice"), _dec("l_discount"), _dec("l_tax"), _dec("l_quantity"), _dec("p_retailprice")
+    return lines.groupBy(F.col("l_suppkey").alias("company_id"), F.month("l_shipdate").alias("month")).agg(
+        F.sum(ep).alias("_sales"),
+        F.sum(ep * (1 - d)).alias("_inflow"),
+        F.sum(ep * (1 - d) * (1 + t)).alias("_gst"),
+        F.sum(q * rp).alias("_outflow"),
+        F.sum(d).alias("_disc"), F.sum(t).alias("_tax"), F.count(F.lit(1)).alias("_lines"),
+        F.count_if(F.col("l_returnflag") == "R").cast("int").alias("returns_in_month"),
+    )
+
+
+def panel(spark: SparkSession, sf_dir: str, year: int = 1997) -> DataFrame:
+    """Monthly company panel with cumulative delay counter and running balance (written once)."""
+    def build() -> DataFrame:
+        monthly = panel_monthly(spark, sf_dir, year)
+        supplier = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])
+        nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
+        region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
+        geo = nation.join(bounded_broadcast(region, _DIM_ROWS), nation.n_regionkey == region.r_regionkey, "left")
+        sup = supplier.join(bounded_broadcast(geo, _DIM_ROWS), supplier.s_nationkey == geo.n_nationkey, "left")
+        j = monthly.join(sup.select("s_suppkey", "s_acctbal", "r_name"), monthly.company_id == sup.s_suppkey, "left")
+        w = Window.partitionBy("company_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy("company_id")
+        net = F.col("_inflow") - F.col("_outflow")
+        return j.select(
+            "company_id", "month", F.col("r_name").alias("sector"),
+            F.col("_sales").cast("double").alias("monthly_sales"),
+            F.col("_gst").cast("double").alias("gst_turnover"),
+            F.col("_inflow").cast("double").alias("monthly_inflow"),
+            F.col("_outflow").cast("double").alias("monthly_outflow"),
+            (F.col("_disc").cast("double") / F.col("_lines") * 10).alias("credit_utilization"),
+            (F.col("_tax").cast("double") / F.col("_lines") * 10).alias("working_capital_usage"),
+            "returns_in_month",
+            F.sum("returns_in_month").over(w).cast("int").alias("emi_delay_count"),
+            (F.col("s_acctbal").cast("decimal(15,2)") + F.sum(net).over(w)).cast("double").alias("account_balance"),
+            F.coalesce(F.greatest(F.col("s_acctbal"), F.lit(0.0)), F.lit(0.0)).alias("opening_balance"),
+            (F.sum("returns_in_month").over(whole) * 3 > F.sum("_lines").over(whole)).cast("int").alias("default"),
+        )
+    return materialise(spark, f"panel:{sf_dir}:{year}", build)
