@@ -183,3 +183,20 @@ v_panel AS (
   FROM pm LEFT JOIN supplier s ON pm.company_id = s.s_suppkey
           LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
           LEFT JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+
+
+def _legacy_margin() -> str:
+    feats = ["revolving_utilization", "debt_ratio", "late_90_days"]
+    terms = [f"({K.SCORECARD_WEIGHTS[f]}) * ((b.{f} - z.m_{f}) / (z.s_{f} + {K.ZSCORE_EPS}))" for f in feats]
+    return " + ".join(terms) + f" + ({K.FIXTURE_INTERCEPT})"
+
+
+V_SCORES = V_BORROWER + f""",
+v_scores AS (
+  SELECT 'scorecard' AS model, company_id AS id, "default" AS y_true, round(pd, 6) AS prob FROM v_borrower
+  UNION ALL
+  SELECT 'legacy3', b.company_id, b."default", round({sigmoid(_legacy_margin())}, 6) FROM v_borrower b CROSS JOIN bz z
+  UNION ALL
+  SELECT 'proxy', company_id, "default",
+         round({clip('0.35 * revolving_utilization + 0.30 * least(emi_delay_count / 4.0, 1.0) + 0.25 * least(CAST(late_90_days AS DOUBLE), 2.0) / 2.0 + 0.10 * (1 - payment_history_score)', 0.0, 1.0)}, 6)
+  FROM v_borrower)"""

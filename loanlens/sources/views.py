@@ -124,12 +124,41 @@ def borrowers(spark: SparkSession, sf_dir: str) -> DataFrame:
     Features are written once per session; the z-score fit (one aggregate row) is kept per
     session; the PD itself is a projection over the written table.
     """
-    key = f"borrowers:{sf_dir}"
-    feat = materialise(spark, key, lambda: borrower_features(spark, sf_dir))
-    slot = (spark.sparkContext.applicationId, key)
+    feat = borrower_table(spark, sf_dir)
+    return score(feat, borrower_stats(spark, sf_dir), K.SCORECARD_WEIGHTS, K.FIXTURE_INTERCEPT)
+
+
+def borrower_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(spark, f"borrowers:{sf_dir}", lambda: borrower_features(spark, sf_dir))
+
+
+def borrower_stats(spark: SparkSession, sf_dir: str) -> dict:
+    """Per-feature (mean, sample std) of the borrower table, fitted once per session."""
+    slot = (spark.sparkContext.applicationId, f"borrowers:{sf_dir}")
     if slot not in _STATS:
-        _STATS[slot] = fit_zscore(feat, K.MSME_FEATURES)
-    return score(feat, _STATS[slot], K.SCORECARD_WEIGHTS, K.FIXTURE_INTERCEPT)
+        _STATS[slot] = fit_zscore(borrower_table(spark, sf_dir), K.MSME_FEATURES)
+    return _STATS[slot]
+
+
+# Three-feature legacy scorecard (utilisation, debt ratio, 90-day delinquencies).
+LEGACY_FEATURES = ["revolving_utilization", "debt_ratio", "late_90_days"]
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores table (model, id, y_true, prob): full scorecard, legacy 3-feature scorecard and the
+    closed-form risk proxy, probabilities rounded to 6 places."""
+    from ..operators.features import risk_proxy_msme
+    from ..operators.scorecard import margin
+    from ..functions.scalars import sigmoid
+    b = borrowers(spark, sf_dir)
+    stats = borrower_stats(spark, sf_dir)
+    legacy_w = {f: K.SCORECARD_WEIGHTS[f] for f in LEGACY_FEATURES}
+    def model(name, p):
+        return b.select(F.lit(name).alias("model"), F.col("company_id").alias("id"),
+                        F.col("default").alias("y_true"), F.round(p, 6).alias("prob"))
+    return (model("scorecard", F.col("pd"))
+            .unionByName(model("legacy3", sigmoid(margin(stats, legacy_w, K.FIXTURE_INTERCEPT))))
+            .unionByName(model("proxy", risk_proxy_msme())))
 
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
