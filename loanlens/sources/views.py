@@ -270,3 +270,10 @@ def panel(spark: SparkSession, sf_dir: str, year: int = 1997) -> DataFrame:
             (F.sum("returns_in_month").over(whole) * 3 > F.sum("_lines").over(whole)).cast("int").alias("default"),
         )
     return materialise(spark, f"panel:{sf_dir}:{year}", build)
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as officer notes with optional quality / toxicity labels."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    return docs.join(labels, "doc_id", "left")
