@@ -196,3 +196,36 @@ FIXTURE_LEXICON_POSITIVE = ["tion", "elle", "lesh"]
 
 # Fixture scorecard intercept (literal in both engines).
 FIXTURE_INTERCEPT = -2.0
+
+# Driver narratives, small-business variant: feature -> (template, tiers, else-word).
+# Placeholders: {pct} = value x 100 with 0 decimals, {v2} = value with 2 decimals,
+# {int} = value truncated to an integer, {tier} = first tier whose rule holds.
+# Tier rules are (">", bound) or ("==", bound) tested in order.
+NARRATIVES_MSME = {
+    "revolving_utilization": ("Working capital line utilized at {pct}% — {tier}.",
+                              [(">", 0.7, "dangerously high"), (">", 0.4, "elevated")], "healthy"),
+    "debt_ratio": ("Debt-to-income ratio is {v2} — {tier}.", [(">", 1.0, "critical"), (">", 0.5, "high")], "manageable"),
+    "late_30_59": ("Borrower had {int} payment(s) 30-59 days late in the observation window.", [], None),
+    "late_60_89": ("Borrower had {int} payment(s) 60-89 days overdue — significant stress indicator.", [], None),
+    "late_90_days": ("Borrower had {int} serious delinquency event(s) (90+ days late) — NPA risk.", [], None),
+    "open_credit_lines": ("Borrower holds {int} open credit lines — {tier}.", [(">", 15, "over-leveraged")], "normal"),
+    "real_estate_loans": ("Borrower has {int} real estate loan(s) as collateral exposure.", [], None),
+    "num_dependents": ("Borrower supports {int} dependent(s) — impacts disposable income.", [], None),
+    "income_stability": ("Income stability index: {v2} — {tier}.", [(">", 0.6, "strong"), (">", 0.3, "moderate")], "weak"),
+    "gst_compliance_score": ("GST compliance score: {v2}/1.0 — {tier}.",
+                             [(">", 0.8, "regular filer"), (">", 0.5, "irregular filings detected")],
+                             "non-compliant, high risk"),
+    "emi_delay_count": ("EMI delays recorded: {int} — {tier}.", [("==", 0, "no delays")], "payment stress visible"),
+    "cashflow_stress_ratio": ("Cashflow stress index: {v2} — {tier}.", [(">", 2.0, "severe"), (">", 1.0, "moderate")], "low"),
+    "working_capital_usage": ("Working capital drawn: {pct}% of sanctioned limit.", [], None),
+    "revenue_trend_index": ("Revenue trend index: {v2} — {tier}.", [(">", 1.1, "growing"), (">", 0.9, "stable")], "declining"),
+    "payment_history_score": ("Payment history score: {v2}/1.0 — {tier}.",
+                              [(">", 0.9, "excellent"), (">", 0.7, "fair")], "poor track record"),
+    "supplier_payment_risk": ("Supplier payment risk flag: {tier}",
+                              [(">", 0, "Active — delays to creditors detected")], "Clear — no creditor delays"),
+    "note_stress_index": ("Officer-notes stress index (NLP): {v2}/1.0 — {tier}.",
+                          [(">", 0.66, "alarming language in notes"), (">", 0.4, "some concern in notes")],
+                          "notes read healthy"),
+}
+DRIVERS_EXPLAIN, DRIVERS_CONTEXT, DRIVERS_ANSWER = 8, 5, 3
+ATTENTION_TOP = 5
