@@ -183,15 +183,15 @@ def q_pd_trajectory(spark, sf):
 
 @register("risk_factor_groups", S.with_views(S.V_APPLICATIONS, body=f"""
 SELECT loan_id, grp AS factor_group, feature, round(value, 6) AS value FROM (
-  UNPIVOT INCLUDE NULLS (SELECT loan_id,
+  SELECT * FROM (SELECT loan_id,
                   CAST(CAST(coalesce(cb_person_default_on_file = 'Y', false) AS INTEGER) AS DOUBLE) AS default_flag,
                   CAST(cb_person_cred_hist_length AS DOUBLE) AS cb_person_cred_hist_length,
                   CAST(ascii(loan_grade) - 64 AS DOUBLE) AS loan_grade_ord,
                   loan_percent_income, loan_int_rate, loan_amnt,
                   CAST(person_age AS DOUBLE) AS person_age, person_income, person_emp_length,
                   CAST(0.5 AS DOUBLE) AS note_stress_index
-           FROM v_applications)
-  ON {", ".join(f for fs in K.RISK_FACTOR_GROUPS_CONSUMER.values() for f in fs)} INTO NAME feature VALUE value) u
+           FROM v_applications) src
+  UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(f for fs in K.RISK_FACTOR_GROUPS_CONSUMER.values() for f in fs)}))) u
 JOIN (VALUES {", ".join(f"('{g}', '{f}')" for g, fs in K.RISK_FACTOR_GROUPS_CONSUMER.items() for f in fs)}) AS m(grp, feat)
   ON u.feature = m.feat"""))
 def q_risk_factor_groups(spark, sf):
