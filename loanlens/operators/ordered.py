@@ -52,12 +52,25 @@ def running_totals(
     base = df.where(F.col(order_col).isNotNull())
     ranged = _range_ids(base, order_col, n, rel_err)
     totals = ranged.groupBy(*group_cols, _BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols])
-    before = Window.partitionBy(*group_cols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *group_cols, _BUCKET,
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
-    )
-    joined = ranged.join(bounded_broadcast(offsets), [*group_cols, _BUCKET])
+    if group_cols:
+        before = Window.partitionBy(*group_cols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(
+            *group_cols, _BUCKET,
+            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
+        )
+        joined = ranged.join(bounded_broadcast(offsets), [*group_cols, _BUCKET])
+    else:
+        # one group: at most n_ranges + 1 totals rows; prefix-sum them on the driver and
+        # carry the offsets as a literal map (no join, no single-partition exchange)
+        rows = sorted(totals.collect(), key=lambda r: r[_BUCKET])
+        joined = ranged
+        for c in sum_cols:
+            acc, items = 0, []
+            for r in rows:
+                items += [F.lit(r[_BUCKET]), F.lit(acc)]
+                acc += r[c] or 0
+            off = F.try_element_at(F.create_map(*items), F.col(_BUCKET)) if items else F.lit(0)
+            joined = joined.withColumn(f"_off_{c}", F.coalesce(off, F.lit(0)))
     upto = (Window.partitionBy(*group_cols, _BUCKET).orderBy(order_col)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = joined
