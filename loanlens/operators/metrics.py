@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..session import bounded_broadcast
-from .ordered import running_totals
+from .ordered import checkpointed, running_totals
 
 M, Y, P = "model", "y_true", "prob"
 
@@ -103,7 +103,7 @@ def score_groups(scores: DataFrame) -> DataFrame:
 
 def ranked_groups(scores: DataFrame) -> DataFrame:
     """Per (model, distinct score): pos/neg, class totals and the counts at or above the score."""
-    g = score_groups(scores)
+    g = checkpointed(score_groups(scores))  # read by the range pass, the totals and the final pass
     cum = running_totals(g, P, ["pos", "neg"], [M])
     tot = g.groupBy(M).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     j = cum.join(bounded_broadcast(tot, 100_000), M)
@@ -113,19 +113,28 @@ def ranked_groups(scores: DataFrame) -> DataFrame:
                     (F.col("cum_neg") - F.col("neg")).alias("neg_below"))
 
 
+def _auc_expr():
+    return (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)) / (F.first("P") * F.first("N")))
+
+
+def _ap_expr():
+    prec = F.col("tp_at") / (F.col("tp_at") + F.col("fp_at"))
+    return F.sum(F.col("pos") / F.col("P") * prec)
+
+
 def roc_auc(scores: DataFrame) -> DataFrame:
     """Tie-aware ROC-AUC (Mann-Whitney): sum_g pos_g * (neg_below_g + neg_g / 2) / (P * N)."""
-    r = ranked_groups(scores)
-    return r.groupBy(M).agg(
-        (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)) / (F.first("P") * F.first("N")))
-        .alias("roc_auc"))
+    return ranked_groups(scores).groupBy(M).agg(_auc_expr().alias("roc_auc"))
 
 
 def average_precision(scores: DataFrame) -> DataFrame:
     """Step-sum average precision: sum_g (pos_g / P) * precision at threshold g."""
-    r = ranked_groups(scores)
-    prec = F.col("tp_at") / (F.col("tp_at") + F.col("fp_at"))
-    return r.groupBy(M).agg(F.sum(F.col("pos") / F.col("P") * prec).alias("average_precision"))
+    return ranked_groups(scores).groupBy(M).agg(_ap_expr().alias("average_precision"))
+
+
+def rank_metrics(scores: DataFrame) -> DataFrame:
+    """ROC-AUC and average precision from one ranked pass."""
+    return ranked_groups(scores).groupBy(M).agg(_auc_expr().alias("roc_auc"), _ap_expr().alias("average_precision"))
 
 
 def roc_curve(scores: DataFrame) -> DataFrame:
@@ -148,6 +157,14 @@ def log_loss(scores: DataFrame, eps: float = float(np.finfo(np.float64).eps)) ->
     return scores.groupBy(M).agg(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
 
 
+def probability_losses(scores: DataFrame, eps: float = float(np.finfo(np.float64).eps)) -> DataFrame:
+    """Log loss and Brier score in one aggregate."""
+    p = F.least(F.greatest(F.col(P), F.lit(eps)), F.lit(1 - eps))
+    y = F.col(Y).cast("double")
+    return scores.groupBy(M).agg(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"),
+                                 F.avg(F.pow(F.col(P) - F.col(Y), 2)).alias("brier"))
+
+
 def brier(scores: DataFrame) -> DataFrame:
     return scores.groupBy(M).agg(F.avg(F.pow(F.col(P) - F.col(Y), 2)).alias("brier"))
 
@@ -173,8 +190,7 @@ def score_histogram(scores: DataFrame, bins: int = 50) -> DataFrame:
 def model_comparison(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One metric row per model, plus the model with the best ROC-AUC flagged."""
     cm = classification_metrics(threshold_counts(scores, [threshold])).drop("threshold")
-    table = (roc_auc(scores).join(average_precision(scores), M).join(log_loss(scores), M)
-             .join(brier(scores), M).join(cm, M))
+    table = rank_metrics(scores).join(probability_losses(scores), M).join(cm, M)
     # the table has one row per model, so a whole-table window here is tiny
     best = F.max(F.struct("roc_auc", F.col(M))).over(Window.partitionBy())[M]
     return table.withColumn("is_best", F.col(M) == best)

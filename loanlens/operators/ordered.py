@@ -17,11 +17,18 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, default_parallelism
+from ..session import bounded_broadcast, default_parallelism, ensure_checkpoint_dir
 
 _BUCKET = "_range_id"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (shared folder from ``spark.checkpoint.dir``): one write, lineage cut,
+    later passes read files and a lost executor does not recompute the upstream plan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _range_ids(df: DataFrame, order_col: str, n_ranges: int, rel_err: float) -> DataFrame:
     bounds = df.approxQuantile(order_col, [i / n_ranges for i in range(1, n_ranges)], rel_err) if n_ranges > 1 else []
     splits = sorted({float(b) for b in bounds if b is not None and not math.isnan(b) and not math.isinf(b)})
@@ -95,6 +102,9 @@ def exact_quantiles(
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
     counted = (df.where(F.col(value_col).isNotNull())
                .groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_n")))
+    # the distinct-value table is read three times (range bounds, range totals, final pass):
+    # write it once to the reliable checkpoint folder instead of recomputing the input plan
+    counted = checkpointed(counted)
     cum = running_totals(counted, value_col, ["_n"], group_cols)
     sizes = counted.groupBy(*group_cols).agg(F.sum("_n").alias("_total"))
     ranks = []

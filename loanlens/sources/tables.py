@@ -115,11 +115,12 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """JSON metadata document; an absent path yields an empty frame instead of failing."""
+def read_metadata(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON metadata: one pretty-printed document per file (``multi_line``) or JSON lines
+    (reports from ``write_report``). An absent path yields an empty frame instead of failing."""
     if not _exists(spark, path):
         return spark.createDataFrame([], T.StructType([]))
-    return spark.read.option("multiLine", True).json(path)
+    return spark.read.option("multiLine", multi_line).json(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
