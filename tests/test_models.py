@@ -72,3 +72,15 @@ def test_narratives(spark):
     assert got[2] == "Debt-to-income ratio is 1.23 — critical."
     assert got[3] == "Supplier payment risk flag: Active — delays to creditors detected"
     assert got[4] == "unknown_feature: 0.500"
+
+
+def test_tree_attribution_additive(spark, tmp_path):
+    from pyspark.ml.functions import vector_to_array
+    df = feature_frame(spark, n=300, seed=9)
+    model = ML.fit_gbt(df, K.MSME_FEATURES, "default", max_iter=8, depth=3)
+    trees, weights = AT.tree_tables(spark, model.stages[-1], str(tmp_path / "gbt"))
+    attr = AT.tree_path_attribution(df, trees, weights, K.MSME_FEATURES)
+    total = attr.groupBy("company_id").agg((F.sum("impact") + F.first("base")).alias("f"))
+    raw = model.transform(df).select("company_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    diff = total.join(raw, "company_id").select(F.max(F.abs(F.col("f") - F.col("margin")))).first()[0]
+    assert diff < 1e-9
