@@ -47,8 +47,13 @@ def _train_test(spark, sf):
 
 @register("gbt_scores")
 def q_gbt_scores(spark, sf):
+    from pyspark.ml import PipelineModel
+
+    from ..streaming.stream import scratch
     train, every = _train_test(spark, sf)
-    model = ML.fit_gbt(train, FEATS, LABEL, max_iter=30, depth=4)
+    path = scratch(spark, "gbt_pipeline")
+    ML.fit_gbt(train, FEATS, LABEL, max_iter=30, depth=4).write().overwrite().save(path)
+    model = PipelineModel.load(path)  # scoring runs from the saved artifact
     return ML.score_model(model, every).select("company_id", "split", LABEL, "prob").withColumn(
         "band", risk_band("prob"))
 

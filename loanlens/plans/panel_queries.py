@@ -197,3 +197,36 @@ def q_panel_stats(spark, sf):
     p = V.panel(spark, sf)
     return p.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("company_id").alias("n_companies"),
                  F.count_distinct("month").alias("n_months"), F.count_distinct("sector").alias("n_sectors"))
+
+
+UPLOAD_CONTRACT_COLUMNS = [
+    ("company_id", "bigint"), ("month", "int"), ("sector", "string"), ("monthly_sales", "double"),
+    ("gst_turnover", "double"), ("monthly_inflow", "double"), ("monthly_outflow", "double"),
+    ("credit_utilization", "double"), ("working_capital_usage", "double"), ("emi_delay_count", "int"),
+    ("account_balance", "double"),
+]
+
+
+@register("upload_csv", psql(f"""
+SELECT (SELECT count(*) FROM v_panel) AS rows_ingested, count(*) AS borrowers_scored, round(avg(pd), 6) AS avg_pd,
+       count(*) FILTER (WHERE pd >= 0.5) AS high_risk_count
+FROM (SELECT {S.sigmoid(_MARGIN)} AS pd FROM v_derived d CROSS JOIN (SELECT {_ZS} FROM v_derived) z)""", DERIVED))
+def q_upload_csv(spark, sf):
+    """Monthly blueprint upload as CSV (header names padded with spaces, every column text):
+    trim headers, enforce the contract with try_cast, collapse to one snapshot per company,
+    derive features, score, and summarise input rows versus scored borrowers."""
+    from pyspark.sql import types as T
+
+    from ..operators.portfolio import upload_summary
+    from ..sources import tables as TB
+    from ..streaming.stream import scratch
+    path = scratch(spark, "upload_csv")
+    cols = [c for c, _ in UPLOAD_CONTRACT_COLUMNS]
+    p = V.panel(spark, sf).select(*cols)
+    p.toDF(*[f" {c} " for c in cols]).write.option("header", True).csv(path)
+    raw = spark.read.option("header", True).csv(path)  # all columns as text, no inference pass
+    contract = T._parse_datatype_string(", ".join(f"{c} {t}" for c, t in UPLOAD_CONTRACT_COLUMNS))
+    upload = TB.conform(raw, contract, required=["company_id", "month"])
+    feat = PN.derive_features(PN.monthly_collapse(upload))
+    scored = score(feat, fit_zscore(feat, K.MSME_FEATURES))
+    return round_doubles(upload_summary(upload, scored))
