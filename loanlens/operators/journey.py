@@ -30,16 +30,41 @@ def parse_events(text_col: str, schema: T.DataType = JOURNEY):
 
 
 def dedup_first(df: DataFrame, owner: str = "user_id", order=("ts", "event_id")) -> DataFrame:
-    """Keep the first occurrence of each (date, desc) per owner, in event order."""
-    w = Window.partitionBy(owner, "date", "desc").orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-
-
-def running_journey(df: DataFrame, owner: str = "user_id", order=("ts", "event_id"), last_n: int = 3) -> DataFrame:
-    """Running counts per owner plus the types of the last ``last_n`` events (bounded frame)."""
-    upto = Window.partitionBy(owner).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    recent = Window.partitionBy(owner).orderBy(*order).rowsBetween(-(last_n - 1), 0)
-    return df.select("*",
-                     F.count(F.lit(1)).over(upto).alias("events_to_date"),
-                     F.count_if(F.col("type") == "error").over(upto).alias("errors_to_date"),
-                     F.array_join(F.collect_list("type").over(recent), ">").alias("recent_types"))
+    """Keep the first occurrence of each (date, desc) per owner, in event order.
+
+    A hash aggregate with ``min_by`` (partial aggregation on the map side), so a key repeated
+    millions of times is collapsed before the shuffle instead of sorted in one task."""
+    rest = [c for c in df.columns if c not in (owner, "date", "desc")]
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
+    return df.groupBy(owner, "date", "desc").agg(first).select(owner, "date", "desc", "_first.*")
+
+
+def running_journey(df: DataFrame, owner: str = "user_id", order: str = "ts", tie: str = "event_id",
+                    last_n: int = 3) -> DataFrame:
+    """Running counts per owner plus the types of the last ``last_n`` events.
+
+    Skew-safe: running counts come from ``running_totals`` (per owner, split into event-time
+    ranges, so one owner with a third of all events is spread over many tasks); the previous
+    events are fetched by equi-joins on (owner, rank - k), which hash-partition evenly."""
+    keyed = df.withColumn("_one", F.lit(1)).withColumn("_err", (F.col("type") == "error").cast("long"))
+    keyed = keyed.withColumn("_ord", F.struct(F.col(order).alias("ts"), F.col(tie).alias("tie")))
+    ranked = _running_by_struct(keyed, owner)
+    out = ranked
+    parts = []
+    for k in range(last_n - 1, 0, -1):
+        prev = ranked.select(owner, (F.col("events_to_date") + k).alias("events_to_date"), F.col("type").alias(f"_t{k}"))
+        out = out.join(prev, [owner, "events_to_date"], "left")
+        parts.append(F.col(f"_t{k}"))
+    recent = F.concat_ws(">", *parts, F.col("type"))
+    return out.withColumn("recent_types", recent).drop(*[f"_t{k}" for k in range(1, last_n)])
+
+
+def _running_by_struct(df: DataFrame, owner: str) -> DataFrame:
+    """events_to_date / errors_to_date per owner in (ts, event_id) order via range splitting."""
+    from .ordered import running_totals
+    micro = F.unix_micros(F.col("_ord.ts").cast("timestamp")).cast("double")
+    keyed = df.withColumn("_key", micro)
+    # ties on the timestamp are ordered by the tie-break inside each range window
+    tot = running_totals(keyed, "_key", ["_one", "_err"], [owner], tie_cols=["_ord"])
+    return (tot.withColumnRenamed("cum__one", "events_to_date").withColumnRenamed("cum__err", "errors_to_date")
+            .drop("_one", "_err", "_ord", "_key"))

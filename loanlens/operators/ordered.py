@@ -47,6 +47,7 @@ def running_totals(
     n_ranges: int | None = None,
     rel_err: float = 0.001,
     prefix: str = "cum_",
+    tie_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` in ascending ``order_col`` within ``group_cols``.
 
@@ -78,7 +79,7 @@ def running_totals(
                 acc += r[c] or 0
             off = F.try_element_at(F.create_map(*items), F.col(_BUCKET)) if items else F.lit(0)
             joined = joined.withColumn(f"_off_{c}", F.coalesce(off, F.lit(0)))
-    upto = (Window.partitionBy(*group_cols, _BUCKET).orderBy(order_col)
+    upto = (Window.partitionBy(*group_cols, _BUCKET).orderBy(order_col, *tie_cols)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = joined
     for c in sum_cols:

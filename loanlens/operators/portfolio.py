@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.scalars import map_lookup, risk_band, risk_score
-from ..session import bounded_broadcast, literal_broadcast
+from ..session import bounded_broadcast, literal_broadcast, literal_table
 
 
 def round_doubles(df: DataFrame, places: int = 6, overrides: Mapping[str, int] | None = None) -> DataFrame:
@@ -42,8 +42,8 @@ def lookup(df: DataFrame, dim: DataFrame, on: str, value: str, default=None, max
 
 
 def dim_from_mapping(spark, mapping: Mapping, key: str, value: str, value_type: str = "double") -> DataFrame:
-    return spark.createDataFrame([(k, float(v) if value_type == "double" else v) for k, v in mapping.items()],
-                                 f"{key} string, {value} {value_type}")
+    return literal_table(spark, [(k, float(v) if value_type == "double" else v) for k, v in mapping.items()],
+                         [key, value])
 
 
 def with_expected_loss(df: DataFrame, pd_col: str = "pd", ead_col: str = "outstanding_loan",
@@ -74,7 +74,7 @@ def portfolio_totals(scored: DataFrame) -> DataFrame:
 def band_distribution(scored: DataFrame) -> DataFrame:
     """Band histogram completed with zero counts over the fixed band domain."""
     spark = scored.sparkSession
-    bands = literal_broadcast(spark.createDataFrame([(i, b) for i, b in enumerate(K.BANDS)], "band_order int, band string"))
+    bands = literal_broadcast(literal_table(spark, [(i, b) for i, b in enumerate(K.BANDS)], ["band_order", "band"]))
     counts = scored.where(F.col("band").isNotNull()).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     return (bands.join(counts, "band", "left")
             .select("band", "band_order", F.coalesce("n", F.lit(0)).alias("borrowers")))
@@ -144,7 +144,7 @@ def action_plan(df: DataFrame, ladder: Mapping[str, list] = K.ACTION_LADDER_MSME
     """One row per (borrower, action): inner join with the fixed band ladder (literal, broadcast)."""
     spark = df.sparkSession
     rows = [(b, i + 1, p, a, d) for b, acts in ladder.items() for i, (p, a, d) in enumerate(acts)]
-    dim = literal_broadcast(spark.createDataFrame(rows, "band string, seq int, priority string, action string, detail string"))
+    dim = literal_broadcast(literal_table(spark, rows, ["band", "seq", "priority", "action", "detail"]))
     return df.join(dim, df[band_col] == dim.band, "inner").drop(dim.band)
 
 

@@ -15,6 +15,7 @@ from ..operators import trajectory as TR
 from ..operators.portfolio import round_doubles
 from ..operators.scorecard import margin
 from ..functions.scalars import sigmoid
+from ..session import literal_table
 from ..sources import tables as TB
 from ..sources import views as V
 from . import sql_views as S
@@ -202,7 +203,7 @@ def q_risk_factor_groups(spark, sf):
         "loan_percent_income", "loan_int_rate", "loan_amnt", F.col("person_age").cast("double").alias("person_age"),
         "person_income", "person_emp_length", F.lit(K.MISSING_NOTE_SCORE).alias("note_stress_index"))
     groups = [(g, f) for g, fs in K.RISK_FACTOR_GROUPS_CONSUMER.items() for f in fs]
-    dim = spark.createDataFrame(groups, "factor_group string, feature string")
+    dim = literal_table(spark, groups, ["factor_group", "feature"])
     long = a.unpivot(["loan_id"], [f for _, f in groups], "feature", "value")
     # the group map is a fixed literal table (10 rows): broadcast by construction
     return round_doubles(long.join(F.broadcast(dim), "feature").select("loan_id", "factor_group", "feature", "value"))

@@ -79,3 +79,10 @@ def default_parallelism(spark: SparkSession) -> int:
     except Exception:  # pragma: no cover - conf always present
         n = 200
     return max(1, n)
+
+
+def literal_table(spark: SparkSession, rows, names) -> DataFrame:
+    """Small fixed table built inside the JVM (``inline`` of a literal array of structs):
+    no Python worker round trip, size known at build time, safe to broadcast."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
