@@ -83,8 +83,8 @@ def q_expanding_features(spark, sf):
 
 @register("running_delays", psql("""
 SELECT company_id, month, CAST(monthly_outflow > monthly_inflow AS INTEGER) AS missed,
-       sum(CAST(monthly_outflow > monthly_inflow AS INTEGER)) OVER (PARTITION BY company_id ORDER BY month
-           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS missed_to_date
+       CAST(sum(CAST(monthly_outflow > monthly_inflow AS INTEGER)) OVER (PARTITION BY company_id ORDER BY month
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS missed_to_date
 FROM v_panel"""))
 def q_running_delays(spark, sf):
     p = V.panel(spark, sf).select("company_id", "month",
