@@ -63,7 +63,8 @@ def q_operating_points(spark, sf):
     return round_doubles(MT.classification_metrics(MT.threshold_counts(V.scores(spark, sf), OPS)))
 
 
-@register("threshold_sweep", ssql(f"SELECT model, threshold, tp, fp, {metrics_cols()} FROM cnt", counts_cte(GRID)))
+@register("threshold_sweep", ssql(f"SELECT model, round(threshold, 6) AS threshold, tp, fp, {metrics_cols()} FROM cnt",
+                                  counts_cte(GRID)))
 def q_threshold_sweep(spark, sf):
     sw = MT.threshold_sweep(V.scores(spark, sf))
     return round_doubles(sw.drop("tn", "fn"))
@@ -75,7 +76,7 @@ sw AS (SELECT model, threshold, {d0('tp', 'tp + fp')} AS precision, {d0('tp', 't
 
 
 @register("best_f1_threshold", ssql("""
-SELECT model, threshold, round(f1, 6) AS f1 FROM (
+SELECT model, round(threshold, 6) AS threshold, round(f1, 6) AS f1 FROM (
   SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold ASC) AS rn FROM sw) WHERE rn = 1""", SWEEP))
 def q_best_f1_threshold(spark, sf):
     return round_doubles(MT.best_f1_threshold(MT.threshold_sweep(V.scores(spark, sf))))

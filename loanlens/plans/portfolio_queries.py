@@ -78,7 +78,7 @@ def q_lgd_lookup(spark, sf):
 
 @register("expected_loss", sql("""
 SELECT company_id, round(expected_loss, 4) AS expected_loss, round(potential_recovery, 4) AS potential_recovery,
-       lgd, round(pd, 6) AS pd, outstanding_loan FROM v_scored"""))
+       lgd, round(pd, 6) AS pd, round(outstanding_loan, 2) AS outstanding_loan FROM v_scored"""))
 def q_expected_loss(spark, sf):
     df = scored(spark, sf).select("company_id", "expected_loss", "potential_recovery", "lgd", "pd", "outstanding_loan")
     return P.round_doubles(df, 6, {"expected_loss": 4, "potential_recovery": 4, "outstanding_loan": MONEY})
