@@ -44,7 +44,7 @@ def q_stream_event_windows(spark, sf):
     """Daily event counts per type with a one-day watermark, events arriving in time order."""
     ev = TB.read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
     src, out, ck = ST.scratch(spark, "src"), ST.scratch(spark, "out"), ST.scratch(spark, "ck")
-    ST.stage_files(ev, src, 6, "ts")
+    ST.stage_files(ev, src, 4, "ts")
     counts = ST.windowed_event_counts(ST.read_stream(spark, src, ev.schema, max_files=2))
     ST.run_to_table(counts, "complete", out, ck)
     return spark.read.parquet(out).select("day", "event_type", "n")
