@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..session import bounded_broadcast
 from .ordered import checkpointed, running_totals
 
 M, Y, P = "model", "y_true", "prob"
@@ -106,7 +105,7 @@ def ranked_groups(scores: DataFrame) -> DataFrame:
     g = checkpointed(score_groups(scores))  # read by the range pass, the totals and the final pass
     cum = running_totals(g, P, ["pos", "neg"], [M])
     tot = g.groupBy(M).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = cum.join(bounded_broadcast(tot, 100_000), M)
+    j = cum.join(tot, M)  # one row per model; AQE broadcasts it after measuring it
     return j.select(M, P, "pos", "neg", "P", "N",
                     (F.col("P") - F.col("cum_pos") + F.col("pos")).alias("tp_at"),
                     (F.col("N") - F.col("cum_neg") + F.col("neg")).alias("fp_at"),
@@ -175,7 +174,7 @@ def score_histogram(scores: DataFrame, bins: int = 50) -> DataFrame:
     rng = rng.select(M, Y, "n",
                      F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
                      F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"))
-    j = scores.join(F.broadcast(rng), [M, Y])
+    j = scores.join(rng, [M, Y])  # one row per (model, class); AQE broadcasts it at runtime
     idx = F.least(F.floor((F.col(P) - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))),
                   F.lit(bins - 1)).cast("int")
     width = (F.col("hi") - F.col("lo")) / bins

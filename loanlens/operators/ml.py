@@ -49,7 +49,7 @@ def order_key(df: DataFrame, key: str, seed: int | None) -> DataFrame:
 def class_ranks(df: DataFrame, label: str, key: str, seed: int | None = None) -> DataFrame:
     ranked = running_totals(order_key(df, key, seed).withColumn("_one", F.lit(1)), "_ord", ["_one"], [label])
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
-    return ranked.join(F.broadcast(sizes), label).withColumnRenamed("cum__one", "_rank").drop("_one", "_ord")
+    return ranked.join(sizes, label).withColumnRenamed("cum__one", "_rank").drop("_one", "_ord")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_frac: float = 0.2, seed: int | None = None) -> DataFrame:

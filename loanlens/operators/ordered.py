@@ -17,7 +17,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, default_parallelism, ensure_checkpoint_dir
+from ..session import default_parallelism, ensure_checkpoint_dir
 
 _BUCKET = "_range_id"
 
@@ -66,7 +66,9 @@ def running_totals(
             *group_cols, _BUCKET,
             *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
         )
-        joined = ranged.join(bounded_broadcast(offsets), [*group_cols, _BUCKET])
+        # offsets hold <= groups x ranges rows; the join is left to AQE, which switches to a
+        # broadcast only after measuring the materialised size (no extra pass to check it)
+        joined = ranged.join(offsets, [*group_cols, _BUCKET])
     else:
         # one group: at most n_ranges + 1 totals rows; prefix-sum them on the driver and
         # carry the offsets as a literal map (no join, no single-partition exchange)
@@ -114,7 +116,7 @@ def exact_quantiles(
         ranks += [F.floor(k).alias(f"_lo{i}"), F.ceil(k).alias(f"_hi{i}"), (k - F.floor(k)).alias(f"_fr{i}")]
     sized = sizes.select(*group_cols, "_total", *ranks)
     if group_cols:
-        joined = cum.join(bounded_broadcast(sized), group_cols)
+        joined = cum.join(sized, group_cols)  # one row per group; AQE broadcasts it at runtime
     else:
         # single global group: carry its size and ranks as literals (one tiny row)
         row = sized.first()

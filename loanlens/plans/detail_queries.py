@@ -15,7 +15,7 @@ from ..operators import trajectory as TR
 from ..operators.portfolio import round_doubles
 from ..operators.scorecard import margin
 from ..functions.scalars import sigmoid
-from ..session import literal_table
+from ..session import literal_broadcast, literal_table
 from ..sources import tables as TB
 from ..sources import views as V
 from . import sql_views as S
@@ -206,7 +206,7 @@ def q_risk_factor_groups(spark, sf):
     dim = literal_table(spark, groups, ["factor_group", "feature"])
     long = a.unpivot(["loan_id"], [f for _, f in groups], "feature", "value")
     # the group map is a fixed literal table (10 rows): broadcast by construction
-    return round_doubles(long.join(F.broadcast(dim), "feature").select("loan_id", "factor_group", "feature", "value"))
+    return round_doubles(long.join(literal_broadcast(dim), "feature").select("loan_id", "factor_group", "feature", "value"))
 
 
 # ---------------------------------------------------------------- context / detail -----

@@ -67,3 +67,27 @@ def test_linspace_last_value_exact():
     from loanlens.operators.metrics import linspace
     g = linspace()
     assert len(g) == 91 and g[0] == 0.05 and g[-1] == 0.95
+
+
+def test_csv_contract_and_positional_rename(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from loanlens.sources import tables as TB
+    path = str(tmp_path / "upload.csv")
+    with open(path, "w") as fh:
+        fh.write(",a , b\n0,1.5,x\n1,oops,y\n2,,z\n")
+    raw = spark.read.option("header", True).csv(path)
+    renamed = TB.rename_positional(raw, ["amount", "label"], drop=["_c0"])
+    assert renamed.columns == ["amount", "label"]
+    contract = T.StructType([T.StructField("amount", T.DoubleType()), T.StructField("label", T.StringType()),
+                             T.StructField("note_stress_index", T.DoubleType())])
+    out = TB.conform(renamed, contract, defaults={"note_stress_index": 0.5}, required=["amount"])
+    assert [tuple(r) for r in out.orderBy("label").collect()] == [(1.5, "x", 0.5), (None, "y", 0.5), (None, "z", 0.5)]
+    import pytest
+    with pytest.raises(ValueError):
+        TB.require_columns(renamed, ["missing_col"])
+
+
+def test_read_metadata_tolerates_absence(spark, tmp_path):
+    from loanlens.sources import tables as TB
+    assert TB.read_metadata(spark, str(tmp_path / "nope")).count() == 0
