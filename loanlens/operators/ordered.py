@@ -11,6 +11,7 @@ ranges (no reliance on partition ids).
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -23,14 +24,24 @@ _BUCKET = "_range_id"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (shared folder from ``spark.checkpoint.dir``): one write, lineage cut,
-    later passes read files and a lost executor does not recompute the upstream plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table written under the reliable checkpoint folder (the shared folder
+    named by ``spark.checkpoint.dir``): one write pass, later passes read columnar files, and a
+    lost executor does not recompute the upstream plan. (``Dataset.checkpoint`` would compute
+    the plan twice unless it were cached first.)"""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/cut-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _range_ids(df: DataFrame, order_col: str, n_ranges: int, rel_err: float) -> DataFrame:
-    bounds = df.approxQuantile(order_col, [i / n_ranges for i in range(1, n_ranges)], rel_err) if n_ranges > 1 else []
+    bounds = []
+    if n_ranges > 1:
+        probs = [i / n_ranges for i in range(1, n_ranges)]
+        # one aggregate (partial percentile sketches per task, merged once): a bounded list
+        row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs,
+                                         int(max(1.0 / rel_err, 100))).alias("b")).first()
+        bounds = (row["b"] or []) if row else []
     splits = sorted({float(b) for b in bounds if b is not None and not math.isnan(b) and not math.isinf(b)})
     splits = [-math.inf] + splits + [math.inf]
     tmp = "_range_key"
