@@ -61,9 +61,8 @@ def running_journey(df: DataFrame, owner: str = "user_id", order: str = "ts", ti
 
 def _running_by_struct(df: DataFrame, owner: str) -> DataFrame:
     """events_to_date / errors_to_date per owner in (ts, event_id) order via range splitting."""
-    from .ordered import running_totals
-    micro = F.unix_micros(F.col("_ord.ts").cast("timestamp")).cast("double")
-    keyed = df.withColumn("_key", micro)
+    from .ordered import running_totals, wallclock_seconds
+    keyed = df.withColumn("_key", wallclock_seconds("_ord.ts"))
     # ties on the timestamp are ordered by the tie-break inside each range window
     tot = running_totals(keyed, "_key", ["_one", "_err"], [owner], tie_cols=["_ord"])
     return (tot.withColumnRenamed("cum__one", "events_to_date").withColumnRenamed("cum__err", "errors_to_date")

@@ -23,6 +23,14 @@ from ..session import default_parallelism, ensure_checkpoint_dir
 _BUCKET = "_range_id"
 
 
+def wallclock_seconds(col: str):
+    """Seconds since 1970-01-01 of a wall-clock (TIMESTAMP_NTZ) value as a double, without any
+    time-zone conversion, so it is monotone in the timestamp in every session zone."""
+    c = F.col(col)
+    return (F.unix_date(F.to_date(c)).cast("double") * 86400.0 + F.hour(c) * 3600.0 + F.minute(c) * 60.0
+            + F.date_part(F.lit("SECOND"), c).cast("double"))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written under the reliable checkpoint folder (the shared folder
     named by ``spark.checkpoint.dir``): one write pass, later passes read columnar files, and a

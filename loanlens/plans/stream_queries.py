@@ -20,7 +20,7 @@ def q_stream_ingest(spark, sf):
     batch = scored(spark, sf).where(F.col("sector") == "HOUSEHOLD").select("company_id", "sector", "pd")
     src, sink, ck = ST.scratch(spark, "src"), ST.scratch(spark, "sink"), ST.scratch(spark, "ck")
     ST.stage_files(batch, src, 4, "company_id")
-    stream = ST.read_stream(spark, src, batch.schema, max_files=1)
+    stream = ST.read_stream(spark, src, batch.schema, max_files=2)
     q = ST.append_batches(stream, sink, ck, lambda b: b.withColumn("band", ST.risk_band("pd")))
     q.awaitTermination()
     return round_doubles(spark.read.parquet(sink).select("company_id", "sector", "pd", "band"))

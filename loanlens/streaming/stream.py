@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import risk_band
+from ..operators.ordered import wallclock_seconds
 from ..session import ensure_checkpoint_dir
 
 
@@ -33,7 +34,7 @@ def stage_files(df: DataFrame, path: str, files: int, order_col: str | None = No
         return
     key = F.col(order_col).cast("double") if not isinstance(df.schema[order_col].dataType,
                                                             (T.TimestampType, T.TimestampNTZType)) \
-        else F.unix_micros(F.col(order_col).cast("timestamp")).cast("double")
+        else wallclock_seconds(order_col)
     keyed = df.withColumn("_k", key)
     bounds = sorted(set(keyed.approxQuantile("_k", [i / files for i in range(1, files)], 0.001)))
     edges = [None] + bounds + [None]
