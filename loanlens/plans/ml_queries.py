@@ -109,11 +109,11 @@ def q_cross_dataset_eval(spark, sf):
 
 @register("tree_attribution")
 def q_tree_attribution(spark, sf):
-    """Per-borrower, per-feature impacts on the boosted-tree margin (model saved, node tables
-    read back, attribution in Arrow batches)."""
+    """Per-borrower, per-feature TreeSHAP values of the boosted-tree margin (model saved, node
+    tables read back, attribution in Arrow batches)."""
     from ..operators import attribution as AT
     from ..streaming.stream import scratch
     train, every = _train_test(spark, sf)
     model = ML.fit_gbt(train, FEATS, LABEL, max_iter=30, depth=4)
     trees, weights = AT.tree_tables(spark, model.stages[-1], scratch(spark, "gbt_model"))
-    return AT.tree_path_attribution(every, trees, weights, FEATS)
+    return AT.tree_shap_attribution(every, trees, weights, FEATS)
