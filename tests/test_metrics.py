@@ -106,3 +106,10 @@ def test_golden_rounded_report(spark):
     r = MT.classification_metrics(df).first()
     assert (round(r["accuracy"], 4), round(r["precision"], 4), round(r["recall"], 4), round(r["f1"], 4)) == \
         (0.9098, 0.7252, 0.7546, 0.7396)
+
+
+def test_auc_invariant_under_monotone_map(spark, data):
+    y, p = data
+    a = MT.roc_auc(scores_df(spark, y, p)).first()["roc_auc"]
+    b = MT.roc_auc(scores_df(spark, y, [v ** 3 + 2 for v in p])).first()["roc_auc"]
+    assert abs(a - b) < 1e-12
