@@ -46,6 +46,15 @@ def anchor_means(df: DataFrame, vec: str, selector: Column) -> list[float]:
     return [m for _, m in sorted((r["i"], r["m"]) for r in rows)]
 
 
+def anchor_pair(df: DataFrame, vec: str, label: str, stress_value, healthy_value) -> tuple[list[float], list[float]]:
+    """Both anchor means in one pass: (label, dimension) -> mean, 2 x dim rows collected."""
+    norm = (df.where(F.col(label).isin(stress_value, healthy_value))
+            .select(label, F.posexplode(l2_normalise(vec)).alias("i", "x")))
+    rows = norm.groupBy(label, "i").agg(F.avg("x").alias("m")).collect()
+    pick = lambda v: [m for _, m in sorted((r["i"], r["m"]) for r in rows if r[label] == v)]
+    return pick(stress_value), pick(healthy_value)
+
+
 def anchor_contrast(df: DataFrame, vec: str, stress_anchor: Sequence[float], healthy_anchor: Sequence[float],
                     scale: float = K.EMBEDDING_SCALE, name: str = "stress_index") -> DataFrame:
     """sigmoid(scale * (e . s - e . h)) with e the L2-normalised row vector."""

@@ -86,8 +86,7 @@ SELECT vec_id, label, round({S.sigmoid(f'{K.EMBEDDING_SCALE} * (list_dot_product
 FROM enn CROSS JOIN av"""))
 def q_anchor_contrast(spark, sf):
     emb = TB.read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
-    s = TX.anchor_means(emb, "embedding", F.col("label") == 0)
-    h = TX.anchor_means(emb, "embedding", F.col("label") == 1)
+    s, h = TX.anchor_pair(emb, "embedding", "label", 0, 1)
     out = TX.anchor_contrast(emb, "embedding", s, h).select("vec_id", "label", "stress_index")
     return round_doubles(out)
 
