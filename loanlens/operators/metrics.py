@@ -100,10 +100,18 @@ def score_groups(scores: DataFrame) -> DataFrame:
     return scores.groupBy(M, P).agg(F.count_if(F.col(Y) == 1).alias("pos"), F.count_if(F.col(Y) == 0).alias("neg"))
 
 
-def ranked_groups(scores: DataFrame) -> DataFrame:
-    """Per (model, distinct score): pos/neg, class totals and the counts at or above the score."""
-    g = checkpointed(score_groups(scores))  # read by the range pass, the totals and the final pass
-    cum = running_totals(g, P, ["pos", "neg"], [M])
+def ranked_groups(scores: DataFrame, max_rows_per_task: int = 1_000_000) -> DataFrame:
+    """Per (model, distinct score): pos/neg, class totals and the counts at or above the score.
+
+    Rows are first collapsed to distinct (model, score) and written once. If that table holds at
+    most ``max_rows_per_task`` rows (a metadata count), a window partitioned by model is provably
+    small enough for one task per model; otherwise running totals are range-split."""
+    g = checkpointed(score_groups(scores))
+    if g.count() <= max_rows_per_task:
+        w = Window.partitionBy(M).orderBy(P).rowsBetween(Window.unboundedPreceding, 0)
+        cum = g.withColumn("cum_pos", F.sum("pos").over(w)).withColumn("cum_neg", F.sum("neg").over(w))
+    else:
+        cum = running_totals(g, P, ["pos", "neg"], [M])
     tot = g.groupBy(M).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     j = cum.join(tot, M)  # one row per model; AQE broadcasts it after measuring it
     return j.select(M, P, "pos", "neg", "P", "N",
@@ -121,14 +129,14 @@ def _ap_expr():
     return F.sum(F.col("pos") / F.col("P") * prec)
 
 
-def roc_auc(scores: DataFrame) -> DataFrame:
+def roc_auc(scores: DataFrame, **kw) -> DataFrame:
     """Tie-aware ROC-AUC (Mann-Whitney): sum_g pos_g * (neg_below_g + neg_g / 2) / (P * N)."""
-    return ranked_groups(scores).groupBy(M).agg(_auc_expr().alias("roc_auc"))
+    return ranked_groups(scores, **kw).groupBy(M).agg(_auc_expr().alias("roc_auc"))
 
 
-def average_precision(scores: DataFrame) -> DataFrame:
+def average_precision(scores: DataFrame, **kw) -> DataFrame:
     """Step-sum average precision: sum_g (pos_g / P) * precision at threshold g."""
-    return ranked_groups(scores).groupBy(M).agg(_ap_expr().alias("average_precision"))
+    return ranked_groups(scores, **kw).groupBy(M).agg(_ap_expr().alias("average_precision"))
 
 
 def rank_metrics(scores: DataFrame) -> DataFrame:

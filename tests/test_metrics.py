@@ -42,9 +42,10 @@ def data():
     return y.tolist(), p.tolist()
 
 
-def test_auc_matches_pair_count(spark, data):
+@pytest.mark.parametrize("bound", [0, 1_000_000])  # range-split path and bounded window path
+def test_auc_matches_pair_count(spark, data, bound):
     y, p = data
-    got = MT.roc_auc(scores_df(spark, y, p)).first()["roc_auc"]
+    got = MT.roc_auc(scores_df(spark, y, p), max_rows_per_task=bound).first()["roc_auc"]
     assert abs(got - brute_auc(y, p)) < 1e-12
 
 
@@ -55,9 +56,10 @@ def test_auc_complement(spark, data):
     assert abs(a + b - 1) < 1e-12
 
 
-def test_average_precision(spark, data):
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_average_precision(spark, data, bound):
     y, p = data
-    got = MT.average_precision(scores_df(spark, y, p)).first()["average_precision"]
+    got = MT.average_precision(scores_df(spark, y, p), max_rows_per_task=bound).first()["average_precision"]
     assert abs(got - brute_ap(y, p)) < 1e-12
 
 

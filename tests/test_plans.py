@@ -26,8 +26,9 @@ def test_borrower_view_prunes_lineitem_columns(spark):
 
 
 def test_rank_metrics_have_no_single_partition_exchange(spark):
-    assert "SinglePartition" not in plan(MT.roc_auc(V.scores(spark, SF)))
-    assert "SinglePartition" not in plan(MT.average_precision(V.scores(spark, SF)))
+    for bound in (0, 1_000_000):
+        assert "SinglePartition" not in plan(MT.roc_auc(V.scores(spark, SF), max_rows_per_task=bound))
+        assert "SinglePartition" not in plan(MT.average_precision(V.scores(spark, SF), max_rows_per_task=bound))
 
 
 def test_top_n_is_take_ordered(spark):
