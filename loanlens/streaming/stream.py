@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import constants as K
 from ..functions.scalars import risk_band
 from ..operators.ordered import wallclock_seconds
 from ..session import ensure_checkpoint_dir
@@ -48,7 +49,10 @@ def stage_files(df: DataFrame, path: str, files: int, order_col: str | None = No
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    """File-source stream with a fixed schema; the batch size (files per trigger) is clamped to
+    the refresh bounds 1..100."""
+    files = max(K.REFRESH_MIN, min(K.REFRESH_MAX, int(max_files)))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def append_batches(stream: DataFrame, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame]):
