@@ -210,9 +210,17 @@ def q_risk_factor_groups(spark, sf):
 
 
 # ---------------------------------------------------------------- context / detail -----
-def _context(spark, sf, k):
+def _context(spark, sf, k, only=None):
+    """Context records; ``only`` (a frame of company ids) restricts the work to those borrowers
+    with a semi join before attribution, so answering a few questions does not explain the
+    whole portfolio."""
     s = scored(spark, sf)
-    drivers = AT.top_drivers(attribution(spark, sf), k).withColumn("narrative", AT.narrative("feature", "value"))
+    b = V.borrowers(spark, sf)
+    if only is not None:
+        s = s.join(only, "company_id", "left_semi")
+        b = b.join(only, "company_id", "left_semi")
+    attr = AT.linear_attribution(b, V.borrower_stats(spark, sf))
+    drivers = AT.top_drivers(attr, k).withColumn("narrative", AT.narrative("feature", "value"))
     actions = P.action_plan(s.select("company_id", "band"))
     return QA.context(s, drivers, actions, k)
 
@@ -300,9 +308,10 @@ SELECT q.conv_id, q.turn, q.company_id,
        END AS answer
 FROM qs q LEFT JOIN ctx c ON q.company_id = c.company_id""", _nar(), CTX.format(k=K.DRIVERS_ANSWER), _ANSWER))
 def q_answer_questions(spark, sf):
-    ctx = _context(spark, sf, K.DRIVERS_ANSWER)
+    qs = questions(spark, sf)
+    ctx = _context(spark, sf, K.DRIVERS_ANSWER, only=qs.select("company_id").distinct())
     top = (P.top_borrowers(scored(spark, sf), K.ATTENTION_TOP, ("company_id", "sector", "pd", "band"), extra=False)
            .withColumn("pd_pct", AT._num(F.col("pd") * 100, 1)).collect())  # five rows
     text = QA.attention_text(top)
-    out = QA.answer(questions(spark, sf), ctx, text)
+    out = QA.answer(qs, ctx, text)
     return out.select("conv_id", "turn", "company_id", "route", "answer")
