@@ -73,8 +73,13 @@ def category_domains(df: DataFrame, cols: Sequence[str], sep: str = ",", max_val
         F.count(F.lit(1)).alias("n_values"))
 
 
-def median_impute(df: DataFrame, cols: Sequence[str], medians: Mapping[str, float] | None = None) -> DataFrame:
-    """Fill nulls with exact column medians (fitted once, applied as literals)."""
+def median_impute(df: DataFrame, cols: Sequence[str], medians: Mapping[str, float] | None = None,
+                  approx: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """Fill nulls with column medians (fitted once, applied as literals): exact by default,
+    or ``percentile_approx`` in one aggregate when ``approx`` is set."""
+    if medians is None and approx:
+        row = df.agg(*[F.percentile_approx(c, 0.5, accuracy).alias(c) for c in cols]).first()
+        medians = {c: row[c] for c in cols}
     if medians is None:
         medians = exact_medians(df, cols)
     out = df
