@@ -76,6 +76,15 @@ def narrative(feature: Column | str, value: Column | str,
     return out.otherwise(F.concat(f, F.lit(": "), _num(v, 3)))
 
 
+def _ship_by_value() -> None:
+    """Serialise this module's functions into the task closures (cloudpickle by value), so
+    Python workers need no installed copy of the package."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def tree_tables(spark, gbt_model, path: str):
     """Saved-model node tables of a fitted boosted-tree model: per tree, numpy arrays of split
     feature, threshold, children and node value, plus the tree weights. The model is written
@@ -115,6 +124,7 @@ def tree_path_attribution(df: DataFrame, trees, weights, features: Sequence[str]
 
     feats = list(features)
     d = len(feats)
+    _ship_by_value()
 
     def attribute(batches):
         for pdf in batches:
@@ -225,6 +235,7 @@ def tree_shap_attribution(df: DataFrame, trees, weights, features: Sequence[str]
     feats = list(features)
     d = len(feats)
     base = float(sum(w * t[4][0] for t, w in zip(trees, weights)))
+    _ship_by_value()
 
     def attribute(batches):
         for pdf in batches:
