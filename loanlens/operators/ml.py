@@ -82,18 +82,25 @@ def with_class_weight(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", expr.otherwise(F.lit(1.0)) if expr is not None else F.lit(1.0))
 
 
+def training_frame(train: DataFrame, label: str) -> DataFrame:
+    """Iterative fits read their input many times: write it once (class weights included) to the
+    checkpoint folder so every pass reads files instead of recomputing the upstream plan."""
+    from .ordered import checkpointed
+    return checkpointed(with_class_weight(train, label))
+
+
 def fit_gbt(train: DataFrame, features: Sequence[str], label: str, max_iter: int = 50, depth: int = 5,
             step: float = 0.05, subsample: float = 0.8, seed: int = 42) -> PipelineModel:
     gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, maxDepth=depth,
                         stepSize=step, subsamplingRate=subsample, seed=seed)
-    return Pipeline(stages=[assembler(features), gbt]).fit(with_class_weight(train, label))
+    return Pipeline(stages=[assembler(features), gbt]).fit(training_frame(train, label))
 
 
 def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 6,
                       seed: int = 42) -> PipelineModel:
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees,
                                 maxDepth=depth, seed=seed)
-    return Pipeline(stages=[assembler(features), rf]).fit(with_class_weight(train, label))
+    return Pipeline(stages=[assembler(features), rf]).fit(training_frame(train, label))
 
 
 def fit_logreg(train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
@@ -101,7 +108,7 @@ def fit_logreg(train: DataFrame, features: Sequence[str], label: str) -> Pipelin
     n = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1.0 / max(n, 1),
                             elasticNetParam=0.0, standardization=True, maxIter=200)
-    return Pipeline(stages=[assembler(features), lr]).fit(with_class_weight(train, label))
+    return Pipeline(stages=[assembler(features), lr]).fit(training_frame(train, label))
 
 
 def score_model(model: PipelineModel, df: DataFrame, name: str = "prob") -> DataFrame:
@@ -129,6 +136,6 @@ def cv_search(train: DataFrame, features: Sequence[str], label: str, fold_col: s
     cv = CrossValidator(estimator=Pipeline(stages=[assembler(features), gbt]), estimatorParamMaps=grid,
                         evaluator=BinaryClassificationEvaluator(labelCol=label, numBins=0), foldCol=fold_col,
                         parallelism=parallelism, seed=seed)
-    model = cv.fit(with_class_weight(train, label))
+    model = cv.fit(training_frame(train, label))
     rows = [(int(pm[gbt.maxDepth]), float(pm[gbt.stepSize]), float(m)) for pm, m in zip(grid, model.avgMetrics)]
     return train.sparkSession.createDataFrame(rows, "max_depth int, step_size double, cv_auc double")
