@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam
+from . import decontam, mixing, quality_rules
 from .tables import read_documents
 
 QUERIES: dict = {}
@@ -52,3 +52,45 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_matches(read_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_STOP = ", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)
+_RULE_SQL = " OR ".join(f"({r.guard} >= {r.at_least} AND 100 * {r.part} {r.sign} {r.percent} * {r.whole})" for r in quality_rules.RULES)
+
+
+@_register("op3_quality_rules", rf"""
+WITH a AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, {_SPACE_WORDS} AS w,
+                  [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM documents),
+win AS (SELECT r, k, array_to_string(w[k:k + 7], ' ') AS s FROM a, unnest(range(1, greatest(1, len(w) - 6))) AS t(k)),
+rep AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM rep, unnest(range(k, k + 8)) AS t(p) GROUP BY 1),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_marks,
+        len([x FOR x IN w IF lower(x) IN ({_STOP})]) AS n_stop_words, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+        CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM a LEFT JOIN cov USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_RULE_SQL}) AS kept
+FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+""")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(read_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_register("op4_mixing", rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({_SPACE_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT *, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS w
+      FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1)),
+o AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS full_before,
+             sum(w) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left,
+             1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE AS total FROM s),
+l AS (SELECT min_by((total - full_before) / w_left, 2 * source_size / w) FILTER (WHERE (total - full_before) / w_left * w <= 2 * source_size) AS level FROM o),
+g AS (SELECT source, source_size, least(w * coalesce(level, 0), 2.0::DOUBLE * source_size) AS target FROM s, l),
+b AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS e,
+             sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       CAST(e * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - e * source_size - before)) AS BIGINT) AS taken FROM b
+""".replace(' COLLATE "C"', ""))
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
