@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality_rules
+from . import decontam, line_dedup, mixing, quality_rules
 from .tables import read_documents
 
 QUERIES: dict = {}
@@ -94,3 +94,20 @@ SELECT doc_id, size, source_size, target,
 """.replace(' COLLATE "C"', ""))
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_STRIP = f"translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}')"
+
+
+@_register("op9_line_dedup", rf"""
+WITH a AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, k, l[k] AS x FROM a, unnest(range(1, len(l) + 1)) AS t(k)),
+k AS (SELECT r, k, x, {_STRIP} AS key FROM x),
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+g AS (SELECT r, count(*) AS n_lines, count(f.key) AS n_dropped, string_agg(CASE WHEN f.key IS NULL THEN x END, chr(10) ORDER BY k) AS kept
+      FROM k LEFT JOIN f USING (key) GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM a JOIN g USING (r)
+""")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_lines(read_documents(spark, sf_dir).select("doc_id", "text"), counts=("n_lines", "n_dropped"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
