@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, neardup, quality_rules
+from . import decontam, line_dedup, mixing, neardup, quality_rules, substring
 from .tables import read_documents
 
 QUERIES: dict = {}
@@ -127,3 +127,19 @@ FROM d JOIN r ON d.doc_id = r.node LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.near_duplicates(read_documents(spark, sf_dir))
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@_register("op5_substring_dedup", rf"""
+WITH d AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS s FROM d, unnest(range(1, greatest(1, len(w) - 11))) AS t(k)),
+f AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) AS low FROM win) WHERE low < doc_id),
+c AS (SELECT DISTINCT doc_id, p FROM f, unnest(range(k, k + 13)) AS t(p)),
+x AS (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+g AS (SELECT doc_id, count(c.p) AS n_removed, string_agg(CASE WHEN c.p IS NULL THEN x END, ' ' ORDER BY x.p) AS kept
+      FROM x LEFT JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+""")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.drop_repeats(read_documents(spark, sf_dir).select("doc_id", "text"), counts=("n_words", "n_removed"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
