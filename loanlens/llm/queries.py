@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, mixing, neardup, quality_rules, substring
+from . import decontam, licenses, line_dedup, mixing, neardup, quality_model, quality_rules, substring, toxicity, url_filter
+from .labelled import fold
 from .tables import read_documents
 
 QUERIES: dict = {}
@@ -143,3 +144,53 @@ FROM d LEFT JOIN g USING (doc_id)
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.drop_repeats(read_documents(spark, sf_dir).select("doc_id", "text"), counts=("n_words", "n_removed"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _scored(scored: DataFrame, mod: int, held: int) -> DataFrame:
+    return scored.select("doc_id", (fold(F.col("doc_id"), mod) == held).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_register("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+    return _scored(toxicity.score(docs, model), 4, 2)
+
+
+@_register("op6_url_filter")
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+_CANON = r"trim(regexp_replace(lower(x), '[^\p{L}\p{N}]+', ' ', 'g'))"
+for _a, _b in licenses.SPELLINGS:
+    _CANON = f"replace({_CANON}, '{_a}', '{_b}')"
+_KNOWN = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.LICENSES)
+
+
+def _canonical_sql(table: str, key: str) -> str:
+    kept = r"[x FOR x IN string_split(coalesce(text, ''), chr(10)) IF NOT regexp_matches(x, '(?i)^\s*(copyright|\(c\)|©)')]"
+    return f"SELECT {key}, [y FOR y IN [{_CANON} FOR x IN {kept}] IF y <> ''] AS l FROM {table}"
+
+
+@_register("op7_license_scan", f"""
+WITH lic(license_id, text) AS (VALUES {_KNOWN}),
+k AS (SELECT DISTINCT license_id, sha256(array_to_string(l, ' ')) AS digest FROM ({_canonical_sql('lic', 'license_id')})),
+d AS ({_canonical_sql('documents', 'doc_id')}),
+u AS (SELECT doc_id, sha256(array_to_string(l, ' ')) AS digest, true AS whole FROM d WHERE len(l) > 0
+      UNION ALL SELECT doc_id, sha256(x), false FROM d, unnest(l) AS t(x)),
+f AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids, count(DISTINCT license_id) AS n, bool_or(whole) AS whole
+      FROM u JOIN k USING (digest) GROUP BY 1)
+SELECT doc_id, CASE WHEN len(l) > 0 THEN sha256(array_to_string(l, ' ')) END AS text_digest, coalesce(ids, '') AS license_ids,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(whole, false) AS whole
+FROM d LEFT JOIN f USING (doc_id)
+""")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_documents(spark, sf_dir))
+
+
+@_register("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    model = quality_model.fit(docs, _table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return _scored(quality_model.score(docs, model), 5, 0)
