@@ -34,8 +34,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _ALNUM_WORDS = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
-@_register("op1_decontamination", rf"""
-WITH d AS (SELECT doc_id, coalesce({_ALNUM_WORDS}, []) AS w FROM documents),
+def decontam_sql(table: str = "documents") -> str:
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce({_ALNUM_WORDS}, []) AS w FROM {table}),
 i AS (SELECT item_id, {_ALNUM_WORDS} AS w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, m, array_to_string(w[k:k + m - 1], ' ') AS s
        FROM (SELECT item_id, w, least(10, len(w)) AS m FROM i WHERE len(w) > 0), unnest(range(1, len(w) - m + 2)) AS t(k)),
@@ -48,7 +49,10 @@ it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CA
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
-""")
+"""
+
+
+@_register("op1_decontamination", decontam_sql())
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_matches(read_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -78,21 +82,26 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@_register("op4_mixing", rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({_SPACE_WORDS}) AS BIGINT) AS size FROM documents),
-s AS (SELECT *, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS w
+def mixing_sql(table: str = "documents", columns: str = "doc_id, size, source_size, target") -> str:
+    ctes = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({_SPACE_WORDS}) AS BIGINT) AS size FROM {table}),
+s AS (SELECT *, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS w
       FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1)),
 o AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS full_before,
              sum(w) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_left,
              1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE AS total FROM s),
 l AS (SELECT min_by((total - full_before) / w_left, 2 * source_size / w) FILTER (WHERE (total - full_before) / w_left * w <= 2 * source_size) AS level FROM o),
 g AS (SELECT source, source_size, least(w * coalesce(level, 0), 2.0::DOUBLE * source_size) AS target FROM s, l),
-b AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS e,
+b AS (SELECT doc_id, d.source AS source, size, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS e,
              sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
+SELECT {columns},
        CAST(e * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - e * source_size - before)) AS BIGINT) AS taken FROM b
-""".replace(' COLLATE "C"', ""))
+"""
+    return ctes if table == "documents" else ctes.replace("\nWITH d AS", ", d AS", 1)  # after other tables
+
+
+@_register("op4_mixing", mixing_sql())
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -100,31 +109,39 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STRIP = f"translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}')"
 
 
-@_register("op9_line_dedup", rf"""
-WITH a AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+def line_dedup_sql(table: str = "documents", kept: str = "sha256(coalesce(kept, '')) AS kept_sha256") -> str:
+    return rf"""
+WITH a AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM {table}),
 x AS (SELECT r, k, l[k] AS x FROM a, unnest(range(1, len(l) + 1)) AS t(k)),
 k AS (SELECT r, k, x, {_STRIP} AS key FROM x),
 f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
 g AS (SELECT r, count(*) AS n_lines, count(f.key) AS n_dropped, string_agg(CASE WHEN f.key IS NULL THEN x END, chr(10) ORDER BY k) AS kept
       FROM k LEFT JOIN f USING (key) GROUP BY r)
-SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM a JOIN g USING (r)
-""")
+SELECT doc_id, n_lines, n_dropped, {kept} FROM a JOIN g USING (r)
+"""
+
+
+@_register("op9_line_dedup", line_dedup_sql())
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_lines(read_documents(spark, sf_dir).select("doc_id", "text"), counts=("n_lines", "n_dropped"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-@_register("op10_minhash", rf"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 3], ' ') AS x FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS t(k) WHERE len(w) > 0),
+def near_sql(table: str = "documents", size: int = 4, percent: int = 80) -> str:
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + {size - 1}], ' ') AS x FROM d, unnest(range(1, greatest(len(w) - {size - 1}, 1) + 1)) AS t(k) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(node, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a)
 SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reach) AS component_id, d.doc_id = min(reach) AS kept
 FROM d JOIN r ON d.doc_id = r.node LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
-""")
+"""
+
+
+@_register("op10_minhash", near_sql())
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.near_duplicates(read_documents(spark, sf_dir))
     return out.select("doc_id", "n_shingles", "component_id", "kept")
