@@ -3,14 +3,17 @@
 1. One scan makes each text's set of word shingles (64-bit hashes), its size, a digest of the set and a
    MinHash signature. Rows with equal sets form one class; its representative has the smallest id. From
    here on only representatives move, so a group of exact copies costs one row per task.
-2. Signatures are banded. Members of a band bucket are candidates. Pairs are made by pivots, not all with
-   all: in each round every open bucket names at most ``PIVOTS`` members, each compared with the bucket's
-   members that are not yet in its component. A bucket closes when all its members share a component, or when
-   no member outside its largest component is still to be a pivot - then every pair that could join two
-   components has been compared. A dense group closes after a round or two; pairs grow linearly.
-3. A pair's signatures are compared batch by batch. After n agreements-or-not with m matches, the
-   posterior of the similarity under a uniform prior is Beta(m + 1, n - m + 1); a pair is dropped as
-   soon as P(similarity >= threshold) falls below ``MISS``, the chosen probability of a miss.
+2. Signatures are banded; members of a band bucket are candidates. A bucket is open while its members
+   belong to two components or more. Open buckets with the same largest component form a family, and in
+   each round some members of a family are its pivots: unused members outside that component, and those with most
+   links. Pivots are compared with all members of other components. A bucket closes once no unused
+   member is outside its largest component: then every candidate pair that could join two components has been
+   compared. Rows never stand for pairs: pivots (in blocks of ``BLOCK``) meet members (in chunks of
+   ``CHUNK``) in bounded co-groups, so a family of any size is spread over tasks. A dense family closes
+   after a few rounds.
+3. A pair's signatures are compared batch by batch. After m of n values agree, the posterior of the
+   similarity under a uniform prior is Beta(m + 1, n - m + 1); a pair is dropped as soon as
+   P(similarity >= threshold) falls below ``MISS``, the chosen probability of a miss.
 4. Survivors are verified on their full sets: 100 * |A & B| >= percent * |A | B|.
 5. Links become components by star rounds over the link table.
 
@@ -22,6 +25,7 @@ and is kept; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -39,8 +43,10 @@ BANDS = 26
 ROWS = 5
 BATCH = 26
 MISS = 1e-4
-PIVOTS = 2
-SMALL = 16  # buckets of so many members compare all their pairs in one round
+SMALL = 16  # families of so many members compare all their pairs in one round
+PIVOTS = (2, 4, 64, 256)  # of larger families, by round; then doubled each round
+HUBS = 2
+BLOCK, CHUNK = 64, 512
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,52 +124,45 @@ def miss_table(n_hashes: int, batch: int, percent: int, miss: float) -> list[int
     return out
 
 
-def _prune(pairs: DataFrame, least: list[int], batch: int) -> DataFrame:
-    """(a, b) of pairs that survive the sequential test. pairs: a, b, sig_a, sig_b."""
-    def run(batches):
-        for x in batches:
-            n = x.num_rows
-            if not n:
-                continue
-            sig = [np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint32).reshape(n, -1) for i in (2, 3)]
-            live, match = np.arange(n), np.zeros(n, np.int64)
-            for k, m in enumerate(least):
-                part = slice(k * batch, (k + 1) * batch)
-                match[live] += (sig[0][live, part] == sig[1][live, part]).sum(axis=1)
-                live = live[match[live] >= m]
-            yield pa.RecordBatch.from_arrays([x.column(i).take(pa.array(live)) for i in (0, 1)], names=["a", "b"])
-
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
-
-def _verify(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of linked pairs. pairs: a, b, set_a, set_b (binary arrays of sorted shingle hashes)."""
-    def run(batches):
-        for x in batches:
-            sets = [x.column(i).to_pylist() for i in (2, 3)]
-            keep = []
-            for i, (p, q) in enumerate(zip(*sets)):
-                u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                small, large = (u, v) if len(u) < len(v) else (v, u)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 100 * both >= percent * (len(u) + len(v) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([x.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
-
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+def _comparer(least: list[int], batch: int, percent: int):
+    """Links (a, b) between the members and the pivots of one co-group."""
+    def sets(col) -> list[np.ndarray]:
+        return [np.frombuffer(x, np.uint64) for x in col.to_pylist()]
+
+    def compare(members: pa.Table, pivots: pa.Table) -> pa.Table:
+        out = []
+        if members.num_rows and pivots.num_rows:
+            own, rep, label = sets(members["set"]), members["rep"].to_numpy(), members["label"].to_numpy()
+            sig = np.frombuffer(b"".join(members["sig"].to_pylist()), np.uint32).reshape(len(rep), -1)
+            size = np.array([len(x) for x in own])
+            for p, p_label, p_sig, p_set in zip(*(pivots[c].to_pylist() for c in ("rep", "label", "sig", "set"))):
+                p_sig, p_set = np.frombuffer(p_sig, np.uint32), np.frombuffer(p_set, np.uint64)
+                live = np.flatnonzero((label != p_label) & (100 * np.minimum(size, len(p_set)) >= percent * np.maximum(size, len(p_set))))
+                match = np.zeros(len(rep), np.int64)
+                for k, m in enumerate(least):
+                    part = slice(k * batch, (k + 1) * batch)
+                    match[live] += (sig[live, part] == p_sig[part]).sum(axis=1)
+                    live = live[match[live] >= m]
+                for i in live:
+                    at = np.minimum(np.searchsorted(p_set, own[i]), len(p_set) - 1)
+                    both = int((p_set[at] == own[i]).sum())
+                    if 100 * both >= percent * (len(p_set) + size[i] - both):
+                        out.append((min(p, int(rep[i])), max(p, int(rep[i]))))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return compare
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, set) for the wanted (rep, _text): their texts are shingled once more."""
+    """(rep, sig, set) for the wanted (rep, _text, sig): their texts are shingled once more."""
     def fn(cols, buf, offs):
         s, at = shingles(buf, offs, size)
         return [cols["doc_id"], pa.array([s[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())]
 
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "_text"], "left_semi")
-    return tb.scan(texts, ["doc_id"], fn, "rep long, set binary").distinct()
+    keys = wanted.select(F.col("rep").alias("doc_id"), "_text")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(keys, ["doc_id", "_text"], "left_semi")
+    found = tb.scan(texts, ["doc_id"], fn, "rep long, set binary")
+    return found.join(wanted.select("rep", "sig"), "rep").distinct()
 
 
 def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -177,7 +176,7 @@ def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
-                    batch: int = BATCH, miss: float = MISS, pivots: int = PIVOTS) -> DataFrame:
+                    batch: int = BATCH, miss: float = MISS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and _text (hash of the text)."""
     rows_of = cut(features(docs, size, bands * rows))
     some = rows_of.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -185,19 +184,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = cut(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("_text", "doc_id").alias("_text"), F.min("sig").alias("sig")))
     todo = cut(_buckets(classes, bands, rows).withColumn("used", F.lit(False)))
     least = miss_table(bands * rows, batch, percent, miss)
-    links, label = None, None
-    while True:
-        pairs, todo = _round(todo, links, label, pivots)
-        if pairs is None:
+    links, label, sets = None, None, None
+    for k in itertools.count():
+        most = PIVOTS[k] if k < len(PIVOTS) else PIVOTS[-1] << (k - len(PIVOTS) + 1)
+        found = _round(todo, links, label, most)
+        if found is None:
             break
-        a = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-        b = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-        alive = cut(_prune(pairs.join(b, "b").join(a, "a"), least, batch))
-        ends = cut(alive.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "_text"), "rep"))
-        sets = cut(_sets(docs, ends, size))
-        sa = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
-        sb = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
-        found = cut(_verify(alive.join(sb, "b").join(sa, "a"), percent).distinct())
+        members, pivots, todo = found
+        # only the members of open buckets are carried from round to round
+        open_ = members.select("rep").distinct()
+        sets = cut(_sets(docs, classes.join(open_, "rep", "left_semi"), size) if sets is None else sets.join(open_, "rep", "left_semi"))
+        groups = ["family", "block", "chunk"]
+        own, theirs = sets.toDF("rep", "sig", "set"), sets.toDF("rep", "sig", "set")
+        left = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "chunks").join(own, "rep")
+        right = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("blocks", "chunks").join(theirs, "rep")
+        found = cut(left.groupBy(*groups).cogroup(right.groupBy(*groups))
+                    .applyInArrow(_comparer(least, batch, percent), "a long, b long").distinct())
         links = found if links is None else cut(links.unionByName(found))
         label = cut(components(links))
     ids = classes.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "rep")
@@ -209,39 +211,42 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             .select("doc_id", "_text", "n_shingles", "component_id", "kept"))
 
 
-def _round(todo: DataFrame, links: DataFrame | None, label: DataFrame | None, pivots: int):
-    """Pairs (a, b) of this round, and the members with their pivots marked; (None, None) when no
-    bucket is open."""
-    m = todo.withColumn("label", F.col("rep")).withColumn("degree", F.lit(0))
+def _round(todo: DataFrame, links: DataFrame | None, label: DataFrame | None, most: int):
+    """Members (family, chunk, rep, label, blocks) and pivots (family, block, rep, label, chunks) of
+    this round, and the open buckets' members with pivots marked; None when no bucket is open."""
+    m = todo.withColumn("label", F.col("rep")).withColumn("degree", F.lit(0).cast("long"))
     if links is not None:
         degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
         m = (todo.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
              .join(degree, "rep", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
-    # open buckets: members in two components or more, and some member outside the largest one still unused
     size = m.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.count(F.when(~F.col("used"), 1)).alias("free"))
-    open_ = (size.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max_by("free", F.struct("c", "label")).alias("main_free"),
-                                        F.count(F.lit(1)).alias("labels"), F.sum("free").alias("all_free"), F.sum("c").alias("n"))
-             .where((F.col("labels") > 1) & (F.col("all_free") > (F.col("main_free") if links is not None else F.lit(0))))
-             .select("bucket", "main", "n"))
+    largest = F.struct("c", "label")
+    open_ = (size.groupBy("bucket").agg(F.max_by("label", largest).alias("family"), F.max_by("free", largest).alias("inner"),
+                                        F.count(F.lit(1)).alias("labels"), F.sum("free").alias("free"))
+             .where("labels > 1 and free > inner").select("bucket", "family"))
     m = cut(m.join(open_, "bucket"))
     if m.isEmpty():
-        return None, None
-    # pivots: unused members outside the largest component (smallest first), and likely hubs (most links)
-    free = m.where(~F.col("used"))
-    outside = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
-    hubs = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("degree").desc(), "rep"))
-    most = F.when(F.col("n") <= SMALL, F.col("n")).otherwise(F.lit(pivots))
-    if links is None:
-        chosen = free.withColumn("_k", outside).where((F.col("_k") <= SMALL) & (F.col("_k") <= most))
-    else:
-        apart = free.where(F.col("label") != F.col("main")).withColumn("_k", outside).where((F.col("_k") <= SMALL) & (F.col("_k") <= most))
-        chosen = apart.unionByName(free.where(F.col("degree") > 0).withColumn("_k", hubs).where(F.col("_k") <= pivots))
-    chosen = cut(chosen.select("bucket", "rep", "label").distinct())
-    other = chosen.select("bucket", F.col("rep").alias("p"), F.col("label").alias("pl"))
-    pairs = (m.join(other, "bucket").where(F.col("label") != F.col("pl"))
-             .select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct())
-    marked = m.join(chosen.select("bucket", "rep", F.lit(True).alias("now")), ["bucket", "rep"], "left")
-    return pairs, cut(marked.select("bucket", "rep", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")))
+        return None
+    family = m.groupBy("family", "rep", "label", "degree").agg(F.min("used").alias("used"))
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    free = family.where(~F.col("used")).join(sizes, "family")
+    # round 1 has no components yet: the smallest members; then members outside the family's own component, and hubs
+    apart = free if links is None else free.where(F.col("label") != F.col("family"))
+    first = F.row_number().over(Window.partitionBy("family").orderBy("rep"))
+    hub = F.row_number().over(Window.partitionBy("family").orderBy(F.col("degree").desc(), "rep"))
+    bound = F.when(F.col("n") <= SMALL, F.lit(SMALL)).otherwise(F.lit(most))
+    chosen = apart.withColumn("_k", first).where(F.col("_k") <= F.lit(max(most, SMALL))).where(F.col("_k") <= bound)
+    if links is not None:
+        chosen = chosen.unionByName(free.where(F.col("degree") > 0).withColumn("_k", hub).where(F.col("_k") <= HUBS))
+    chosen = chosen.select("family", "rep", "label").distinct()
+    number = F.row_number().over(Window.partitionBy("family").orderBy("rep")) - 1
+    chosen = cut(chosen.withColumn("block", F.floor(number / BLOCK).cast("int")))
+    blocks = chosen.groupBy("family").agg((F.max("block") + 1).alias("blocks"))
+    shape = sizes.join(blocks, "family").select("family", "blocks", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    members = family.select("family", "rep", "label").join(shape, "family").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    marked = m.join(chosen.select("family", "rep", F.lit(True).alias("now")), ["family", "rep"], "left")
+    todo = cut(marked.select("bucket", "rep", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")))
+    return members, chosen.join(shape, "family"), todo
 
 
 def keep_first(docs: DataFrame, **kw) -> DataFrame:

@@ -1,7 +1,7 @@
 """Substring dedup by super-k-mer partitioning.
 
 A window is ``WINDOW`` consecutive words of one document. Its minimiser is the smallest hash among
-its word triples (short triples rank last, so common function words are rarely minimisers).
+its word pairs (short ones rank last, so common function words are rarely minimisers).
 Consecutive windows with the same minimiser overlap almost wholly, so they travel as one packed string, a
 super-k-mer of (windows + 12) words, to the bucket of the minimiser. All occurrences of a window share its
 minimiser, hence its bucket, where the windows are sorted and equal ones counted together: the
@@ -34,11 +34,11 @@ from . import textbytes as tb
 from .tables import cut
 
 WINDOW = 13
-TRIPLE = 3
+GRAM = 2
 HOT = 64
 BUCKET_BYTES = 16 << 20
 NO_ID = (1 << 63) - 1
-_SHORT = 10
+_SHORT = 8
 
 
 def _words(buf: np.ndarray, offs: np.ndarray):
@@ -67,12 +67,12 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def super_kmers(starts: np.ndarray, ends: np.ndarray, at: np.ndarray, h: np.ndarray, window: int):
     """(first word, number of windows, minimiser, document) of each super-k-mer."""
     n = at[1:] - at[:-1]
-    triple = _rolling(h, TRIPLE, 33) >> np.uint64(1)
+    gram = _rolling(h, GRAM, 33) >> np.uint64(1)
     size = ends - starts
-    if len(triple):
-        short = size[:-2] + size[1:-1] + size[2:] < _SHORT
-        triple |= short.astype(np.uint64) << np.uint64(63)
-    low = _sliding_min(triple, window - TRIPLE + 1)
+    if len(gram):
+        short = size[:-1] + size[1:] < _SHORT
+        gram |= short.astype(np.uint64) << np.uint64(63)
+    low = _sliding_min(gram, window - GRAM + 1)
     doc, k = tb.ragged(np.maximum(n - window + 1, 0))
     place = at[:-1][doc] + k
     low = low[place]
@@ -85,7 +85,16 @@ def super_kmers(starts: np.ndarray, ends: np.ndarray, at: np.ndarray, h: np.ndar
 
 def _pack(obj) -> tuple[int, bytes]:
     raw = pickle.dumps(obj, protocol=5)
-    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw), pa.Codec("zstd", compression_level=5).compress(raw, asbytes=True)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours (wrapping): small for ids in order."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=np.int64)
 
 
 def _unpack(raw: int, data: bytes):
@@ -116,23 +125,26 @@ def _emit(docs: DataFrame, n_buckets: int, window: int, hot: int) -> DataFrame:
         norm, norm_at = tb.pack_spans(np.append(buf, np.uint8(32)), starts, ends + 1)
         norm[norm_at[1:] - 1] = 32
         bucket = (tb._mix(low) % np.uint64(n_buckets)).astype(np.int64)
-        by = np.lexsort((d2, d1, bucket))
+        by = np.lexsort((first, d2, d1, bucket))
         new = np.ones(len(by), bool)
         new[1:] = (d1[by][1:] != d1[by][:-1]) | (d2[by][1:] != d2[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])
         g = np.flatnonzero(new)  # distinct strings, as positions in by
         many = np.diff(np.append(g, len(by)))
         head = by[g]
         smallest = np.minimum.reduceat(ids[by], g)
+        # within a bucket in the order of the text: neighbours compress well
+        again = np.lexsort((first[head], bucket[head]))
+        g, many, head, smallest = g[again], many[again], head[again], smallest[again]
         cuts = np.flatnonzero(np.append(True, np.diff(bucket[head]) != 0))
         rows = []
         for lo, hi in zip(cuts, np.append(cuts[1:], len(g))):
             s = head[lo:hi]
             text, text_at = tb.pack_spans(norm, norm_at[first[s]], norm_at[first[s] + n_words[s]])
             is_hot = many[lo:hi] > hot
-            span = by[g[lo]:(g[hi] if hi < len(g) else len(by))]
-            own = span[~np.repeat(is_hot, many[lo:hi])]
-            raw, data = _pack((text, np.diff(text_at).astype(np.int32), smallest[lo:hi], np.where(is_hot, 0, many[lo:hi]).astype(np.int32),
-                               ids[own], prints[own], pos[own], np.flatnonzero(is_hot), d1[s[is_hot]], d2[s[is_hot]]))
+            owner, k = tb.ragged(np.where(is_hot, 0, many[lo:hi]))
+            own = by[g[lo:hi][owner] + k]
+            raw, data = _pack((text, np.diff(text_at).astype(np.int32), _steps(smallest[lo:hi]), np.bincount(owner, minlength=hi - lo).astype(np.int32),
+                               _steps(ids[own]), prints[own], pos[own], np.flatnonzero(is_hot), d1[s[is_hot]], d2[s[is_hot]]))
             rows.append((int(bucket[s[0]]), 0, 0, raw, data))
         for j in np.flatnonzero(many > hot):
             span = by[g[j]:g[j] + many[j]]
@@ -160,7 +172,7 @@ def _flagged(ids: np.ndarray, prints: np.ndarray, pos: np.ndarray, string: np.nd
     new = np.ones(len(k), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (k[1:] != k[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(k)) - 1
+    last = np.append(first[1:], len(k))[:len(first)] - 1
     who = some[owner[first]]
     return ids[who], prints[who], pos[who] + k[first], pos[who] + k[last] + window
 
@@ -194,8 +206,8 @@ def _solve(packed: list, window: int):
     return got, answers
 
 
-_OUT = "kind int, doc long, print long, start long, stop long, d1 long, d2 long, raw long, data binary"
-_OUT_ARROW = [("kind", pa.int32()), ("doc", pa.int64()), ("print", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()),
+_OUT = "kind int, doc long, print int, start long, stop long, d1 long, d2 long, raw long, data binary"
+_OUT_ARROW = [("kind", pa.int32()), ("doc", pa.int64()), ("print", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()),
               ("d1", pa.int64()), ("d2", pa.int64()), ("raw", pa.int64()), ("data", pa.binary())]
 
 
@@ -230,7 +242,8 @@ def _buckets(emitted: DataFrame, window: int) -> DataFrame:
                     yield from solved(packed)
                     packed = []
                 bucket = b
-                packed.append(_unpack(raw[i], x.column(4)[i].as_py()))
+                p = _unpack(raw[i], x.column(4)[i].as_py())
+                packed.append((*p[:2], _sums(p[2]), p[3], _sums(p[4]), *p[5:]))
         if packed:
             yield from solved(packed)
 
@@ -251,13 +264,13 @@ def _hot_intervals(out: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pr), pa.array(start.astype(np.int64)), pa.array(stop.astype(np.int64))],
                                                  names=["doc", "print", "start", "stop"])
 
-    return places.join(limits, ["d1", "d2"]).select("raw", "data", "limit_raw", "limit_data").mapInArrow(run, "doc long, print long, start long, stop long")
+    return places.join(limits, ["d1", "d2"]).select("raw", "data", "limit_raw", "limit_data").mapInArrow(run, "doc long, print int, start long, stop long")
 
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc, print, cut array<start, stop>): word intervals whose windows also start in a document with
     a smaller id. ``print`` is the hash of the row's text, ``doc`` the id (NO_ID for null)."""
-    keyed = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_text"), "text")
+    keyed = docs.select("doc_id", F.hash("text").alias("_text"), "text")
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-3 * size // bucket_bytes))
     out = cut(_buckets(_emit(keyed, n_buckets, window, hot), window))
@@ -272,7 +285,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, counts: tuple[str, str]
     columns = docs.columns
     cuts = repeated_intervals(docs, window, hot, bucket_bytes)
     plain = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)],
-                        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("print"))
+                        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash("text").alias("print"))
     joined = plain.join(cuts, ["doc", "print"], "left")
     text = f"_{columns.index('text')}"
     order = [f"_{i}" for i in range(len(columns))]
