@@ -162,7 +162,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     keys = wanted.select(F.col("rep").alias("doc_id"), "_text")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("_text")).join(keys, ["doc_id", "_text"], "left_semi")
     found = tb.scan(texts, ["doc_id"], fn, "rep long, set binary")
-    return found.join(wanted.select("rep", "sig"), "rep").distinct()
+    return found.join(wanted.select("rep", "sig"), "rep").select("rep", "sig", "set").distinct()
 
 
 def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
