@@ -44,7 +44,7 @@ ROWS = 5
 BATCH = 26
 MISS = 1e-4
 SMALL = 16  # families of so many members compare all their pairs in one round
-PIVOTS = (2, 4, 64, 256)  # of larger families, by round; then doubled each round
+PIVOTS = (4, 256, 4096)  # of larger families, by round; then doubled each round
 HUBS = 2
 BLOCK, CHUNK = 64, 512
 
