@@ -169,6 +169,7 @@ DEFAULT_STATUSES = ["charged off", "default", "late (31-120 days)", "late (16-30
 
 # Threshold grid for the operating-point sweep: linspace(0.05, 0.95, 91).
 SWEEP_START, SWEEP_STOP, SWEEP_STEPS = 0.05, 0.95, 91
+INCOME_SCALE = 100_000.0  # monthly income of full stability (fixed value)
 RECALL_FLOOR = 0.85
 RECALL_FLOOR_FALLBACK = 0.30
 OPERATING_POINTS = [0.30, 0.50, 0.63]
@@ -188,7 +189,6 @@ UPLOAD_DEFAULTS_MSME = {
 }
 
 # Upload batch bounds for a refresh.
-REFRESH_MIN, REFRESH_MAX = 1, 100
 
 # Fixture lexicon used by oracle queries over the invented-prose documents table.
 FIXTURE_LEXICON_NEGATIVE = ["ere", "sch", "ando"]
@@ -221,7 +221,7 @@ NARRATIVES_MSME = {
     "revenue_trend_index": ("Revenue trend index: {v2} — {tier}.", [(">", 1.1, "growing"), (">", 0.9, "stable")], "declining"),
     "payment_history_score": ("Payment history score: {v2}/1.0 — {tier}.",
                               [(">", 0.9, "excellent"), (">", 0.7, "fair")], "poor track record"),
-    "supplier_payment_risk": ("Supplier payment risk flag: {tier}",
+    "supplier_payment_risk": ("Supplier payment risk flag: {tier}.",
                               [(">", 0, "Active — delays to creditors detected")], "Clear — no creditor delays"),
     "note_stress_index": ("Officer-notes stress index (NLP): {v2}/1.0 — {tier}.",
                           [(">", 0.66, "alarming language in notes"), (">", 0.4, "some concern in notes")],

@@ -29,7 +29,7 @@ def linear_attribution(df: DataFrame, stats: Mapping[str, tuple[float, float]],
     return long.withColumn("impact", w * ((F.col("value") - m) / (s + F.lit(eps))))
 
 
-def top_drivers(attr: DataFrame, k: int = K.DRIVERS_EXPLAIN, key: str = "company_id", places: int = 9) -> DataFrame:
+def top_drivers(attr: DataFrame, k: int = K.DRIVERS_EXPLAIN, key: str = "company_id", places: int = 12) -> DataFrame:
     """k largest |impact| per borrower (ties by feature name)."""
     w = Window.partitionBy(key).orderBy(F.desc(F.round(F.abs("impact"), places)), F.asc("feature"))
     return attr.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..session import has_at_most
 from .ordered import exact_medians
 
 
@@ -54,23 +53,15 @@ def lookup_ids(df: DataFrame, requested: DataFrame, key: str, found: bool = True
     return requested.join(df.select(key), key, "left_semi" if found else "left_anti")
 
 
-def category_domains(df: DataFrame, cols: Sequence[str], sep: str = ",", max_values: int = 100_000) -> DataFrame:
-    """Sorted distinct non-null values per categorical column, one row per column.
-
-    Each domain is gathered into one row, so its size is checked first (a bounded read of the
-    distinct values): a column with more than ``max_values`` levels is not categorical and is
-    rejected instead of being collected into one task."""
+def category_domains(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct non-null values of categorical columns: a row (column, value) each, so a column of any
+    number of levels stays distributed."""
     rows = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
             .where(F.col("value").isNotNull()) for c in cols]
     union = rows[0]
     for r in rows[1:]:
         union = union.unionByName(r)
-    distinct = union.distinct()
-    if not has_at_most(distinct, max_values * len(cols)):
-        raise ValueError(f"more than {max_values} levels in a categorical column")
-    return distinct.groupBy("column").agg(
-        F.array_join(F.array_sort(F.collect_list("value")), sep).alias("domain"),
-        F.count(F.lit(1)).alias("n_values"))
+    return union.distinct()
 
 
 def median_impute(df: DataFrame, cols: Sequence[str], medians: Mapping[str, float] | None = None,

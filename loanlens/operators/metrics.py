@@ -35,12 +35,17 @@ def _div0(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
 
 
+def scored_rows(scores: DataFrame) -> DataFrame:
+    """Rows with a score: a row that was not scored is no prediction of either class."""
+    return scores.where(F.col(P).isNotNull())
+
+
 def threshold_counts(scores: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """Confusion counts at each threshold (predict 1 when prob >= t), per model."""
     ts = sorted(set(float(t) for t in thresholds))
     splits = [-math.inf] + ts + [math.inf]
     b = Bucketizer(splits=splits, inputCol=P, outputCol="_b", handleInvalid="keep").transform(
-        scores.select(M, Y, F.col(P).cast("double").alias(P)))
+        scored_rows(scores).select(M, Y, F.col(P).cast("double").alias(P)))
     hist = b.groupBy(M, "_b").agg(F.count_if(F.col(Y) == 1).alias("pos"), F.count_if(F.col(Y) == 0).alias("neg"))
     # complete the (model, bucket) grid so every threshold gets a row (a bounded Generate per model)
     grid = F.array(*[F.struct(F.lit(float(i + 1)).alias("_b"), F.lit(t).alias("threshold")) for i, t in enumerate(ts)])
@@ -97,21 +102,16 @@ def recall_floor_threshold(sweep: DataFrame, floor: float = K.RECALL_FLOOR,
 
 def score_groups(scores: DataFrame) -> DataFrame:
     """(model, prob) -> positives and negatives at that exact score."""
-    return scores.groupBy(M, P).agg(F.count_if(F.col(Y) == 1).alias("pos"), F.count_if(F.col(Y) == 0).alias("neg"))
+    return scored_rows(scores).groupBy(M, P).agg(F.count_if(F.col(Y) == 1).alias("pos"), F.count_if(F.col(Y) == 0).alias("neg"))
 
 
-def ranked_groups(scores: DataFrame, max_rows_per_task: int = 1_000_000) -> DataFrame:
+def ranked_groups(scores: DataFrame) -> DataFrame:
     """Per (model, distinct score): pos/neg, class totals and the counts at or above the score.
 
-    Rows are first collapsed to distinct (model, score) and written once. If that table holds at
-    most ``max_rows_per_task`` rows (a metadata count), a window partitioned by model is provably
-    small enough for one task per model; otherwise running totals are range-split."""
+    Rows are first collapsed to distinct (model, score) and written once; running totals are
+    range-split, so a model of any size is spread over tasks."""
     g = checkpointed(score_groups(scores))
-    if g.count() <= max_rows_per_task:
-        w = Window.partitionBy(M).orderBy(P).rowsBetween(Window.unboundedPreceding, 0)
-        cum = g.withColumn("cum_pos", F.sum("pos").over(w)).withColumn("cum_neg", F.sum("neg").over(w))
-    else:
-        cum = running_totals(g, P, ["pos", "neg"], [M])
+    cum = running_totals(g, P, ["pos", "neg"], [M])
     tot = g.groupBy(M).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     j = cum.join(tot, M)  # one row per model; AQE broadcasts it after measuring it
     return j.select(M, P, "pos", "neg", "P", "N",
@@ -129,14 +129,14 @@ def _ap_expr():
     return F.sum(F.col("pos") / F.col("P") * prec)
 
 
-def roc_auc(scores: DataFrame, **kw) -> DataFrame:
+def roc_auc(scores: DataFrame) -> DataFrame:
     """Tie-aware ROC-AUC (Mann-Whitney): sum_g pos_g * (neg_below_g + neg_g / 2) / (P * N)."""
-    return ranked_groups(scores, **kw).groupBy(M).agg(_auc_expr().alias("roc_auc"))
+    return ranked_groups(scores).groupBy(M).agg(_auc_expr().alias("roc_auc"))
 
 
-def average_precision(scores: DataFrame, **kw) -> DataFrame:
+def average_precision(scores: DataFrame) -> DataFrame:
     """Step-sum average precision: sum_g (pos_g / P) * precision at threshold g."""
-    return ranked_groups(scores, **kw).groupBy(M).agg(_ap_expr().alias("average_precision"))
+    return ranked_groups(scores).groupBy(M).agg(_ap_expr().alias("average_precision"))
 
 
 def rank_metrics(scores: DataFrame) -> DataFrame:
@@ -178,6 +178,7 @@ def brier(scores: DataFrame) -> DataFrame:
 
 def score_histogram(scores: DataFrame, bins: int = 50) -> DataFrame:
     """Density histogram per (model, class) with the bin range taken per class."""
+    scores = scored_rows(scores)
     rng = scores.groupBy(M, Y).agg(F.min(P).alias("lo0"), F.max(P).alias("hi0"), F.count(F.lit(1)).alias("n"))
     rng = rng.select(M, Y, "n",
                      F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),

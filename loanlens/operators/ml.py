@@ -14,12 +14,13 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .clean import median_impute
 from .ordered import exact_medians, running_totals
@@ -41,13 +42,13 @@ class ExactMedianImputer:
 
 
 def order_key(df: DataFrame, key: str, seed: int | None) -> DataFrame:
-    """Deterministic rank key: the id itself, or a seeded 64-bit hash of it."""
-    k = F.col(key).cast("double") if seed is None else F.xxhash64(F.col(key), F.lit(seed)).cast("double")
-    return df.withColumn("_ord", k)
+    """Deterministic rank key: a seeded 64-bit hash of the id, or without a seed a numeric id itself."""
+    k = F.xxhash64(F.col(key), F.lit(0 if seed is None else seed))
+    return df.withColumn("_ord", k if seed is not None or isinstance(df.schema[key].dataType, StringType) else F.col(key))
 
 
 def class_ranks(df: DataFrame, label: str, key: str, seed: int | None = None) -> DataFrame:
-    ranked = running_totals(order_key(df, key, seed).withColumn("_one", F.lit(1)), "_ord", ["_one"], [label])
+    ranked = running_totals(order_key(df, key, seed).withColumn("_one", F.lit(1)), "_ord", ["_one"], [label], tie_cols=[key])
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
     return ranked.join(sizes, label).withColumnRenamed("cum__one", "_rank").drop("_one", "_ord")
 
@@ -67,8 +68,18 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
     return r.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_class_n")
 
 
-def assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+def preprocessing(features: Sequence[str]) -> list:
+    """Pipeline stages before a model: medians fitted on the training rows fill nulls, then the
+    vector. They are saved with the model and refitted in each fold."""
+    filled = [f"filled_{f}" for f in features]
+    return [Imputer(strategy="median", inputCols=list(features), outputCols=filled, relativeError=1e-4),
+            VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="error")]
+
+
+def filled(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``df`` with the features as the model sees them."""
+    out = model.stages[0].transform(df)
+    return out.drop(*features).withColumnsRenamed({f"filled_{f}": f for f in features})
 
 
 def with_class_weight(df: DataFrame, label: str) -> DataFrame:
@@ -93,14 +104,14 @@ def fit_gbt(train: DataFrame, features: Sequence[str], label: str, max_iter: int
             step: float = 0.05, subsample: float = 0.8, seed: int = 42) -> PipelineModel:
     gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=max_iter, maxDepth=depth,
                         stepSize=step, subsamplingRate=subsample, seed=seed)
-    return Pipeline(stages=[assembler(features), gbt]).fit(training_frame(train, label))
+    return Pipeline(stages=[*preprocessing(features), gbt]).fit(training_frame(train, label))
 
 
 def fit_random_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 6,
                       seed: int = 42) -> PipelineModel:
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees,
                                 maxDepth=depth, seed=seed)
-    return Pipeline(stages=[assembler(features), rf]).fit(training_frame(train, label))
+    return Pipeline(stages=[*preprocessing(features), rf]).fit(training_frame(train, label))
 
 
 def fit_logreg(train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
@@ -108,19 +119,20 @@ def fit_logreg(train: DataFrame, features: Sequence[str], label: str) -> Pipelin
     n = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=1.0 / max(n, 1),
                             elasticNetParam=0.0, standardization=True, maxIter=200)
-    return Pipeline(stages=[assembler(features), lr]).fit(training_frame(train, label))
+    return Pipeline(stages=[*preprocessing(features), lr]).fit(training_frame(train, label))
 
 
 def score_model(model: PipelineModel, df: DataFrame, name: str = "prob") -> DataFrame:
     out = model.transform(df)
-    return out.withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability",
-                                                                         "prediction")
+    gone = [c for c in out.columns if c.startswith("filled_")]
+    return out.withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction", *gone)
 
 
 def calibrate(cal: DataFrame, prob: str, label: str):
     """Isotonic calibration (increasing); predictions outside the fitted range take the edge value."""
-    return IsotonicRegression(featuresCol=prob, labelCol=label, predictionCol="prob_calibrated",
-                              isotonic=True).fit(cal)
+    points = (cal.where(F.col(prob).isNotNull()).groupBy(prob).agg(F.avg(F.col(label).cast("double")).alias(label), F.count(F.lit(1)).cast("double").alias("_w")))
+    return IsotonicRegression(featuresCol=prob, labelCol=label, weightCol="_w", predictionCol="prob_calibrated",
+                              isotonic=True).fit(points)
 
 
 def cv_search(train: DataFrame, features: Sequence[str], label: str, fold_col: str = "fold", n_trials: int = 4,
@@ -133,7 +145,7 @@ def cv_search(train: DataFrame, features: Sequence[str], label: str, fold_col: s
     depths = sorted({rng.choice([3, 4, 5, 6]) for _ in range(n_trials)})
     steps = sorted({round(10 ** rng.uniform(-2, -0.7), 4) for _ in range(n_trials)})
     grid = grid.addGrid(gbt.maxDepth, depths).addGrid(gbt.stepSize, steps).addGrid(gbt.maxIter, [20]).build()
-    cv = CrossValidator(estimator=Pipeline(stages=[assembler(features), gbt]), estimatorParamMaps=grid,
+    cv = CrossValidator(estimator=Pipeline(stages=[*preprocessing(features), gbt]), estimatorParamMaps=grid,
                         evaluator=BinaryClassificationEvaluator(labelCol=label, numBins=0), foldCol=fold_col,
                         parallelism=parallelism, seed=seed)
     model = cv.fit(training_frame(train, label))

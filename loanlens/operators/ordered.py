@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_parallelism, ensure_checkpoint_dir
+from ..session import default_parallelism, ensure_checkpoint_dir, literal_broadcast, literal_table
 
 _BUCKET = "_range_id"
 
@@ -80,26 +80,18 @@ def running_totals(
     ranged = _range_ids(base, order_col, n, rel_err)
     totals = ranged.groupBy(*group_cols, _BUCKET).agg(*[F.sum(c).alias(c) for c in sum_cols])
     if group_cols:
+        # offsets hold <= groups x ranges rows; the planner decides on the join by their measured size
         before = Window.partitionBy(*group_cols).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(
-            *group_cols, _BUCKET,
-            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols],
-        )
-        # offsets hold <= groups x ranges rows; the join is left to AQE, which switches to a
-        # broadcast only after measuring the materialised size (no extra pass to check it)
-        joined = ranged.join(offsets, [*group_cols, _BUCKET])
+        offsets = totals.select(*group_cols, _BUCKET, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in sum_cols])
     else:
-        # one group: at most n_ranges + 1 totals rows; prefix-sum them on the driver and
-        # carry the offsets as a literal map (no join, no single-partition exchange)
-        rows = sorted(totals.collect(), key=lambda r: r[_BUCKET])
-        joined = ranged
-        for c in sum_cols:
-            acc, items = 0, []
-            for r in rows:
-                items += [F.lit(r[_BUCKET]), F.lit(acc)]
-                acc += r[c] or 0
-            off = F.try_element_at(F.create_map(*items), F.col(_BUCKET)) if items else F.lit(0)
-            joined = joined.withColumn(f"_off_{c}", F.coalesce(off, F.lit(0)))
+        # one group: at most n_ranges + 1 rows are summed up on the driver and joined as a literal table
+        acc, rows = [0] * len(sum_cols), []
+        for r in sorted(totals.collect(), key=lambda r: r[_BUCKET]):
+            rows.append((r[_BUCKET], *acc))
+            acc = [a + (r[c] or 0) for a, c in zip(acc, sum_cols)]
+        names = [_BUCKET, *[f"_off_{c}" for c in sum_cols]]
+        offsets = literal_broadcast(literal_table(df.sparkSession, rows or [(-1, *acc)], names))
+    joined = ranged.join(offsets, [*group_cols, _BUCKET])
     upto = (Window.partitionBy(*group_cols, _BUCKET).orderBy(order_col, *tie_cols)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = joined
@@ -114,15 +106,10 @@ def exact_quantiles(
     probs: Sequence[float] = (0.5,),
     group_cols: Sequence[str] = (),
     names: Sequence[str] | None = None,
-    max_distinct: int = 1_000_000,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas/numpy default), nulls skipped.
 
-    Values are collapsed to (value, multiplicity) and written once. When that table holds at
-    most ``max_distinct`` rows, the exact ``percentile`` aggregate finishes in one job;
-    otherwise ranks are located with range-split running totals (no task ever holds more than
-    one value range).
-
+    Ranks are located with range-split running totals: no task ever holds more than one value range.
     Values are first collapsed to (value, multiplicity), so a hot value costs one row.
     Returns one row per group with one column per probability.
     """
@@ -133,11 +120,6 @@ def exact_quantiles(
     # the distinct-value table is read three times (range bounds, range totals, final pass):
     # write it once to the reliable checkpoint folder instead of recomputing the input plan
     counted = checkpointed(counted)
-    if counted.count() <= max_distinct:  # row count of the written table: a metadata read
-        # proven small: Spark's exact percentile aggregate (with the multiplicity as frequency)
-        # merges at most ``max_distinct`` values per group in one job
-        aggs = [F.percentile(F.col(value_col).cast("double"), p, F.col("_n")).alias(nm) for p, nm in zip(probs, names)]
-        return counted.groupBy(*group_cols).agg(*aggs) if group_cols else counted.agg(*aggs)
     cum = running_totals(counted, value_col, ["_n"], group_cols)
     sizes = counted.groupBy(*group_cols).agg(F.sum("_n").alias("_total"))
     ranks = []
@@ -190,6 +172,12 @@ def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]
 
 
 def sequential_index(df: DataFrame, order_col: str, name: str = "seq") -> DataFrame:
-    """1-based row number in ascending ``order_col`` (unique) without a global single-partition window."""
-    return running_totals(df.withColumn("_one", F.lit(1)), order_col, ["_one"]).withColumnRenamed(
-        "cum__one", name).drop("_one")
+    """1-based row number in ascending ``order_col`` (any type, nulls last): a distributed sort, whose
+    partitions' row counts give each partition its first number. The sorted table is written, so a
+    lost executor cannot change the numbers."""
+    at = checkpointed(df.orderBy(F.col(order_col).asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()))
+    numbered = at.withColumn("_part", F.shiftright("_at", 33))
+    counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
+    first = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return numbered.join(first, "_part").withColumn(name, F.col("_first") + place).drop("_at", "_part", "_first")

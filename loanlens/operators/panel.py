@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.scalars import clip
 
 KEY, ORDER = "company_id", "month"
@@ -75,7 +76,8 @@ def expanding_features(df: DataFrame, points: Sequence[int] = range(6, 13), key:
     """Snapshot features at every point t over all months <= t (declines vs the first month,
     summed delay counter, utilisation growth, cash-flow volatility, mean EMI-to-revenue)."""
     lo, hi = min(points), max(points)
-    rows = df.withColumn("t", F.explode(F.sequence(F.greatest(F.col(order), F.lit(lo)), F.lit(hi))))
+    rows = (df.where(F.col(order) <= hi)  # a step, so that the sequence never runs downwards
+            .withColumn("t", F.explode(F.sequence(F.greatest(F.col(order), F.lit(lo)), F.lit(hi), F.lit(1)))))
     snap = F.struct("gst_turnover", "monthly_sales", "account_balance", "credit_utilization", "sector",
                     "outstanding_loan" if "outstanding_loan" in df.columns else F.lit(None).alias("outstanding_loan"),
                     "default")
@@ -121,8 +123,12 @@ def floored_balance(df: DataFrame, opening: str, inflow: str, outflow: str, name
 
 
 def derive_features(snap: DataFrame) -> DataFrame:
-    """Monthly-blueprint columns -> the sixteen scorecard features (all-or-nothing derivation;
-    stress ratio and revenue trend are kept when already present)."""
+    """Monthly-blueprint columns -> the sixteen scorecard features.
+
+    An upload that has all sixteen keeps them as they are. Otherwise they are derived; stress ratio,
+    revenue trend, credit lines, real-estate loans and dependents are kept where present."""
+    if set(K.MSME_FEATURES) <= set(snap.columns):
+        return snap
     util = F.coalesce(F.col("credit_utilization"), F.lit(0.4)) if "credit_utilization" in snap.columns else F.lit(0.4)
     wc = F.coalesce(F.col("working_capital_usage"), F.lit(0.5)) if "working_capital_usage" in snap.columns else F.lit(0.5)
     emi = F.coalesce(F.col("emi_delay_count"), F.lit(0)) if "emi_delay_count" in snap.columns else F.lit(0)
@@ -137,8 +143,8 @@ def derive_features(snap: DataFrame) -> DataFrame:
         stab = F.lit(0.5)
     stress = F.col("cashflow_stress_ratio") if "cashflow_stress_ratio" in snap.columns else clip(debt, 0.0, 5.0)
     trend = F.col("revenue_trend_index") if "revenue_trend_index" in snap.columns else clip(1.2 - debt * 0.4, 0.2, 2.0)
-    replaced = ("cashflow_stress_ratio", "revenue_trend_index", "working_capital_usage", "emi_delay_count")
-    base = [c for c in snap.columns if c not in replaced]
+    kept = lambda c, v: F.coalesce(F.col(c), F.lit(v)) if c in snap.columns else F.lit(v)
+    base = [c for c in snap.columns if c not in K.MSME_FEATURES]
     return snap.select(
         *base,
         clip(util, 0.01, 0.99).alias("revolving_utilization"),
@@ -146,9 +152,9 @@ def derive_features(snap: DataFrame) -> DataFrame:
         clip(emi, 0, 12).cast("int").alias("late_30_59"),
         clip(emi - 1, 0, 12).cast("int").alias("late_60_89"),
         clip(emi - 2, 0, 12).cast("int").alias("late_90_days"),
-        F.lit(8).alias("open_credit_lines"),
-        F.lit(1).alias("real_estate_loans"),
-        F.lit(1).alias("num_dependents"),
+        kept("open_credit_lines", 8).cast("int").alias("open_credit_lines"),
+        kept("real_estate_loans", 1).cast("int").alias("real_estate_loans"),
+        kept("num_dependents", 1).cast("int").alias("num_dependents"),
         stab.alias("income_stability"),
         clip(1 - emi * 0.12, 0.0, 1.0).alias("gst_compliance_score"),
         stress.alias("cashflow_stress_ratio"),
@@ -163,11 +169,11 @@ def derive_features(snap: DataFrame) -> DataFrame:
 MONTH_ABBR = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
 
-def derive_events(panel: DataFrame, year: int = 1997, key: str = KEY, order: str = ORDER) -> DataFrame:
+def derive_events(panel: DataFrame, year: Column, key: str = KEY, order: str = ORDER) -> DataFrame:
     """Typed journey events from monthly state: missed or paid instalment, GST filing status,
     supplier-delay alert when working-capital usage is above 0.85. One row per event."""
     mon = F.element_at(F.array(*[F.lit(m) for m in MONTH_ABBR]), F.col(order))
-    suffix = F.concat(F.lit(" — "), mon, F.lit(f" {year}"))
+    suffix = F.concat(F.lit(" — "), mon, F.lit(" "), year.cast("string"))
     missed = F.col("returns_in_month") > 0
     ev = F.array(
         F.when(missed, F.struct(F.lit(1).alias("seq"), F.lit("critical").alias("type"),
@@ -183,6 +189,6 @@ def derive_events(panel: DataFrame, year: int = 1997, key: str = KEY, order: str
                         F.lit("Supplier Payment Delay Detected").alias("desc"))),
     )
     kept = F.filter(ev, lambda e: e.isNotNull())
-    return (panel.select(key, order, F.make_date(F.lit(year), F.col(order), F.lit(12)).alias("date"),
+    return (panel.select(key, order, F.make_date(year.cast("int"), F.col(order), F.lit(12)).alias("date"),
                          F.explode(kept).alias("e"))
             .select(key, order, "date", "e.seq", "e.type", "e.desc"))

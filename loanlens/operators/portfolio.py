@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.scalars import map_lookup, risk_band, risk_score
-from ..session import bounded_broadcast, literal_broadcast, literal_table
+from ..session import literal_broadcast, literal_table
 
 
 def round_doubles(df: DataFrame, places: int = 6, overrides: Mapping[str, int] | None = None) -> DataFrame:
@@ -35,9 +35,9 @@ def with_lgd(df: DataFrame, key: str = "sector", lgd_map: Mapping[str, float] =
     return df.withColumn("lgd", map_lookup(key, lgd_map, default).cast("double"))
 
 
-def lookup(df: DataFrame, dim: DataFrame, on: str, value: str, default=None, max_rows: int = 1_000_000) -> DataFrame:
-    """Left equi-join against a dimension frame, broadcast only behind a size check."""
-    joined = df.join(bounded_broadcast(dim.select(on, value), max_rows), on, "left")
+def lookup(df: DataFrame, dim: DataFrame, on: str, value: str, default=None) -> DataFrame:
+    """Left equi-join against a dimension frame; the planner broadcasts it below its byte threshold."""
+    joined = df.join(dim.select(on, value), on, "left")
     return joined if default is None else joined.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
@@ -95,16 +95,16 @@ def _one_row_concat(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def top_borrowers(scored: DataFrame, n: int = 50, cols: Sequence[str] = ("company_id", "sector", "loan_type",
                                                                             "pd", "outstanding_loan"),
-                  extra: bool = True, places: int = 6) -> DataFrame:
-    """Top-n by PD (rounded to ``places``) with an id tie-break.
+                  extra: bool = True, places: int = 6, by: str = "margin") -> DataFrame:
+    """Top-n by PD with an id tie-break. The order is that of the log-odds (``by``), which still tells
+    apart borrowers whose PD is 1 to the last digit; only the printed PD is rounded.
 
     Plans as TakeOrderedAndProject: each partition keeps its own top-n, then one merge of
     n x partitions rows — no full sort.
     """
     extras = [risk_band("pd").alias("risk_band"), risk_score("pd").alias("risk_score")] if extra else []
-    out = (scored.select(*cols, *extras).withColumn("pd", F.round("pd", places))
-           .orderBy(F.desc("pd"), F.asc("company_id")).limit(n))
-    return round_doubles(out, places, {"outstanding_loan": 2})
+    out = scored.select(*cols, *extras, *([by] if by not in cols else [])).orderBy(F.desc(by), F.asc("company_id")).limit(n)
+    return round_doubles(out if by in cols else out.drop(by), places, {"outstanding_loan": 2})
 
 
 def append_portfolio(current: DataFrame, new: DataFrame) -> DataFrame:

@@ -43,6 +43,9 @@ def context(scored: DataFrame, drivers: DataFrame, actions: DataFrame, k: int =
             .join(d, key, "left").join(a, key, "left"))
 
 
+NOT_FOUND = "Borrower not found"  # fixed text
+
+
 def attention_text(top: Sequence) -> str:
     lines = [f"• {r['company_id']} ({r['sector']}) — PD {r['pd_pct']}%, {r['band']}" for r in top]
     return "Borrowers requiring immediate attention (highest PD):\n" + "\n".join(lines)
@@ -50,7 +53,9 @@ def attention_text(top: Sequence) -> str:
 
 def answer(questions: DataFrame, ctx: DataFrame, portfolio_text: str, key: str = "company_id",
            text: str = "question") -> DataFrame:
-    j = questions.join(ctx, key, "left")
+    j = questions.join(ctx.withColumn("_known", F.lit(True)), key, "left")
+    none = F.col(key).isNull()  # no borrower was asked for
+    unknown = ~none & F.col("_known").isNull()
     cid = F.col(key).cast("string")
     pd_pct = _num(F.col("pd") * 100, 1)
     drivers = F.coalesce(F.nullif(F.col("drivers_text"), F.lit("")), F.lit("no dominant signals"))
@@ -66,7 +71,7 @@ def answer(questions: DataFrame, ctx: DataFrame, portfolio_text: str, key: str =
                    F.lit(". Projected expected loss is ₹"), money(F.col("expected_loss")),
                    F.lit(" (PD × EAD ₹"), money(F.col("ead")), F.lit(" × LGD "), _num(F.col("lgd") * 100, 0),
                    F.lit("%)."))
-    body = F.when(F.col("pd").isNull(), F.lit(portfolio_text)).when(r == "action", action).when(r == "trend", trend) \
+    body = F.when(none, F.lit(portfolio_text)).when(unknown, F.lit(NOT_FOUND)).when(r == "action", action).when(r == "trend", trend) \
         .otherwise(why)
-    return j.select("*", F.when(F.col("pd").isNull(), F.lit("portfolio")).otherwise(r).alias("route"),
-                    body.alias("answer"))
+    return j.select("*", F.when(none, F.lit("portfolio")).when(unknown, F.lit("unknown")).otherwise(r).alias("route"),
+                    body.alias("answer")).drop("_known")

@@ -64,8 +64,8 @@ def _case_map(col: str, mapping: dict) -> str:
 FEATS = K.MSME_FEATURES
 ATTR = V_SCORED + f""",
 att_long AS (
-  UNPIVOT (SELECT company_id, {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATS)} FROM v_borrower)
-  ON {", ".join(FEATS)} INTO NAME feature VALUE value),
+  SELECT company_id, feature, value FROM (SELECT company_id, {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATS)} FROM v_borrower)
+  UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(FEATS)}))),
 att AS (
   SELECT a.company_id, a.feature, a.value,
          {_case_map('a.feature', K.SCORECARD_WEIGHTS)} *
@@ -73,7 +73,7 @@ att AS (
           / ((CASE a.feature {" ".join(f"WHEN '{f}' THEN z.s_{f}" for f in FEATS)} END) + {K.ZSCORE_EPS})) AS impact
   FROM att_long a CROSS JOIN bz z),
 drv AS (
-  SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY round(abs(impact), 9) DESC, feature ASC) AS rank FROM att),
+  SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY round(abs(impact), 12) DESC, feature ASC) AS rank FROM att),
 acts AS (
   SELECT s.company_id, l.seq, l.action FROM v_scored s
   JOIN (VALUES {", ".join("('{}', {}, '{}')".format(b, i + 1, a) for b, acts in K.ACTION_LADDER_MSME.items() for i, (_, a, _d) in enumerate(acts))}) AS l(band, seq, action)
@@ -90,9 +90,9 @@ def attribution(spark, sf):
 
 # ---------------------------------------------------------------- attribution ----------
 @register("linear_attribution", dsql("""
-SELECT company_id, feature, round(value, 6) AS value, round(impact, 6) AS impact FROM att"""))
+SELECT company_id, feature, round(value, 8) AS value, round(impact, 6) AS impact FROM att"""))
 def q_linear_attribution(spark, sf):
-    return round_doubles(attribution(spark, sf))
+    return round_doubles(attribution(spark, sf), 6, {"value": 8})
 
 
 @register("top_drivers", dsql("""
@@ -141,18 +141,18 @@ def msme_trajectory(spark, sf):
 
 
 @register("pd_trajectory_panel", dsql(f"""
-SELECT company_id, month_idx, month, round(pd, 6) AS pd, {S.band('round(pd, 6)')} AS band FROM traj""", _traj_sql()))
+SELECT company_id, month_idx, month, round(pd, 6) AS pd, {S.band('pd')} AS band FROM traj""", _traj_sql()))
 def q_pd_trajectory_panel(spark, sf):
-    t = msme_trajectory(spark, sf).withColumn("pd", F.round("pd", 6)).withColumn("band", risk_band("pd"))
-    return t.withColumn("month_idx", F.col("month_idx").cast("long"))
+    t = msme_trajectory(spark, sf).withColumn("band", risk_band("pd"))
+    return round_doubles(t.withColumn("month_idx", F.col("month_idx").cast("long")))
 
 
 @register("risk_migration", dsql(f"""
-SELECT s.company_id, {S.band('round(t.pd, 6)')} AS start_band, s.band AS end_band,
-       {S.band('round(t.pd, 6)')} <> s.band AS migrated
+SELECT s.company_id, {S.band('t.pd')} AS start_band, s.band AS end_band,
+       {S.band('t.pd')} <> s.band AS migrated
 FROM v_scored s JOIN traj t ON s.company_id = t.company_id AND t.month_idx = 0""", _traj_sql()))
 def q_risk_migration(spark, sf):
-    t = msme_trajectory(spark, sf).withColumn("band", risk_band(F.round("pd", 6)))
+    t = msme_trajectory(spark, sf).withColumn("band", risk_band("pd"))
     return TR.migration(t, V.borrowers(spark, sf)).select("company_id", "start_band", "end_band", "migrated")
 
 
@@ -248,12 +248,12 @@ def q_borrower_context(spark, sf):
 @register("borrower_detail", dsql(f"""
 SELECT s.company_id, s.sector, s.loan_type, round(s.outstanding_loan, 2) AS outstanding_loan, s.lgd AS lgd_pct,
        round(s.expected_loss, 2) AS expected_loss, round(s.potential_recovery, 2) AS potential_recovery,
-       round(s.pd, 6) AS current_pd, s.band AS risk_band, {S.band('round(t.pd, 6)')} AS start_band, s.band AS end_band,
+       round(s.pd, 6) AS current_pd, s.band AS risk_band, {S.band('t.pd')} AS start_band, s.band AS end_band,
        (SELECT count(*) FROM acts a WHERE a.company_id = s.company_id) AS n_actions
 FROM v_scored s JOIN traj t ON s.company_id = t.company_id AND t.month_idx = 0""", _traj_sql()))
 def q_borrower_detail(spark, sf):
     s = scored(spark, sf)
-    t = msme_trajectory(spark, sf).withColumn("band", risk_band(F.round("pd", 6)))
+    t = msme_trajectory(spark, sf).withColumn("band", risk_band("pd"))
     mig = TR.migration(t, V.borrowers(spark, sf)).select("company_id", "start_band", "end_band")
     n_act = P.action_plan(s.select("company_id", "band")).groupBy("company_id").agg(F.count(F.lit(1)).alias("n_actions"))
     out = (s.select("company_id", "sector", "loan_type", "outstanding_loan", F.col("lgd").alias("lgd_pct"),
@@ -287,16 +287,16 @@ _DRV = "coalesce(nullif(drivers_text, ''), 'no dominant signals')"
 _ACT = "coalesce(nullif(actions_text, ''), 'Continue standard monitoring')"
 _ANSWER = f"""
 qs AS (SELECT conv_id, turn, conv_id AS company_id, text AS question FROM conversations WHERE role = 'user'),
-att5 AS (SELECT company_id, sector, {num_sql('round(pd, 6) * 100', 1)} AS p, band FROM v_scored ORDER BY round(pd, 6) DESC, company_id LIMIT 5),
+att5 AS (SELECT company_id, sector, v_scored.margin AS raw, {num_sql('round(pd, 6) * 100', 1)} AS p, band FROM v_scored ORDER BY v_scored.margin DESC NULLS LAST, company_id LIMIT 5),
 ptxt AS (SELECT 'Borrowers requiring immediate attention (highest PD):' || chr(10) ||
                 string_agg('• ' || company_id || ' (' || sector || ') — PD ' || p || '%, ' || band, chr(10) ORDER BY rn) AS t
-         FROM (SELECT *, row_number() OVER (ORDER BY p::DOUBLE DESC, company_id) AS rn FROM att5))"""
+         FROM (SELECT *, row_number() OVER (ORDER BY raw DESC NULLS LAST, company_id) AS rn FROM att5))"""
 
 
 @register("answer_questions", dsql(f"""
 SELECT q.conv_id, q.turn, q.company_id,
-       CASE WHEN c.pd IS NULL THEN 'portfolio' ELSE {_route_sql('q.question')} END AS route,
-       CASE WHEN c.pd IS NULL THEN (SELECT t FROM ptxt)
+       CASE WHEN q.company_id IS NULL THEN 'portfolio' WHEN c.company_id IS NULL THEN 'unknown' ELSE {_route_sql('q.question')} END AS route,
+       CASE WHEN q.company_id IS NULL THEN (SELECT t FROM ptxt) WHEN c.company_id IS NULL THEN 'Borrower not found'
             WHEN {_route_sql('q.question')} = 'action' THEN
               CAST(q.company_id AS VARCHAR) || ' is in the ' || c.band || ' band (PD ' || {_PCT1} || '%). Recommended interventions: ' || {_ACT} || '.'
             WHEN {_route_sql('q.question')} = 'trend' THEN

@@ -49,7 +49,7 @@ def q_portfolio_state(spark, sf):
     """Replace the portfolio table with the current book, append the new batch, read the state."""
     path = scratch(spark, "portfolio")
     s = scored(spark, sf).select("company_id", "sector", "pd")
-    TB.write_table(s.where(F.col("sector") != "HOUSEHOLD"), path, mode="overwrite")
+    TB.write_table(s.where(~F.col("sector").eqNullSafe("HOUSEHOLD")), path, mode="overwrite")
     TB.write_table(s.where(F.col("sector") == "HOUSEHOLD"), path, mode="append")
     return spark.read.parquet(path).groupBy("sector").agg(F.count(F.lit(1)).alias("borrowers"))
 

@@ -94,7 +94,7 @@ def q_recall_floor_threshold(spark, sf):
 
 RANKED = """
 sg AS (SELECT model, prob, count(*) FILTER (WHERE y_true = 1) AS pos, count(*) FILTER (WHERE y_true = 0) AS neg
-       FROM v_scores GROUP BY model, prob),
+       FROM v_scores WHERE prob IS NOT NULL GROUP BY model, prob),
 rk AS (
   SELECT model, prob, pos, neg,
          sum(pos) OVER (PARTITION BY model) AS "P", sum(neg) OVER (PARTITION BY model) AS "N",
@@ -122,14 +122,14 @@ def q_average_precision(spark, sf):
 SELECT model, prob AS threshold, round(CAST(fp_at AS DOUBLE) / "N", 6) AS fpr, round(CAST(tp_at AS DOUBLE) / "P", 6) AS tpr
 FROM rk""", RANKED))
 def q_roc_curve(spark, sf):
-    return round_doubles(MT.roc_curve(V.scores(spark, sf)))
+    return round_doubles(MT.roc_curve(V.scores(spark, sf)), 6, {"threshold": V.SCORE_PLACES})
 
 
 @register("pr_curve", ssql("""
 SELECT model, prob AS threshold, round(CAST(tp_at AS DOUBLE) / (tp_at + fp_at), 6) AS precision,
        round(CAST(tp_at AS DOUBLE) / "P", 6) AS recall FROM rk""", RANKED))
 def q_pr_curve(spark, sf):
-    return round_doubles(MT.pr_curve(V.scores(spark, sf)))
+    return round_doubles(MT.pr_curve(V.scores(spark, sf)), 6, {"threshold": V.SCORE_PLACES})
 
 
 _EPS = "2.220446049250313e-16"
@@ -152,11 +152,11 @@ def q_brier(spark, sf):
 SELECT s.model, s.y_true, CAST(least(floor((s.prob - r.lo) * (50.0 / (r.hi - r.lo))), 49) AS INTEGER) AS bin,
        count(*) AS count, round(min(r.lo) + CAST(least(floor((s.prob - r.lo) * (50.0 / (r.hi - r.lo))), 49) AS INTEGER) * (min(r.hi) - min(r.lo)) / 50, 9) AS bin_start,
        round(count(*) / (min(r.n) * ((min(r.hi) - min(r.lo)) / 50)), 6) AS density
-FROM v_scores s JOIN (
+FROM (SELECT * FROM v_scores WHERE prob IS NOT NULL) s JOIN (
   SELECT model, y_true, count(*) AS n,
          CASE WHEN min(prob) = max(prob) THEN min(prob) - 0.5 ELSE min(prob) END AS lo,
          CASE WHEN min(prob) = max(prob) THEN max(prob) + 0.5 ELSE max(prob) END AS hi
-  FROM v_scores GROUP BY model, y_true) r ON s.model = r.model AND s.y_true = r.y_true
+  FROM v_scores WHERE prob IS NOT NULL GROUP BY model, y_true) r ON s.model = r.model AND s.y_true = r.y_true
 GROUP BY s.model, s.y_true, 3"""))
 def q_score_histogram(spark, sf):
     return round_doubles(MT.score_histogram(V.scores(spark, sf)), 6, {"bin_start": 9})

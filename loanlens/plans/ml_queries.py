@@ -21,8 +21,11 @@ LABEL = "default"
 FEATS = K.MSME_FEATURES
 
 
-def split_borrowers(spark, sf, frac=0.2):
-    return ML.stratified_split(V.borrowers(spark, sf), LABEL, "company_id", frac)
+SEED = 42
+
+
+def split_borrowers(spark, sf, frac=0.2, seed=None):
+    return ML.stratified_split(V.borrowers(spark, sf), LABEL, "company_id", frac, seed)
 
 
 @register("stratified_split", S.with_views(S.BORROWER_FEATURES, body="""
@@ -41,7 +44,7 @@ def q_stratified_folds(spark, sf):
 
 
 def _train_test(spark, sf):
-    d = split_borrowers(spark, sf).select("company_id", LABEL, "split", *FEATS)
+    d = split_borrowers(spark, sf, seed=SEED).select("company_id", LABEL, "split", *FEATS)
     return d.where(F.col("split") == "train"), d
 
 
@@ -77,7 +80,7 @@ def q_calibrated_scores(spark, sf):
     """Boosted trees fitted on 80 % of train, isotonic map fitted on the other 20 % of train,
     applied to the test split."""
     train, every = _train_test(spark, sf)
-    inner = ML.stratified_split(train.drop("split"), LABEL, "company_id", 0.2).withColumnRenamed("split", "inner")
+    inner = ML.stratified_split(train.drop("split"), LABEL, "company_id", 0.2, seed=SEED + 1).withColumnRenamed("split", "inner")
     fit_part = inner.where(F.col("inner") == "train").drop("inner")
     cal_part = inner.where(F.col("inner") == "test").drop("inner")
     model = ML.fit_gbt(fit_part, FEATS, LABEL, max_iter=30, depth=4)
@@ -102,7 +105,7 @@ def q_cross_dataset_eval(spark, sf):
     loans = V.loans(spark, sf).withColumn("y_true", status_label("loan_status", FIXTURE_DEFAULT_STATUSES))
     feats = FE.harmonise_loans(loans).join(loans.select("order_id", "line_no", "y_true"), ["order_id", "line_no"])
     scored = ML.score_model(model, feats).select(F.lit("gbt_cross").alias("model"),
-                                                 F.col("order_id").alias("id"), "y_true", F.round("prob", 6).alias("prob"))
+                                                 F.col("order_id").alias("id"), "y_true", "prob")
     cm = MT.classification_metrics(MT.threshold_counts(scored, [0.30]))
     return round_doubles(MT.roc_auc(scored).join(cm, "model"))
 
@@ -116,4 +119,4 @@ def q_tree_attribution(spark, sf):
     train, every = _train_test(spark, sf)
     model = ML.fit_gbt(train, FEATS, LABEL, max_iter=30, depth=4)
     trees, weights = AT.tree_tables(spark, model.stages[-1], scratch(spark, "gbt_model"))
-    return AT.tree_shap_attribution(every, trees, weights, FEATS)
+    return AT.tree_shap_attribution(ML.filled(model, every, FEATS), trees, weights, FEATS)

@@ -162,18 +162,18 @@ def q_ingest_portfolio(spark, sf):
 
 
 @register("derive_events", psql("""
-SELECT company_id, month, make_date(1997, month, 12) AS date, e.seq, e.type, e."desc" FROM (
+SELECT company_id, month, make_date(CAST(company_id % 10000 AS INTEGER), month, 12) AS date, e.seq, e.type, e."desc" FROM (
   SELECT company_id, month, unnest([
-    CASE WHEN returns_in_month > 0 THEN {'seq': 1, 'type': 'critical', 'desc': 'EMI Missed — ' || m || ' 1997'}
-         ELSE {'seq': 1, 'type': 'success', 'desc': 'EMI Paid ✓ — ' || m || ' 1997'} END,
-    CASE WHEN returns_in_month > 0 THEN {'seq': 2, 'type': 'warning', 'desc': 'GST Filed Late — ' || m || ' 1997'}
-         ELSE {'seq': 2, 'type': 'success', 'desc': 'GST Filed ✓ — ' || m || ' 1997'} END,
+    CASE WHEN returns_in_month > 0 THEN {'seq': 1, 'type': 'critical', 'desc': 'EMI Missed — ' || m || ' ' || (company_id % 10000)}
+         ELSE {'seq': 1, 'type': 'success', 'desc': 'EMI Paid ✓ — ' || m || ' ' || (company_id % 10000)} END,
+    CASE WHEN returns_in_month > 0 THEN {'seq': 2, 'type': 'warning', 'desc': 'GST Filed Late — ' || m || ' ' || (company_id % 10000)}
+         ELSE {'seq': 2, 'type': 'success', 'desc': 'GST Filed ✓ — ' || m || ' ' || (company_id % 10000)} END,
     CASE WHEN working_capital_usage > 0.85 THEN {'seq': 3, 'type': 'critical', 'desc': 'Supplier Payment Delay Detected'} END
   ]) AS e
   FROM (SELECT *, ['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'][month] AS m FROM v_panel))
 WHERE e IS NOT NULL"""))
 def q_derive_events(spark, sf):
-    return PN.derive_events(V.panel(spark, sf))
+    return PN.derive_events(V.panel(spark, sf), F.col("company_id") % 10000)
 
 
 @register("label_align", psql("""

@@ -73,7 +73,7 @@ SELECT company_id, sector, {S.lgd_fixture('sector')} AS lgd FROM v_borrower"""))
 def q_lgd_lookup(spark, sf):
     dim = P.dim_from_mapping(spark, K.LGD_FIXTURE, "sector", "lgd")
     return P.lookup(V.borrowers(spark, sf).select("company_id", "sector"), dim, "sector", "lgd",
-                    K.LGD_FIXTURE_DEFAULT, max_rows=10_000)
+                    K.LGD_FIXTURE_DEFAULT)
 
 
 @register("expected_loss", sql("""
@@ -87,13 +87,13 @@ def q_expected_loss(spark, sf):
 @register("top_borrowers", sql("""
 SELECT company_id, sector, loan_type, round(pd, 6) AS pd, round(outstanding_loan, 2) AS outstanding_loan,
        band AS risk_band, risk_score
-FROM v_scored ORDER BY round(pd, 6) DESC, company_id ASC LIMIT 50"""))
+FROM v_scored ORDER BY margin DESC NULLS LAST, company_id ASC LIMIT 50"""))
 def q_top_borrowers(spark, sf):
     return P.round_doubles(P.top_borrowers(scored(spark, sf), 50), 6, {"outstanding_loan": MONEY})
 
 
 @register("attention_list", sql("""
-SELECT company_id, sector, round(pd, 6) AS pd, band FROM v_scored ORDER BY round(pd, 6) DESC, company_id ASC LIMIT 5"""))
+SELECT company_id, sector, round(pd, 6) AS pd, band FROM v_scored ORDER BY margin DESC NULLS LAST, company_id ASC LIMIT 5"""))
 def q_attention_list(spark, sf):
     return P.top_borrowers(scored(spark, sf), 5, ("company_id", "sector", "pd", "band"), extra=False)
 
@@ -114,18 +114,18 @@ SELECT count(*) FILTER (WHERE sector = 'HOUSEHOLD') AS added, count(*) AS total_
 def q_refresh_summary(spark, sf):
     """Refresh: the HOUSEHOLD segment arrives as a new batch on top of the rest of the portfolio."""
     s = scored(spark, sf)
-    current = s.where(F.col("sector") != "HOUSEHOLD")
+    current = s.where(~F.col("sector").eqNullSafe("HOUSEHOLD"))
     batch = s.where(F.col("sector") == "HOUSEHOLD")
     return P.round_doubles(P.refresh_summary(current, batch))
 
 
 @register("append_portfolio", sql("""
-SELECT company_id, sector, round(pd, 6) AS pd, NULL::VARCHAR AS batch FROM v_scored WHERE sector <> 'HOUSEHOLD'
+SELECT company_id, sector, round(pd, 6) AS pd, NULL::VARCHAR AS batch FROM v_scored WHERE sector IS DISTINCT FROM 'HOUSEHOLD'
 UNION ALL
 SELECT company_id, sector, round(pd, 6) AS pd, 'refresh' AS batch FROM v_scored WHERE sector = 'HOUSEHOLD'"""))
 def q_append_portfolio(spark, sf):
     s = scored(spark, sf).select("company_id", "sector", "pd")
-    current = s.where(F.col("sector") != "HOUSEHOLD")
+    current = s.where(~F.col("sector").eqNullSafe("HOUSEHOLD"))
     batch = s.where(F.col("sector") == "HOUSEHOLD").withColumn("batch", F.lit("refresh"))
     return P.round_doubles(P.append_portfolio(current, batch))
 

@@ -127,12 +127,11 @@ def q_lookup_missing(spark, sf):
 
 
 @register("category_domains", app_sql("""
-SELECT 'person_home_ownership' AS "column", string_agg(DISTINCT person_home_ownership, ',' ORDER BY person_home_ownership) AS domain,
-       count(DISTINCT person_home_ownership) AS n_values FROM v_applications
+SELECT DISTINCT 'person_home_ownership' AS "column", person_home_ownership AS value FROM v_applications WHERE person_home_ownership IS NOT NULL
 UNION ALL
-SELECT 'loan_intent', string_agg(DISTINCT loan_intent, ',' ORDER BY loan_intent), count(DISTINCT loan_intent) FROM v_applications
+SELECT DISTINCT 'loan_intent', loan_intent FROM v_applications WHERE loan_intent IS NOT NULL
 UNION ALL
-SELECT 'loan_grade', string_agg(DISTINCT loan_grade, ',' ORDER BY loan_grade), count(DISTINCT loan_grade) FROM v_applications"""))
+SELECT DISTINCT 'loan_grade', loan_grade FROM v_applications WHERE loan_grade IS NOT NULL"""))
 def q_category_domains(spark, sf):
     return C.category_domains(V.applications(spark, sf), ["person_home_ownership", "loan_intent", "loan_grade"])
 

@@ -73,7 +73,7 @@ bf_base AS (
          CAST(coalesce(o.n_open, 0) AS INTEGER) AS open_credit_lines,
          CAST(least(coalesce(o.n_partial, 0), 4) AS INTEGER) AS real_estate_loans,
          c.num_dependents,
-         {clip('coalesce(c.monthly_income, m.med_income) / 10000.0', 0.0, 1.0)} AS income_stability,
+         {clip('coalesce(c.monthly_income, m.med_income) / CAST(100000.0 AS DOUBLE)', 0.0, 1.0)} AS income_stability,
          CAST(coalesce(li.return_share, 0.0) > 1.0 / 3.0 AS INTEGER) AS "default"
   FROM bf_cust c
   LEFT JOIN bf_orders o ON c.company_id = o.o_custkey
@@ -155,7 +155,7 @@ def title_case(x: str) -> str:
 
 V_PANEL = """
 pm AS (
-  SELECT l.l_suppkey AS company_id, CAST(month(l.l_shipdate) AS INTEGER) AS month,
+  SELECT l.l_suppkey, CAST(l.l_suppkey * 10000 + year(l.l_shipdate) AS BIGINT) AS company_id, CAST(month(l.l_shipdate) AS INTEGER) AS month,
          sum(CAST(l.l_extendedprice AS DECIMAL(15,2))) AS s_sales,
          sum(CAST(l.l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l.l_discount AS DECIMAL(15,2)))) AS s_inflow,
          sum(CAST(l.l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l.l_discount AS DECIMAL(15,2)))
@@ -165,8 +165,8 @@ pm AS (
          count(*) AS n_lines,
          CAST(count(*) FILTER (WHERE l.l_returnflag = 'R') AS INTEGER) AS returns_in_month
   FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey
-  WHERE l.l_shipdate >= TIMESTAMP '1997-01-01' AND l.l_shipdate < TIMESTAMP '1998-01-01'
-  GROUP BY 1, 2),
+  WHERE l.l_shipdate IS NOT NULL
+  GROUP BY 1, 2, 3),
 v_panel AS (
   SELECT pm.company_id, pm.month, r.r_name AS sector,
          CAST(s_sales AS DOUBLE) AS monthly_sales, CAST(s_gst AS DOUBLE) AS gst_turnover,
@@ -180,7 +180,7 @@ v_panel AS (
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS account_balance,
          coalesce(greatest(s.s_acctbal, 0.0), 0.0) AS opening_balance,
          CAST(sum(returns_in_month) OVER (PARTITION BY pm.company_id) * 3 > sum(n_lines) OVER (PARTITION BY pm.company_id) AS INTEGER) AS "default"
-  FROM pm LEFT JOIN supplier s ON pm.company_id = s.s_suppkey
+  FROM pm LEFT JOIN supplier s ON pm.l_suppkey = s.s_suppkey
           LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
           LEFT JOIN region r ON n.n_regionkey = r.r_regionkey)"""
 
@@ -193,10 +193,10 @@ def _legacy_margin() -> str:
 
 V_SCORES = V_BORROWER + f""",
 v_scores AS (
-  SELECT 'scorecard' AS model, company_id AS id, "default" AS y_true, round(pd, 6) AS prob FROM v_borrower
+  SELECT 'scorecard' AS model, company_id AS id, "default" AS y_true, round(pd, 12) AS prob FROM v_borrower
   UNION ALL
-  SELECT 'legacy3', b.company_id, b."default", round({sigmoid(_legacy_margin())}, 6) FROM v_borrower b CROSS JOIN bz z
+  SELECT 'legacy3', b.company_id, b."default", round({sigmoid(_legacy_margin())}, 12) FROM v_borrower b CROSS JOIN bz z
   UNION ALL
   SELECT 'proxy', company_id, "default",
-         round({clip('0.35 * revolving_utilization + 0.30 * least(emi_delay_count / 4.0, 1.0) + 0.25 * least(CAST(late_90_days AS DOUBLE), 2.0) / 2.0 + 0.10 * (1 - payment_history_score)', 0.0, 1.0)}, 6)
+         round({clip('0.35 * revolving_utilization + 0.30 * least(emi_delay_count / 4.0, 1.0) + 0.25 * least(CAST(late_90_days AS DOUBLE), 2.0) / 2.0 + 0.10 * (1 - payment_history_score)', 0.0, 1.0)}, 12)
   FROM v_borrower)"""

@@ -14,10 +14,10 @@ from .registry import register
 
 
 @register("stream_ingest", S.with_views(V_SCORED, body=f"""
-SELECT company_id, sector, round(pd, 6) AS pd, {S.band('pd')} AS band FROM v_scored WHERE sector = 'HOUSEHOLD'"""))
+SELECT company_id, sector, round(pd, 6) AS pd, {S.band('pd')} AS band FROM v_scored"""))
 def q_stream_ingest(spark, sf):
-    """New-loan batches (the HOUSEHOLD segment, four files) are scored and appended per micro-batch."""
-    batch = scored(spark, sf).where(F.col("sector") == "HOUSEHOLD").select("company_id", "sector", "pd")
+    """New-loan batches of all segments are scored and appended per micro-batch."""
+    batch = scored(spark, sf).select("company_id", "sector", "pd")
     src, sink, ck = ST.scratch(spark, "src"), ST.scratch(spark, "sink"), ST.scratch(spark, "ck")
     ST.stage_files(batch, src, 4, "company_id")
     stream = ST.read_stream(spark, src, batch.schema, max_files=2)
@@ -45,9 +45,8 @@ def q_stream_event_windows(spark, sf):
     ev = TB.read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
     src, out, ck = ST.scratch(spark, "src"), ST.scratch(spark, "out"), ST.scratch(spark, "ck")
     ST.stage_files(ev, src, 4, "ts")
-    counts = ST.windowed_event_counts(ST.read_stream(spark, src, ev.schema, max_files=2))
-    ST.run_to_table(counts, "complete", out, ck)
-    return spark.read.parquet(out).select("day", "event_type", "n")
+    counts = ST.windowed_event_counts(ST.read_stream(spark, src, ev.schema, max_files=8))
+    return ST.run_updates(counts, ["day", "event_type"], "n", out, ck).select("day", "event_type", "n")
 
 
 @register("stream_dedup", """
@@ -55,9 +54,10 @@ SELECT DISTINCT event_id, ts, user_id, event_type FROM events""")
 def q_stream_dedup(spark, sf):
     """Redelivered events (the same event id twice) are dropped within the watermark."""
     ev = TB.read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
-    redelivered = ev.unionByName(ev)
     src, sink, ck = ST.scratch(spark, "src"), ST.scratch(spark, "sink"), ST.scratch(spark, "ck")
-    ST.stage_files(redelivered, src, 6, "ts")
-    stream = ST.dedup_redelivery(ST.read_stream(spark, src, ev.schema, max_files=2), "event_id", "ts")
+    # every event arrives twice, its second copy in the files that follow those of the first
+    ST.stage_files(ev.withColumn("_again", F.explode(F.array(F.lit(0), F.lit(1))))
+                   .withColumn("_k", ST.wallclock_seconds("ts") + F.col("_again") * 600), src, 6, "_k")
+    stream = ST.dedup_redelivery(ST.read_stream(spark, src, spark.read.parquet(src).schema, max_files=8), "event_id", "ts", "2 hours")
     ST.append_batches(stream, sink, ck, lambda b: b).awaitTermination()
     return spark.read.parquet(sink).select("event_id", "ts", "user_id", "event_type")

@@ -1,4 +1,4 @@
-"""Session helpers: local builder for tests/bench, checkpoint location, size-checked broadcast."""
+"""Session helpers: local builder for tests/bench, checkpoint location, literal tables."""
 
 from __future__ import annotations
 
@@ -8,10 +8,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows above which a "small side" is no longer hinted for broadcast; the planner then
-# falls back to a shuffle join (sort-merge / shuffle-hash) chosen by AQE.
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "loanlens") -> SparkSession:
     """Local session used by tests and bench; a cluster passes its own session instead."""
@@ -55,19 +51,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Cheap size check: reads at most ``max_rows + 1`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only when it provably holds at most ``max_rows`` rows.
-
-    Beyond the bound the frame is returned unhinted and the planner picks a shuffle join.
-    """
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
 def literal_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a frame built from a fixed literal table (size known at build time)."""
     return F.broadcast(df)

@@ -1,7 +1,7 @@
 """Fixture views: the reference's logical tables expressed over the driver's tables.
 
 * ``borrowers``  — one row per customer with the sixteen scorecard features, label and PD.
-* ``panel``      — supplier x month of 1997 (monthly company panel).
+* ``panel``      — supplier-year x month (monthly company panel, one account a supplier and year).
 * ``loans``      — line-level loan records (status, grade, rate, dti).
 * ``notes``      — documents as officer notes, with labels.
 * ``journey``    — events as a per-user journey.
@@ -22,22 +22,19 @@ from ..functions import constants as K
 from ..functions.scalars import clip
 from ..operators.ordered import exact_medians
 from ..operators.scorecard import fit_zscore, score
-from ..session import bounded_broadcast
 from .tables import materialise, read_table
 
-# Geography dimension is nation (25 rows) x region (5 rows); bound checked before broadcast.
-_DIM_ROWS = 10_000
-
 
 def customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
     region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-    geo = nation.join(bounded_broadcast(region, _DIM_ROWS), nation.n_regionkey == region.r_regionkey, "left")
+    geo = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
     return geo.select("n_nationkey", "r_name")
 
 
-def borrower_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Borrower view before scoring (16 features + label + display columns)."""
+def borrower_features(spark: SparkSession, sf_dir: str, income_scale: float = K.INCOME_SCALE) -> DataFrame:
+    """Borrower view before scoring (16 features + label + display columns). Stability is the
+    monthly income over ``income_scale``, at most 1."""
     orders = read_table(spark, sf_dir, "orders",
                         ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
     lineitem = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_discount", "l_returnflag", "l_shipdate"])
@@ -64,7 +61,7 @@ def borrower_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     geo = customer_geo(spark, sf_dir)
-    cust = (customer.join(bounded_broadcast(geo, _DIM_ROWS), customer.c_nationkey == geo.n_nationkey, "left")
+    cust = (customer.join(geo, customer.c_nationkey == geo.n_nationkey, "left")
             .select(F.col("c_custkey").alias("company_id"),
                     F.col("c_mktsegment").alias("sector"),
                     F.col("r_name").alias("home"),
@@ -93,7 +90,7 @@ def borrower_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("n_open", F.lit(0)).cast("int").alias("open_credit_lines"),
         F.least(F.coalesce("n_partial", F.lit(0)), F.lit(4)).cast("int").alias("real_estate_loans"),
         "num_dependents",
-        clip(F.coalesce("monthly_income", F.lit(income_median)) / 10000.0, 0.0, 1.0).alias("income_stability"),
+        clip(F.coalesce("monthly_income", F.lit(income_median)) / income_scale, 0.0, 1.0).alias("income_stability"),
         (F.coalesce("return_share", F.lit(0.0)) > F.lit(1.0 / 3.0)).cast("int").alias("default"),
     )
     return behavioural_overlay(feat)
@@ -140,13 +137,17 @@ def borrower_stats(spark: SparkSession, sf_dir: str) -> dict:
     return _STATS[slot]
 
 
+# Scores that agree to so many places are ties: the order in which terms are added must not tell
+# equal borrowers apart.
+SCORE_PLACES = 12
+
 # Three-feature legacy scorecard (utilisation, debt ratio, 90-day delinquencies).
 LEGACY_FEATURES = ["revolving_utilization", "debt_ratio", "late_90_days"]
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores table (model, id, y_true, prob): full scorecard, legacy 3-feature scorecard and the
-    closed-form risk proxy, probabilities rounded to 6 places."""
+    closed-form risk proxy."""
     from ..operators.features import risk_proxy_msme
     from ..operators.scorecard import margin
     from ..functions.scalars import sigmoid
@@ -155,7 +156,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     legacy_w = {f: K.SCORECARD_WEIGHTS[f] for f in LEGACY_FEATURES}
     def model(name, p):
         return b.select(F.lit(name).alias("model"), F.col("company_id").alias("id"),
-                        F.col("default").alias("y_true"), F.round(p, 6).alias("prob"))
+                        F.col("default").alias("y_true"), F.round(p, SCORE_PLACES).alias("prob"))
     return (model("scorecard", F.col("pd"))
             .unionByName(model("legacy3", sigmoid(margin(stats, legacy_w, K.FIXTURE_INTERCEPT))))
             .unionByName(model("proxy", risk_proxy_msme())))
@@ -167,7 +168,7 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
                         ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
     customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
     geo = customer_geo(spark, sf_dir)
-    cust = customer.join(bounded_broadcast(geo, _DIM_ROWS), customer.c_nationkey == geo.n_nationkey, "left")
+    cust = customer.join(geo, customer.c_nationkey == geo.n_nationkey, "left")
     j = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
     digit = F.substring("o_orderpriority", 1, 1).try_cast("int")
     income = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") * 12)
@@ -221,18 +222,19 @@ def _dec(c: str):
     return F.col(c).cast("decimal(15,2)")
 
 
-def panel_monthly(spark: SparkSession, sf_dir: str, year: int = 1997) -> DataFrame:
-    """Company (supplier) x month panel of one calendar year, before running columns."""
-    lo = F.lit(f"{year}-01-01").cast("timestamp_ntz")
-    hi = F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")
+def panel_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month rows of the panel accounts, before running columns. An account is a supplier's
+    calendar year: ``company_id`` is supplier key * 10000 + year, so a panel has twelve months
+    at most and every line item belongs to one."""
     lineitem = (read_table(spark, sf_dir, "lineitem",
                            ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                             "l_returnflag", "l_shipdate"])
-                .where((F.col("l_shipdate") >= lo) & (F.col("l_shipdate") < hi)))
+                .where(F.col("l_shipdate").isNotNull()))
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_retailprice"])
     lines = lineitem.join(part, lineitem.l_partkey == part.p_partkey, "left")
     ep, d, t, q, rp = _dec("l_extendedprice"), _dec("l_discount"), _dec("l_tax"), _dec("l_quantity"), _dec("p_retailprice")
-    return lines.groupBy(F.col("l_suppkey").alias("company_id"), F.month("l_shipdate").alias("month")).agg(
+    return lines.groupBy("l_suppkey", (F.col("l_suppkey") * 10000 + F.year("l_shipdate")).cast("long").alias("company_id"),
+                         F.month("l_shipdate").alias("month")).agg(
         F.sum(ep).alias("_sales"),
         F.sum(ep * (1 - d)).alias("_inflow"),
         F.sum(ep * (1 - d) * (1 + t)).alias("_gst"),
@@ -242,16 +244,16 @@ def panel_monthly(spark: SparkSession, sf_dir: str, year: int = 1997) -> DataFra
     )
 
 
-def panel(spark: SparkSession, sf_dir: str, year: int = 1997) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly company panel with cumulative delay counter and running balance (written once)."""
     def build() -> DataFrame:
-        monthly = panel_monthly(spark, sf_dir, year)
+        monthly = panel_monthly(spark, sf_dir)
         supplier = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])
         nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
         region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
-        geo = nation.join(bounded_broadcast(region, _DIM_ROWS), nation.n_regionkey == region.r_regionkey, "left")
-        sup = supplier.join(bounded_broadcast(geo, _DIM_ROWS), supplier.s_nationkey == geo.n_nationkey, "left")
-        j = monthly.join(sup.select("s_suppkey", "s_acctbal", "r_name"), monthly.company_id == sup.s_suppkey, "left")
+        geo = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
+        sup = supplier.join(geo, supplier.s_nationkey == geo.n_nationkey, "left")
+        j = monthly.join(sup.select("s_suppkey", "s_acctbal", "r_name"), monthly.l_suppkey == sup.s_suppkey, "left")
         w = Window.partitionBy("company_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy("company_id")
         net = F.col("_inflow") - F.col("_outflow")
@@ -269,7 +271,7 @@ def panel(spark: SparkSession, sf_dir: str, year: int = 1997) -> DataFrame:
             F.coalesce(F.greatest(F.col("s_acctbal"), F.lit(0.0)), F.lit(0.0)).alias("opening_balance"),
             (F.sum("returns_in_month").over(whole) * 3 > F.sum("_lines").over(whole)).cast("int").alias("default"),
         )
-    return materialise(spark, f"panel:{sf_dir}:{year}", build)
+    return materialise(spark, f"panel:{sf_dir}", build)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import constants as K
 from ..functions.scalars import risk_band
-from ..operators.ordered import wallclock_seconds
+from ..operators.ordered import checkpointed, wallclock_seconds
 from ..session import ensure_checkpoint_dir
 
 
@@ -36,23 +35,19 @@ def stage_files(df: DataFrame, path: str, files: int, order_col: str | None = No
     key = F.col(order_col).cast("double") if not isinstance(df.schema[order_col].dataType,
                                                             (T.TimestampType, T.TimestampNTZType)) \
         else wallclock_seconds(order_col)
-    keyed = df.withColumn("_k", key)
-    bounds = sorted(set(keyed.approxQuantile("_k", [i / files for i in range(1, files)], 0.001)))
-    edges = [None] + bounds + [None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("_k") >= lo)
-        if hi is not None:
-            cond = cond & (F.col("_k") < hi)
-        keyed.where(cond).drop("_k").coalesce(1).write.mode("append").parquet(path)
+    keyed = df.withColumn("_order", key)
+    bounds = sorted(set(keyed.approxQuantile("_order", [i / files for i in range(1, files)], 0.001)))
+    number = F.lit(0)
+    for lo in bounds:  # null keys stay in the first slice
+        number = number + F.coalesce(F.col("_order") >= lo, F.lit(False)).cast("int")
+    sliced = checkpointed(keyed.withColumn("_slice", number).drop("_order"))
+    for i in range(len(bounds) + 1):  # one append a slice, each by many tasks, from the written table
+        sliced.where(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
-    """File-source stream with a fixed schema; the batch size (files per trigger) is clamped to
-    the refresh bounds 1..100."""
-    files = max(K.REFRESH_MIN, min(K.REFRESH_MAX, int(max_files)))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    """File-source stream with a fixed schema and ``max_files`` files a trigger."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def append_batches(stream: DataFrame, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame]):
@@ -72,13 +67,26 @@ def event_time(stream: DataFrame, ts: str = "ts", name: str = "event_time") -> D
     return stream.withColumn(name, F.col(ts).cast("timestamp"))
 
 
-def windowed_event_counts(stream: DataFrame, ts: str = "ts", width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Per-day (wall-clock day of ``ts``) counts by event type, with a watermark on event time.
-    A tumbling ``window(event_time, width)`` is the same grouping when the session zone is UTC;
-    the wall-clock day keeps the result independent of the session zone."""
-    return (event_time(stream, ts).withWatermark("event_time", delay)
-            .groupBy(F.to_date(F.col(ts)).alias("day"), "event_type")
-            .agg(F.count(F.lit(1)).alias("n")))
+def windowed_event_counts(stream: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
+    """Per-day (wall-clock day of ``ts``) counts by event type over a tumbling window of the
+    watermarked column, so days older than the watermark leave the state.
+
+    The event time is the wall clock read as UTC: windows are wall-clock days in any session zone."""
+    timed = stream.withColumn("event_time", F.timestamp_seconds(wallclock_seconds(ts)))
+    counts = (timed.withWatermark("event_time", delay).groupBy(F.window("event_time", "1 day").alias("w"), "event_type")
+              .agg(F.count(F.lit(1)).alias("n")))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int"))
+    return counts.select(day.alias("day"), "event_type", "n")
+
+
+def run_updates(stream_df: DataFrame, keys: list[str], value: str, path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregate stream in update mode to completion: each micro-batch writes its changed
+    keys to its own folder, and a key's row is that of its latest batch."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    (stream_df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start()).awaitTermination()
+    return stream_df.sparkSession.read.parquet(path).groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
 
 
 def dedup_redelivery(stream: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
@@ -88,8 +96,8 @@ def dedup_redelivery(stream: DataFrame, key: str, ts: str, delay: str = "1 hour"
 
 
 def run_to_table(stream_df: DataFrame, mode: str, path: str, checkpoint: str) -> None:
-    """Run an aggregate stream to completion (availableNow) and keep the final result as
-    parquet: every micro-batch overwrites the table with the current complete/update view."""
+    """Run an aggregate stream in complete mode to completion (availableNow) and keep the final
+    result as parquet: every micro-batch overwrites the table with the current view."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(path)
     q = (stream_df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)

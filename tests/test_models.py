@@ -70,7 +70,7 @@ def test_narratives(spark):
     assert got[0] == "Working capital line utilized at 76% — dangerously high."
     assert got[1] == "EMI delays recorded: 0 — no delays."
     assert got[2] == "Debt-to-income ratio is 1.23 — critical."
-    assert got[3] == "Supplier payment risk flag: Active — delays to creditors detected"
+    assert got[3] == "Supplier payment risk flag: Active — delays to creditors detected."
     assert got[4] == "unknown_feature: 0.500"
 
 

@@ -18,26 +18,22 @@ def test_running_totals_match_cumsum(spark):
         assert r["cum_w"] == int(w[m].sum())
 
 
-import pytest
 
-
-@pytest.mark.parametrize("max_distinct", [0, 1_000_000])  # range-split path and bounded path
-def test_exact_quantiles_match_numpy(spark, max_distinct):
+def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(2)
     vals = np.round(rng.exponential(size=301), 2)  # ties included
     df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "v double")
-    row = exact_quantiles(df, "v", (0.25, 0.5, 0.9), names=["a", "b", "c"], max_distinct=max_distinct).first()
+    row = exact_quantiles(df, "v", (0.25, 0.5, 0.9), names=["a", "b", "c"]).first()
     for name, q in zip("abc", (0.25, 0.5, 0.9)):
         assert abs(row[name] - float(np.quantile(vals, q))) < 1e-12
 
 
-@pytest.mark.parametrize("max_distinct", [0, 1_000_000])
-def test_grouped_quantiles(spark, max_distinct):
+def test_grouped_quantiles(spark):
     rng = np.random.default_rng(5)
     g = rng.integers(0, 3, size=400)
     vals = np.round(rng.normal(size=400), 1)
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, vals)], "g int, v double")
-    got = {r["g"]: r["m"] for r in exact_quantiles(df, "v", (0.5,), ["g"], ["m"], max_distinct=max_distinct).collect()}
+    got = {r["g"]: r["m"] for r in exact_quantiles(df, "v", (0.5,), ["g"], ["m"]).collect()}
     for k in range(3):
         assert abs(got[k] - float(np.median(vals[g == k]))) < 1e-12
 

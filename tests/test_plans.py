@@ -12,9 +12,12 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_panel_year_filter_reaches_the_scan(spark):
+def test_panel_reads_every_line_and_prunes_columns(spark):
     p = plan(V.panel_monthly(spark, SF))
-    assert "GreaterThanOrEqual(l_shipdate" in p and "LessThan(l_shipdate" in p
+    scan = next(line for line in p.split("\n") if "FileScan parquet" in line and "l_shipdate" in line)
+    assert "l_comment" not in scan and "GreaterThanOrEqual" not in scan
+    lines = V.panel_monthly(spark, SF).agg({"_lines": "sum"}).first()[0]
+    assert lines == spark.read.parquet(f"{SF}/lineitem.parquet").count()
 
 
 def test_borrower_view_prunes_lineitem_columns(spark):
@@ -26,9 +29,8 @@ def test_borrower_view_prunes_lineitem_columns(spark):
 
 
 def test_rank_metrics_have_no_single_partition_exchange(spark):
-    for bound in (0, 1_000_000):
-        assert "SinglePartition" not in plan(MT.roc_auc(V.scores(spark, SF), max_rows_per_task=bound))
-        assert "SinglePartition" not in plan(MT.average_precision(V.scores(spark, SF), max_rows_per_task=bound))
+    assert "SinglePartition" not in plan(MT.roc_auc(V.scores(spark, SF)))
+    assert "SinglePartition" not in plan(MT.average_precision(V.scores(spark, SF)))
 
 
 def test_top_n_is_take_ordered(spark):
