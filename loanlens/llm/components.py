@@ -22,6 +22,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node with an edge down has one, to a node that has none."""
+    down = edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    chained = edges.select("v").join(down.select(F.col("u").alias("v")), "v", "left_semi")
+    return down.where("lo <> hi").isEmpty() and chained.isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links -> (node, label) with the smallest node of each component as its label.
 
@@ -31,12 +38,7 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, path = written(edges)
-    seen = None
-    while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+    while not _stars(edges):
         new, new_path = written(_small_star(_large_star(edges)))
         drop_written(spark, path)
         edges, path = new, new_path

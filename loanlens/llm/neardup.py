@@ -172,7 +172,7 @@ def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
                                  lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width)))))
     members = reps.select(band.alias("bucket"), "rep")
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return members.join(shared.select("bucket"), "bucket").distinct()
+    return members.join(shared.select("bucket"), "bucket")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
