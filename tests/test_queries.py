@@ -19,7 +19,8 @@ def test_entry(spark):
 def test_every_query_has_sql_or_is_known_rows_only():
     rows_only = set(NAMES) - set(E.oracle_sql())
     assert rows_only <= {"embedding_pca", "gbt_scores", "logreg_baseline", "rf_scores", "calibrated_scores",
-                         "cv_results", "cross_dataset_eval", "prevalence_intercept", "tree_attribution"}
+                         "cv_results", "cross_dataset_eval", "prevalence_intercept", "tree_attribution", "consumer_scores",
+                         "consumer_ablation"}
 
 
 @pytest.mark.parametrize("name", NAMES)
