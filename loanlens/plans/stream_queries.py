@@ -44,9 +44,11 @@ def q_stream_event_windows(spark, sf):
     """Daily event counts per type with a one-day watermark, events arriving in time order."""
     ev = TB.read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
     src, out, ck = ST.scratch(spark, "src"), ST.scratch(spark, "out"), ST.scratch(spark, "ck")
-    ST.stage_files(ev, src, 4, "ts")
-    counts = ST.windowed_event_counts(ST.read_stream(spark, src, ev.schema, max_files=8))
-    return ST.run_updates(counts, ["day", "event_type"], "n", out, ck).select("day", "event_type", "n")
+    ST.replay(ev, src, 4, "ts", lambda stream: ST.run_updates(ST.windowed_event_counts(stream), out, ck))
+    undated, ck = ST.scratch(spark, "out"), ST.scratch(spark, "ck")
+    ST.run_updates(ST.undated_event_counts(ST.read_stream(spark, src, ev.schema, max_files=None)), undated, ck)
+    keys = ["day", "event_type"]
+    return ST.latest(spark, out, keys, "n").unionByName(ST.latest(spark, undated, keys, "n"))
 
 
 @register("stream_dedup", """
@@ -55,9 +57,9 @@ def q_stream_dedup(spark, sf):
     """Redelivered events (the same event id twice) are dropped within the watermark."""
     ev = TB.read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
     src, sink, ck = ST.scratch(spark, "src"), ST.scratch(spark, "sink"), ST.scratch(spark, "ck")
-    # every event arrives twice, its second copy in the files that follow those of the first
-    ST.stage_files(ev.withColumn("_again", F.explode(F.array(F.lit(0), F.lit(1))))
-                   .withColumn("_k", ST.wallclock_seconds("ts") + F.col("_again") * 600), src, 6, "_k")
-    stream = ST.dedup_redelivery(ST.read_stream(spark, src, spark.read.parquet(src).schema, max_files=8), "event_id", "ts", "2 hours")
-    ST.append_batches(stream, sink, ck, lambda b: b).awaitTermination()
+    # every event arrives twice, its second copy ten minutes after the first
+    twice = (ev.withColumn("_again", F.explode(F.array(F.lit(0), F.lit(1))))
+             .withColumn("_k", ST.wallclock_seconds("ts") + F.col("_again") * 600))
+    ST.replay(twice, src, 6, "_k", lambda stream: ST.append_batches(
+        ST.dedup_redelivery(stream, "event_id", "ts", "2 hours"), sink, ck, lambda b: b).awaitTermination())
     return spark.read.parquet(sink).select("event_id", "ts", "user_id", "event_type")

@@ -10,7 +10,7 @@ the session's reliable checkpoint folder (shared storage on a cluster).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,27 +27,47 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stage_files(df: DataFrame, path: str, files: int, order_col: str | None = None) -> None:
     """Simulate a producer dropping batches into a folder: ``files`` appends, in ``order_col``
-    order when given (slice bounds from approxQuantile, one distributed write per slice), so
-    the file source sees them arrive in event order."""
+    order when given, so the file source sees them arrive in that order."""
     if not order_col:
         df.repartition(files).write.mode("overwrite").parquet(path)
         return
+    for _ in arrivals(df, path, files, order_col):
+        pass
+
+
+def arrivals(df: DataFrame, path: str, slices: int, order_col: str) -> Iterator[int]:
+    """Append ``df`` to ``path`` in ``order_col`` order, one distributed write per slice (bounds from
+    approxQuantile), and yield after each. Rows without a key are a slice of their own, the first.
+
+    The files of a slice are in no order among themselves: a stream with a watermark shorter than a
+    slice has to take each slice in one trigger (``replay``)."""
     key = F.col(order_col).cast("double") if not isinstance(df.schema[order_col].dataType,
                                                             (T.TimestampType, T.TimestampNTZType)) \
         else wallclock_seconds(order_col)
     keyed = df.withColumn("_order", key)
-    bounds = sorted(set(keyed.approxQuantile("_order", [i / files for i in range(1, files)], 0.001)))
-    number = F.lit(0)
-    for lo in bounds:  # null keys stay in the first slice
-        number = number + F.coalesce(F.col("_order") >= lo, F.lit(False)).cast("int")
-    sliced = checkpointed(keyed.withColumn("_slice", number).drop("_order"))
-    for i in range(len(bounds) + 1):  # one append a slice, each by many tasks, from the written table
+    bounds = sorted(set(keyed.approxQuantile("_order", [i / slices for i in range(1, slices)], 0.001)))
+    number = F.lit(1)
+    for lo in bounds:
+        number = number + (F.col("_order") >= lo).cast("int")
+    sliced = checkpointed(keyed.withColumn("_slice", F.coalesce(number, F.lit(0))).drop("_order"))
+    present = sorted(r["_slice"] for r in sliced.select("_slice").distinct().collect())
+    for i in present or [0]:  # one append a slice, each by many tasks, from the written table
         sliced.where(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
+        yield i
+
+
+def replay(df: DataFrame, path: str, slices: int, order_col: str, run: Callable[[DataFrame], None]) -> None:
+    """Let ``df`` arrive slice by slice and ``run`` the stream over ``path`` after each, from the same
+    checkpoint: a slice is one trigger, judged by the watermark of the slices before it, which its
+    rows are not behind."""
+    for _ in arrivals(df, path, slices, order_col):
+        run(read_stream(df.sparkSession, path, df.schema, max_files=None))
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1) -> DataFrame:
-    """File-source stream with a fixed schema and ``max_files`` files a trigger."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = 1) -> DataFrame:
+    """File-source stream with a fixed schema and ``max_files`` files a trigger (None: all that are there)."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
 def append_batches(stream: DataFrame, sink: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame]):
@@ -79,14 +99,24 @@ def windowed_event_counts(stream: DataFrame, ts: str = "ts", delay: str = "1 day
     return counts.select(day.alias("day"), "event_type", "n")
 
 
-def run_updates(stream_df: DataFrame, keys: list[str], value: str, path: str, checkpoint: str) -> DataFrame:
+def undated_event_counts(stream: DataFrame, ts: str = "ts") -> DataFrame:
+    """Counts by event type of the rows without a time, which belong to no window: day is null."""
+    counts = stream.where(F.col(ts).isNull()).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.lit(None).cast("date").alias("day"), "event_type", "n")
+
+
+def run_updates(stream_df: DataFrame, path: str, checkpoint: str) -> None:
     """Run an aggregate stream in update mode to completion: each micro-batch writes its changed
-    keys to its own folder, and a key's row is that of its latest batch."""
+    keys to its own folder (see ``latest``)."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     (stream_df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start()).awaitTermination()
-    return stream_df.sparkSession.read.parquet(path).groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
+
+
+def latest(spark: SparkSession, path: str, keys: list[str], value: str) -> DataFrame:
+    """The table written by ``run_updates``: a key's row is that of its latest batch."""
+    return spark.read.parquet(path).groupBy(*keys).agg(F.max_by(value, "batch_id").alias(value))
 
 
 def dedup_redelivery(stream: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
