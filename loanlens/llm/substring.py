@@ -14,7 +14,11 @@ places meet the bucket's answer in a join on the string's digest, which the plan
 task gathers the places of a hot passage.
 
 Bucket numbers follow the minimiser hash; the number of buckets follows the input's bytes, and a
-task works through its buckets one after another, each of about ``BUCKET_BYTES``.
+task works through its buckets one after another, each of about ``BUCKET_BYTES``. The bytes of each bucket
+are counted first. A bucket of over ``SPLIT`` times that (different strings around one frequent word pair)
+is dealt anew by a second minimiser, among runs of ``SECOND`` words, and what is still over by the window
+itself: equal windows share both, so they stay together. At the last level each block sends a
+window once, with its smallest doc_id, and all its places go the way of hot strings.
 
 Cases: null and empty texts have no words; a null doc_id ranks above all others; rows with the
 same doc_id do not count against each other; the text becomes its kept words joined by one space; all other
@@ -24,6 +28,7 @@ columns pass through, whatever their names; an empty table gives an empty result
 from __future__ import annotations
 
 import pickle
+from collections import namedtuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +40,10 @@ from .tables import cut
 
 WINDOW = 13
 GRAM = 2
+SECOND = 6
 HOT = 64
 BUCKET_BYTES = 16 << 20
+SPLIT = 2
 NO_ID = (1 << 63) - 1
 _SHORT = 8
 
@@ -64,23 +71,43 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def super_kmers(starts: np.ndarray, ends: np.ndarray, at: np.ndarray, h: np.ndarray, window: int):
-    """(first word, number of windows, minimiser, document) of each super-k-mer."""
-    n = at[1:] - at[:-1]
-    gram = _rolling(h, GRAM, 33) >> np.uint64(1)
+def _minimisers(starts: np.ndarray, ends: np.ndarray, h: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """For each window the smallest hash among its runs of ``gram`` words."""
+    x = _rolling(h, gram, 33) >> np.uint64(1)
     size = ends - starts
-    if len(gram):
+    if gram == GRAM and len(x):
         short = size[:-1] + size[1:] < _SHORT
-        gram |= short.astype(np.uint64) << np.uint64(63)
-    low = _sliding_min(gram, window - GRAM + 1)
+        x |= short.astype(np.uint64) << np.uint64(63)
+    return _sliding_min(x, window - gram + 1)
+
+
+#: One way to deal windows: words of the minimiser, number of buckets, number of the first, and the
+#: (sorted) buckets of the level before that are dealt so.
+Level = namedtuple("Level", "gram buckets first over")
+
+
+def super_kmers(starts: np.ndarray, ends: np.ndarray, at: np.ndarray, h: np.ndarray, window: int, levels: list[Level], least: int = 0):
+    """(first word, number of windows, bucket, document) of each super-k-mer of the buckets from ``least``."""
+    n = at[1:] - at[:-1]
     doc, k = tb.ragged(np.maximum(n - window + 1, 0))
     place = at[:-1][doc] + k
-    low = low[place]
+    del k
+    low, bucket = np.zeros(len(place), np.uint64), np.zeros(len(place), np.int64)
+    some = np.arange(len(place))
+    for level in levels:
+        if level.over is not None:
+            some = some[np.isin(bucket[some], level.over)]
+        if not len(some):
+            break
+        low[some] = _minimisers(starts, ends, h, window, level.gram)[place[some]]
+        bucket[some] = level.first + (tb._mix(low[some]) % np.uint64(level.buckets)).astype(np.int64)
     new = np.ones(len(place), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (low[1:] != low[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | (low[1:] != low[:-1]) | (bucket[1:] != bucket[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(place)))
-    return place[first], count, low[first], doc[first]
+    keep = bucket[first] >= least
+    first, count = first[keep], count[keep]
+    return place[first], count, bucket[first], doc[first]
 
 
 def _pack(obj) -> tuple[int, bytes]:
@@ -101,52 +128,100 @@ def _unpack(raw: int, data: bytes):
     return pickle.loads(pa.decompress(data, decompressed_size=raw, codec="zstd", asbytes=True))
 
 
-def _emit(docs: DataFrame, n_buckets: int, window: int, hot: int) -> DataFrame:
+def _strings(starts, ends, at, h, window: int, levels: list[Level], least: int = 0):
+    """The super-k-mers (first word, windows, bucket, document, two digests), and equal ones of a bucket together:
+    their order ``by``, and the first position and number of each distinct string in it."""
+    first, count, bucket, doc = super_kmers(starts, ends, at, h, window, levels, least)
+    if not len(first):
+        return None
+    # digests of the strings, from their word hashes
+    n_words = count + window - 1
+    owner, k = tb.ragged(n_words)
+    begin = np.cumsum(n_words) - n_words
+    h_of = h[first[owner] + k]
+    longest = int(n_words.max())
+    d1, d2 = (tb._mix(np.add.reduceat(h_of * (tb.random_words(s, 0, longest)[k] | np.uint64(1)), begin) + n_words.astype(np.uint64))
+              for s in (34, 35))
+    del owner, k, h_of
+    by = np.lexsort((first, d2, d1, bucket))
+    new = np.ones(len(by), bool)
+    new[1:] = (d1[by][1:] != d1[by][:-1]) | (d2[by][1:] != d2[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])
+    g = np.flatnonzero(new)  # distinct strings, as positions in by
+    return first, n_words, bucket, doc, d1, d2, by, g, np.diff(np.append(g, len(by)))
+
+
+def _hot_from(window: int, levels: list[Level]) -> int:
+    """The first bucket of the level of whole windows, where the places of every string go around the bucket."""
+    last = levels[-1]
+    return last.first if len(levels) > 1 and last.gram == window else NO_ID
+
+
+def _loads(docs: DataFrame, levels: list[Level], window: int, hot: int) -> DataFrame:
+    """(bucket, bytes) of the buckets of the last level."""
+    def fn(cols, buf, offs):
+        starts, ends, at, h = _words(buf, offs)
+        got = _strings(starts, ends, at, h, window, levels, levels[-1].first)
+        if got is None:
+            return [pa.array([], pa.int64()), pa.array([], pa.int64())]
+        first, n_words, bucket, _, _, _, by, g, many = got
+        head = by[g]
+        size = np.append(0, np.cumsum(ends - starts + 1))
+        load = size[first[head] + n_words[head]] - size[first[head]] + 16 * (1 + np.where(many > hot, 0, many))
+        new = np.flatnonzero(np.append(True, np.diff(bucket[head]) != 0))
+        return [pa.array(bucket[head][new]), pa.array(np.add.reduceat(load, new))]
+
+    return tb.scan(docs, [], fn, "bucket long, bytes long").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
+
+
+def plan_levels(docs: DataFrame, window: int, hot: int, bucket_bytes: int) -> list[Level]:
+    """How windows are dealt to buckets: by the first minimiser, and buckets over the bound by the next key."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    levels = [Level(min(GRAM, window), max(1, -(-3 * size // bucket_bytes)), 0, None)]
+    for gram in sorted({min(SECOND, window), window} - {levels[0].gram}):
+        over = _loads(docs, levels, window, hot).where(F.col("bytes") > SPLIT * bucket_bytes).collect()
+        if not over:
+            break
+        spread = 2 if gram < window else window  # strings become shorter, their common words are sent more often
+        number = 1 + spread * sum(r["bytes"] for r in over) // bucket_bytes
+        levels.append(Level(gram, number, levels[-1].first + levels[-1].buckets, np.array(sorted(r["bucket"] for r in over))))
+    return levels
+
+
+def _emit(docs: DataFrame, levels: list[Level], window: int, hot: int) -> DataFrame:
     """Rows (bucket, d1, d2, raw, data). bucket >= 0: packed super-k-mers; bucket < 0: the places of
     a string that is hot in its block, with the string's digest."""
+    hot_from = _hot_from(window, levels)
+
     def fn(cols, buf, offs):
         starts, ends, at, h = _words(buf, offs)
-        first, count, low, doc = super_kmers(starts, ends, at, h, window)
-        if not len(first):
+        got = _strings(starts, ends, at, h, window, levels)
+        if got is None:
             return _rows([])
+        first, n_words, bucket, doc, d1, d2, by, g, many = got
         ids = cols["doc_id"].fill_null(NO_ID).to_numpy(zero_copy_only=False)[doc]
         prints = cols["_text"].to_numpy(zero_copy_only=False)[doc]
         pos = (first - at[:-1][doc]).astype(np.int32)
-        # digests of the strings, from their word hashes
-        n_words = count + window - 1
-        owner, k = tb.ragged(n_words)
-        begin = np.cumsum(n_words) - n_words
-        h_of = h[first[owner] + k]
-        longest = int(n_words.max())
-        d1, d2 = (tb._mix(np.add.reduceat(h_of * (tb.random_words(s, 0, longest)[k] | np.uint64(1)), begin) + n_words.astype(np.uint64))
-                  for s in (34, 35))
-        del owner, k, h_of
         # words joined by single spaces
         norm, norm_at = tb.pack_spans(np.append(buf, np.uint8(32)), starts, ends + 1)
         norm[norm_at[1:] - 1] = 32
-        bucket = (tb._mix(low) % np.uint64(n_buckets)).astype(np.int64)
-        by = np.lexsort((first, d2, d1, bucket))
-        new = np.ones(len(by), bool)
-        new[1:] = (d1[by][1:] != d1[by][:-1]) | (d2[by][1:] != d2[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])
-        g = np.flatnonzero(new)  # distinct strings, as positions in by
-        many = np.diff(np.append(g, len(by)))
         head = by[g]
         smallest = np.minimum.reduceat(ids[by], g)
         # within a bucket in the order of the text: neighbours compress well
         again = np.lexsort((first[head], bucket[head]))
         g, many, head, smallest = g[again], many[again], head[again], smallest[again]
+        apart = (many > hot) | (bucket[head] >= hot_from)
         cuts = np.flatnonzero(np.append(True, np.diff(bucket[head]) != 0))
         rows = []
         for lo, hi in zip(cuts, np.append(cuts[1:], len(g))):
             s = head[lo:hi]
             text, text_at = tb.pack_spans(norm, norm_at[first[s]], norm_at[first[s] + n_words[s]])
-            is_hot = many[lo:hi] > hot
+            is_hot = apart[lo:hi]
             owner, k = tb.ragged(np.where(is_hot, 0, many[lo:hi]))
             own = by[g[lo:hi][owner] + k]
             raw, data = _pack((text, np.diff(text_at).astype(np.int32), _steps(smallest[lo:hi]), np.bincount(owner, minlength=hi - lo).astype(np.int32),
                                _steps(ids[own]), prints[own], pos[own], np.flatnonzero(is_hot), d1[s[is_hot]], d2[s[is_hot]]))
             rows.append((int(bucket[s[0]]), 0, 0, raw, data))
-        for j in np.flatnonzero(many > hot):
+        for j in np.flatnonzero(apart):
             span = by[g[j]:g[j] + many[j]]
             raw, data = _pack((ids[span], prints[span], pos[span]))
             a, b = int(d1[head[j]].view(np.int64)), int(d2[head[j]].view(np.int64))
@@ -271,9 +346,8 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, bu
     """(doc, print, cut array<start, stop>): word intervals whose windows also start in a document with
     a smaller id. ``print`` is the hash of the row's text, ``doc`` the id (NO_ID for null)."""
     keyed = docs.select("doc_id", F.hash("text").alias("_text"), "text")
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(1, -(-3 * size // bucket_bytes))
-    out = cut(_buckets(_emit(keyed, n_buckets, window, hot), window))
+    levels = plan_levels(keyed, window, hot, bucket_bytes)
+    out = cut(_buckets(_emit(keyed, levels, window, hot), window))
     found = out.where("kind = 0").select("doc", "print", "start", "stop").unionByName(_hot_intervals(out, window))
     return found.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "stop")).alias("cut"))
 

@@ -1,9 +1,11 @@
 """Operators with exact contracts against brute force on small, awkward tables."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +183,25 @@ def test_substring_columns_and_empty(spark):
     assert substring.drop_repeats(d.limit(0)).count() == 0
 
 
+def test_substring_dedup_splits_a_bucket_over_the_bound(spark):
+    """Different strings around one word pair that is the minimiser wherever it stands."""
+    pairs = [f"word{i} pair{i}" for i in range(3000)]
+    starts, ends, at, h = substring._words(*textbytes.text_buffer(pa.array(pairs)))
+    pair = pairs[int(np.argmin((substring._rolling(h, 2, 33) >> np.uint64(1))[at[:-1]]))]
+    phrase, rng = f"these words are {pair} in all pages", random.Random(5)
+    text = lambda k: " ".join(f"w{rng.randrange(5000):06d}" for _ in range(k))
+    fixed = text(30)
+    rows = [(i, f"{text(20)} {phrase} {fixed if i % 9 == 0 else text(30)}", None, None) for i in range(600)]
+    bound, docs = 8000, make(spark, rows)
+    keyed = docs.select("doc_id", F.hash("text").alias("_text"), "text")
+    levels = substring.plan_levels(keyed, 13, 64, bound)
+    largest = [substring._emit(keyed, x, 13, 64).where("bucket >= 0").groupBy("bucket").agg(F.sum("raw").alias("raw")).agg(F.max("raw")).first()[0]
+               for x in (levels[:1], levels)]
+    assert len(levels) == 3 and largest[0] > 8 * bound and largest[1] < 4 * bound
+    got = substring.drop_repeats(docs, counts=("a", "b"), bucket_bytes=bound).select("doc_id", "a", "b", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_repeats(rows, 13))
+
+
 # 6 ---------------------------------------------------------------------------------------------
 def brute_url(url):
     if not url or "://" not in url:
