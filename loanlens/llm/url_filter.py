@@ -1,7 +1,7 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for the rest.
 
 Rules are (host, path) prefixes with a verdict; the longest that fits wins. URLs that a rule decides
-are the labelled ones the trees learn from (a bounded sample by hash of the URL); they judge every URL that
+are the labelled ones the trees learn from (a bounded sample of distinct URLs by hash, of either verdict); they judge every URL that
 no rule fits. Features are Spark expressions of the URL alone: lengths, path depth, digit and
 hyphen ratios, entropy of the host's characters, query parameters, and statistics of the host's suffix
 (rows and share blocked among the labelled URLs, for the last one and the last two labels).
@@ -77,6 +77,23 @@ def lexical(df: DataFrame) -> DataFrame:
             .withColumn("fragment", u.contains("#").cast("double")).withColumn("secure", u.startswith("https:").cast("double")))
 
 
+def _fitting_sample(labelled: DataFrame, known: DataFrame, sample_rows: int) -> DataFrame:
+    """Distinct URLs, at most half of ``sample_rows`` of either verdict in the order of their hash, with
+    the features, and as weight the URL's rows, scaled so that a verdict weighs as much as all its rows."""
+    h = F.xxhash64("url").alias("_h")
+    counts = known.groupBy("label", h).agg(F.count(F.lit(1)).cast("double").alias("_weight"))
+    chosen = None
+    for y in (0.0, 1.0):
+        part = counts.where(F.col("label") == y).orderBy("_h").limit(max(1, sample_rows // 2))
+        chosen = part if chosen is None else chosen.unionByName(part)
+    rows = labelled.withColumn("_h", h).join(F.broadcast(chosen), ["label", "_h"])
+    fit = cut(rows.groupBy("label", "_h", "_weight").agg(*[F.first(c).alias(c) for c in FEATURES]).coalesce(1).sortWithinPartitions("_h"))
+    total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taken = {r["label"]: r["n"] for r in fit.groupBy("label").agg(F.sum("_weight").alias("n")).collect()}
+    share = {y: total[y] / n for y, n in taken.items()}
+    return fit.withColumn("_weight", F.col("_weight") * F.when(F.col("label") == 1, share.get(1.0, 1.0)).otherwise(share.get(0.0, 1.0)))
+
+
 def judge(pages: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows with host, path, rule and verdict, and ``score``, the trees' probability of a block."""
     columns = pages.columns
@@ -88,12 +105,11 @@ def judge(pages: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> Data
     for k in ("1", "2"):
         stats = known.groupBy(f"_suffix{k}").agg(F.count(F.lit(1)).cast("double").alias(f"suffix{k}_rows"), F.avg("label").alias(f"suffix{k}_block"))
         out = out.join(stats, f"_suffix{k}", "left").fillna(0.0, [f"suffix{k}_rows"]).fillna(0.5, [f"suffix{k}_block"])
-    out = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(out)
-    labelled = out.where(F.col("_rule").isNotNull()).select(
-        "_features", (F.col("_rule.verdict") == "block").cast("double").alias("label"), F.xxhash64("url").alias("_h"), "url")
-    fit = cut(labelled.orderBy("_h", "url").limit(sample_rows).select("_features", "label").coalesce(1))
+    fit = _fitting_sample(out.where(F.col("_rule").isNotNull()).withColumn("label", (F.col("_rule.verdict") == "block").cast("double")), known, sample_rows)
+    assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
+    out = assemble.transform(out)
     if fit.select("label").distinct().count() == 2:
-        model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=5).fit(fit)
+        model = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=TREES, maxDepth=DEPTH, seed=5).fit(assemble.transform(fit))
         score = vector_to_array("probability")[1]
         out = model.transform(out).withColumn("_score", score)
     else:

@@ -240,6 +240,15 @@ def test_url_trees_learn(spark):
     assert right >= 54
 
 
+def test_url_sample_of_distinct_urls(spark):
+    """A URL of most rows that hashes lowest does not fill the sample."""
+    urls = [f"http://s{i}.com/{'de' if i % 2 else 'fr'}/{i}" for i in range(60)]
+    hot = spark.createDataFrame([(u,) for u in urls], "url string").orderBy(F.xxhash64("url")).first()["url"]
+    d = spark.createDataFrame([(u,) for u in urls + [hot] * 300 + [f"http://u{i}.net/{i}" for i in range(10)]], "url string")
+    got = url_filter.judge(d, sample_rows=40).where("rule is null").collect()
+    assert len(got) == 10 and all(r["score"] > 0 for r in got)
+
+
 # 7 ---------------------------------------------------------------------------------------------
 def test_licenses(spark):
     mit = [t for n, t in licenses.LICENSES if n == "MIT"][-1]
