@@ -13,9 +13,10 @@ def fold(doc_id: Column, mod: int) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, max_bytes: int) -> list[tuple[str, int]]:
     """At most ``per_class`` (text, label) rows of either label, taken in the order of a hash of the
-    id among the labelled rows where ``train`` holds; texts over ``max_bytes`` are not used for
-    fitting. The chosen ids (bounded) are broadcast, the documents are not shuffled."""
+    id among the labelled rows where ``train`` holds and the text has at most ``max_bytes``. The chosen ids (bounded) are broadcast, the documents are not shuffled."""
     known = labels.where(train & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    short = docs.where(F.octet_length("text") <= max_bytes).select("doc_id")
+    known = known.join(short, "doc_id", "left_semi")  # ids only
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = None
     for y in (0, 1):

@@ -6,8 +6,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loanlens.llm import quality_model, textbytes, toxicity
+from loanlens.llm.labelled import sample
 
 from .helpers import AWKWARD, make
 
@@ -104,3 +106,10 @@ def test_scores_of_awkward_rows(spark, toxic_model):
     assert len(got) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in got)
     assert {r["score"] for r in quality_model.score(d, None).collect()} == {0.5}
     assert toxicity.train([("a", 1)]) is None and quality_model.train([]) is None
+
+
+def test_labelled_sample_passes_over_long_texts(spark):
+    docs = spark.createDataFrame([(i, "short" if i >= 56 else "long " * 100) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, y long")
+    got = sample(docs, labels, "y", F.lit(True), 2, 100)
+    assert got == [("short", 0), ("short", 1), ("short", 0), ("short", 1)]
