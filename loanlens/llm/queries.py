@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, line_dedup, mixing, neardup, quality_model, quality_rules, substring, toxicity, url_filter
+from . import decontam, licenses, line_dedup, mixing, neardup, periodic, quality_model, quality_rules, substring, toxicity, url_filter
 from .labelled import fold
 from .tables import read_documents
 
@@ -211,3 +211,41 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     model = quality_model.fit(docs, _table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
     return _scored(quality_model.score(docs, model), 5, 0)
+
+
+_CRC32 = """xor(4294967295, list_reduce([4294967295] || [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')],
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+@_register("op13_periodic_runs", rf"""
+WITH RECURSIVE a AS (SELECT doc_id, row_number() OVER () AS r, {_SPACE_WORDS} AS w, {_CRC32} AS h FROM documents),
+b AS (SELECT doc_id, r, w, len(w) AS n, h, h // 10 AS g FROM a),
+c AS (SELECT doc_id, r, w, n, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM b),
+d AS (SELECT doc_id, r, CASE WHEN a IS NULL THEN w ELSE [w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] FOR i IN range(n)] END AS w FROM c),
+x AS (SELECT r, i, w[i + 1] AS x FROM d, unnest(range(len(w))) AS t(i)),
+nm(k, r, i, c) AS (SELECT 0, r, i, hash(x) FROM x UNION ALL
+  SELECT k + 1, r, i, c FROM (SELECT u.k, u.r, u.i, hash(u.c, v.c) AS c FROM nm u JOIN nm v ON u.r = v.r AND v.i = u.i + (CAST(1 AS BIGINT) << u.k))
+  QUALIFY count(*) OVER (PARTITION BY r, c) > 1),
+s AS (SELECT k, r, lead(i) OVER z - i AS q, lead(i, 2) OVER z - lead(i) OVER z AS q2 FROM nm WINDOW z AS (PARTITION BY k, r, c ORDER BY i)),
+can AS (SELECT DISTINCT r, q FROM s WHERE q = q2 AND q <= CAST(2 AS BIGINT) << k),
+eq AS (SELECT can.r, q, u.i, u.i - row_number() OVER (PARTITION BY can.r, q ORDER BY u.i) AS island
+       FROM can JOIN x u ON u.r = can.r JOIN x v ON v.r = can.r AND v.i = u.i + q WHERE u.x = v.x),
+o AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM eq GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM o y WHERE y.r = o.r AND y.q < o.q AND y.s <= o.s AND y.s + y.l >= o.s + o.l)),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY l / q DESC, s, q) = 1),
+t AS (SELECT r, count(*) AS n, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, i FROM runs, unnest(range(s + q, s + l)) AS t(i)),
+kept AS (SELECT x.r, string_agg(x, ' ' ORDER BY x.i) AS t FROM x LEFT JOIN gone ON gone.r = x.r AND gone.i = x.i WHERE gone.i IS NULL GROUP BY x.r)
+SELECT doc_id, coalesce(t.n, 0) AS n_runs, best.s AS "start", best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli,
+       sha256(coalesce(t.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+""")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(read_documents(spark, sf_dir), order=periodic.planted_order)
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("e"), (-r["start"]).alias("s"), (-r["period"]).alias("q"), r["length"].alias("l"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.l").alias("length"), (-F.col("best.q")).alias("period"),
+        F.expr("(1000 * best.l) div (-best.q)").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
