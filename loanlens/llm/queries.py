@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, line_dedup, mixing, neardup, periodic, quality_model, quality_rules, substring, toxicity, url_filter
+from . import decontam, lattice, licenses, line_dedup, mixing, neardup, periodic, quality_model, quality_rules, substring, toxicity, url_filter
 from .labelled import fold
 from .tables import read_documents
 
@@ -249,3 +249,18 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.l").alias("length"), (-F.col("best.q")).alias("period"),
         F.expr("(1000 * best.l) div (-best.q)").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@_register("op12_embedding_dedup", """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT vec_id, label, v FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN v IF x <> 0]) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r(node, reach) AS (SELECT vec_id, vec_id FROM e UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT e.vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(reach) AS component_id, e.vec_id = min(reach) AS kept
+FROM e JOIN r ON r.node = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id GROUP BY e.vec_id
+""")
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicate_vectors(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
