@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lattice, licenses, line_dedup, mixing, neardup, periodic, quality_model, quality_rules, substring, toxicity, url_filter
+from . import covertree, decontam, lattice, licenses, line_dedup, mixing, neardup, periodic, quality_model, quality_rules, substring, toxicity, url_filter
 from .labelled import fold
 from .tables import read_documents
 
@@ -264,3 +264,22 @@ FROM e JOIN r ON r.node = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id GROUP BY e
 """)
 def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicate_vectors(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+@_register("op11_hard_negatives", """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+      FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER z AS INT) AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n USING (a) WHERE NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+WINDOW z AS (PARTITION BY a, p.b ORDER BY n.s DESC, n.b) QUALIFY row_number() OVER z <= 3
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = rows.where(F.col("label").isNotNull() & finite).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("vector"))
+    return covertree.hard_negatives(rows, F.col("vec_id") % 50 == 0)
