@@ -206,7 +206,7 @@ def _search(trees: DataFrame, anchors: list[dict], norm: float, keep: int, same:
                 if dim not in state:
                     continue
                 tree = {f.name: batch.column(f.name)[i].values.to_numpy(zero_copy_only=False) for f in _ARROW if pa.types.is_list(f.type)}
-                tree["x"] = np.frombuffer(batch.column("x")[i].as_buffer(), np.int32).reshape(-1, dim).astype(np.float64)
+                tree["x"] = np.frombuffer(batch.column("x")[i].as_buffer(), np.int32).reshape(len(tree["id"]), dim).astype(np.float64)
                 cuts = np.searchsorted(tree["depth"], np.arange(tree["depth"][-1] + 2))
                 tree["levels"] = [np.arange(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:])]
                 for lo in range(0, len(state[dim].id), CHUNK):
@@ -273,7 +273,8 @@ def build(rows: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     most = max(1, min(TOP, math.ceil(n / BLOCK)))
     centres = {}
     for d in {len(v) for v in sample}:
-        u = on_sphere(np.array([v for v in sample if len(v) == d], np.float64).reshape(-1, d), norm)
+        some = [v for v in sample if len(v) == d]
+        u = on_sphere(np.array(some, np.float64).reshape(len(some), d), norm)
         centres[d] = u[farthest_first(u, most)[0]]
     once = rows.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.label", "r.v")
     rows = cut(_assigned(once, centres, norm))

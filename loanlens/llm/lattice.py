@@ -114,7 +114,7 @@ def _matrix(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for d in np.unique(lens):
         rows = np.flatnonzero(lens == d)
-        out.append((rows, flat.reshape(-1, d) if len(rows) == len(lens) else flat[begin[rows][:, None] + np.arange(d)]))
+        out.append((rows, flat.reshape(len(rows), d) if len(rows) == len(lens) else flat[begin[rows][:, None] + np.arange(d)]))
     return out
 
 
