@@ -227,5 +227,44 @@ NARRATIVES_MSME = {
                           [(">", 0.66, "alarming language in notes"), (">", 0.4, "some concern in notes")],
                           "notes read healthy"),
 }
+
+# Driver narratives, consumer variant (further placeholders: {v0}, {v1} = value with 0 and 1 decimals, {money} = whole
+# units with thousands separators, {grade} = letter of the rounded ordinal).
+NARRATIVES_CONSUMER = {
+    "note_stress_index": ("Officer-notes stress index (NLP): {v2}/1.0 — {tier}.",
+                          [(">", 0.66, "alarming language in notes"), (">", 0.4, "some concern in notes")],
+                          "notes read healthy"),
+    "person_age": ("Borrower age: {v0} years.", [], None),
+    "person_income": ("Annual income: ${money} — {tier}.", [("<", 40000, "low"), ("<", 90000, "moderate")], "high"),
+    "person_emp_length": ("Employment length: {v0} year(s) — {tier}.", [("<", 2, "short tenure")], "stable"),
+    "loan_amnt": ("Loan amount: ${money}.", [], None),
+    "loan_int_rate": ("Interest rate: {v1}% — {tier}.", [(">", 15, "high (subprime)"), (">", 11, "elevated")], "prime"),
+    "loan_percent_income": ("Loan is {pct}% of income — {tier}.",
+                            [(">", 0.4, "very high burden"), (">", 0.25, "high")], "manageable"),
+    "cb_person_cred_hist_length": ("Credit history: {v0} year(s) — {tier}.", [("<", 3, "thin file")], "established"),
+    "loan_grade_ord": ("Loan grade: {grade} ({v0}/7) — {tier}.", [(">=", 4, "subprime")], "prime"),
+    "default_flag": ("{tier}", [(">", 0.5, "Prior default on file — major red flag.")], "No prior default on file."),
+}
+# One-hot levels of a driver: sentence when the level is the applicant's, none otherwise.
+LEVEL_NARRATIVES_CONSUMER = {"person_home_ownership": "Home ownership: {level}.", "loan_intent": "Loan purpose: {level}."}
+
+# Sentences of the risk-factor breakdown, consumer variant.
+NARRATIVES_FACTORS = {
+    "note_stress_index": ("Officer-notes stress index (NLP): {v2}/1.0 — {tier}.",
+                          [(">", 0.66, "alarming language"), (">", 0.4, "some concern")], "notes read healthy"),
+    "person_age": ("Borrower age: {int} years.", [], None),
+    "person_income": ("Annual income: ${money} — {tier}.", [("<", 40000, "low"), ("<", 90000, "moderate")], "high"),
+    "person_emp_length": ("Employment length: {v0} year(s) — {tier}.", [("<", 2, "short tenure")], "stable"),
+    "loan_amnt": ("Loan amount: ${money}.", [], None),
+    "loan_int_rate": ("Interest rate: {v1}% — {tier}.", [(">", 15, "subprime"), (">", 11, "elevated")], "prime"),
+    "loan_percent_income": ("Loan is {pct}% of income — {tier}.",
+                            [(">", 0.4, "very high burden"), (">", 0.25, "high")], "manageable"),
+    "cb_person_cred_hist_length": ("Credit history: {int} year(s).", [], None),
+    "loan_grade_ord": ("Loan grade {grade} ({int}/7).", [], None),
+    "default_flag": ("{tier}", [(">", 0.5, "Prior default on file.")], "No prior default."),
+}
+# Exposure of a consumer loan in the report's currency, per unit of the loan amount.
+CONSUMER_EXPOSURE_SCALE = 100
+
 DRIVERS_EXPLAIN, DRIVERS_CONTEXT, DRIVERS_ANSWER = 8, 5, 3
 ATTENTION_TOP = 5

@@ -58,7 +58,9 @@ def risk_score(pd_col) -> Column:
 
 
 def title_case(s) -> Column:
-    return F.initcap(F.lower(_c(s)))
+    """Upper case after every character that is no letter, lower case elsewhere ("home-improvement" -> "Home-Improvement")."""
+    runs = F.regexp_extract_all(_c(s), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")
 
 
 def map_lookup(key, mapping: Mapping, default=None) -> Column:

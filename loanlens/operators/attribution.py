@@ -8,6 +8,7 @@ per-borrower top-k is a window partitioned by borrower (planned as WindowGroupLi
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,19 +45,28 @@ def _num(v: Column, places: int) -> Column:
     return F.bround(v, places).cast(f"decimal(18,{places})").cast("string")
 
 
+_COMPARE = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "==": operator.eq}
+
+
+def _grade(v: Column) -> Column:
+    letter = map_lookup(F.bround(v, 0).cast("int"), {n: g for g, n in K.GRADE_MAP.items()})
+    return F.coalesce(letter, F.lit("?"))
+
+
 def narrative(feature: Column | str, value: Column | str,
-              rules: Mapping[str, tuple] = K.NARRATIVES_MSME) -> Column:
-    """Plain-English driver sentence, dispatched on the feature name."""
+              rules: Mapping[str, tuple] = K.NARRATIVES_MSME, places: int = 3) -> Column:
+    """Plain-English driver sentence, dispatched on the feature name; other features are named with
+    their value to ``places`` decimals. Null for a null value."""
     f = F.col(feature) if isinstance(feature, str) else feature
     v = F.col(value) if isinstance(value, str) else value
     out = None
     for name, (template, tiers, other) in rules.items():
         tier = None
         for op, bound, word in tiers:
-            cond = v > bound if op == ">" else v == bound
+            cond = _COMPARE[op](v, F.lit(bound))
             tier = F.when(cond, F.lit(word)) if tier is None else tier.when(cond, F.lit(word))
         if tier is not None:
-            tier = tier.otherwise(F.lit(other))
+            tier = F.when(v.isNotNull(), tier.otherwise(F.lit(other)))
         parts = []
         rest = template
         while rest:
@@ -68,12 +78,13 @@ def narrative(feature: Column | str, value: Column | str,
                 parts.append(F.lit(rest[:i]))
             j = rest.index("}", i)
             token = rest[i + 1:j]
-            parts.append({"pct": lambda: _num(v * 100, 0), "v2": lambda: _num(v, 2),
+            parts.append({"pct": lambda: _num(v * 100, 0), "v0": lambda: _num(v, 0), "v1": lambda: _num(v, 1), "v2": lambda: _num(v, 2),
+                          "money": lambda: F.format_number(F.bround(v, 0), 0), "grade": lambda: _grade(v),
                           "int": lambda: v.cast("long").cast("string"), "tier": lambda: tier}[token]())
             rest = rest[j + 1:]
         text = F.concat(*parts)
         out = F.when(f == name, text) if out is None else out.when(f == name, text)
-    return out.otherwise(F.concat(f, F.lit(": "), _num(v, 3)))
+    return out.otherwise(F.concat(f, F.lit(": "), _num(v, places)))
 
 
 def _ship_by_value() -> None:
@@ -88,14 +99,17 @@ def _ship_by_value() -> None:
 def tree_tables(spark, gbt_model, path: str):
     """Saved-model node tables of a fitted boosted-tree model: per tree, numpy arrays of split
     feature, threshold, children and node value, plus the tree weights. The model is written
-    with ``save`` and its ``data`` folder read back (a bounded table: trees x nodes)."""
+    with ``save`` and its ``data`` folder read back (a bounded table: trees x nodes).
+
+    A split of a 0/1 slot (one-hot level) names its left categories; it becomes the threshold 0.5, with its
+    children exchanged where 1 goes left, so every split reads ``x <= threshold -> left``."""
     import numpy as np
     gbt_model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
         "nodeData.rawCount", F.col("nodeData.impurityStats").alias("stats"),
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr")).collect()
+        F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr"), F.col("nodeData.split.numCategories").alias("levels")).collect()
     weights = list(gbt_model.treeWeights)
     trees = []
     for t in range(len(weights)):
@@ -105,6 +119,13 @@ def tree_tables(spark, gbt_model, path: str):
         thr = np.array([(r["thr"][0] if r["thr"] else 0.0) for r in rows], dtype=np.float64)
         left = np.array([r["leftChild"] for r in rows], dtype=np.int64)
         right = np.array([r["rightChild"] for r in rows], dtype=np.int64)
+        for i, r in enumerate(rows):
+            if r["leftChild"] >= 0 and r["levels"] >= 0:
+                if r["levels"] != 2:
+                    raise ValueError("a categorical split of more than two levels has no threshold")
+                thr[i] = 0.5
+                if list(r["thr"]) == [1.0]:
+                    left[i], right[i] = right[i], left[i]
         value = np.array([r["prediction"] for r in rows], dtype=np.float64)
         cover = np.array([(r["stats"][0] if r["stats"] else float(r["rawCount"])) for r in rows], dtype=np.float64)
         assert n and rows[0]["id"] == 0
@@ -225,6 +246,31 @@ def _tree_shap(x, tree, weight, phi):
     recurse(0, [], 1.0, np.ones(n), -1)
 
 
+def tree_shap_values(df: DataFrame, trees, weights, features: Sequence[str], key: str) -> DataFrame:
+    """Shapley values of a boosted-tree margin, one row per input row: the key, ``base``, and ``values`` and ``impacts``, arrays in
+    the order of ``features``. Nothing is multiplied out, so rankings per row need no shuffle."""
+    import numpy as np
+    import pyarrow as pa
+
+    feats = list(features)
+    base = float(sum(w * t[4][0] for t, w in zip(trees, weights)))
+    _ship_by_value()
+
+    def run(batches):
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]) if batch.num_rows else np.zeros((0, len(feats)))
+            phi = np.zeros(x.shape)
+            for tree, w in zip(trees, weights):
+                _tree_shap(x, tree, w, phi)
+            at = pa.array(np.arange(0, phi.size + 1, len(feats), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.columns[0], pa.array(np.full(len(x), base)),
+                                              *(pa.ListArray.from_arrays(at, pa.array(a.reshape(-1))) for a in (x, phi))],
+                                             names=[key, "base", "values", "impacts"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, *[F.col(c).cast("double").alias(c) for c in feats]).mapInArrow(run, f"{key} {kind}, base double, values array<double>, impacts array<double>")
+
+
 def tree_shap_attribution(df: DataFrame, trees, weights, features: Sequence[str], key: str = "company_id") -> DataFrame:
     """Per-row, per-feature TreeSHAP values of a boosted-tree margin; ``base`` is the expected
     margin (cover-weighted), so base + sum of impacts equals the margin. Arrow batches via

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -22,23 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .clean import median_impute
-from .ordered import exact_medians, running_totals
-
-
-class ExactMedianImputer:
-    """Median imputer fitted on the training frame only (exact medians, unlike ml.feature.Imputer)."""
-
-    def __init__(self, cols: Sequence[str]):
-        self.cols = list(cols)
-        self.medians: dict[str, float | None] = {}
-
-    def fit(self, df: DataFrame) -> "ExactMedianImputer":
-        self.medians = exact_medians(df, self.cols)
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        return median_impute(df, self.cols, self.medians)
+from .imputer import ExactMedianImputer
+from .ordered import running_totals
 
 
 def order_key(df: DataFrame, key: str, seed: int | None) -> DataFrame:
@@ -69,10 +54,10 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
 
 
 def preprocessing(features: Sequence[str]) -> list:
-    """Pipeline stages before a model: medians fitted on the training rows fill nulls, then the
+    """Pipeline stages before a model: exact medians fitted on the training rows fill nulls, then the
     vector. They are saved with the model and refitted in each fold."""
     filled = [f"filled_{f}" for f in features]
-    return [Imputer(strategy="median", inputCols=list(features), outputCols=filled, relativeError=1e-4),
+    return [ExactMedianImputer(inputCols=list(features), outputCols=filled),
             VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="error")]
 
 

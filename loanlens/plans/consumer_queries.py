@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -11,8 +14,12 @@ from ..operators import metrics as MT
 from ..operators import ml as ML
 from ..operators import portfolio as P
 from ..operators import text as TX
+from ..operators import trajectory as TR
 from ..operators.ordered import checkpointed
 from ..operators.portfolio import round_doubles
+from ..session import ensure_checkpoint_dir
+from ..sources import tables as TB
+from ..sources import versions as VS
 from ..sources import views as V
 from . import sql_views as S
 from .registry import register
@@ -27,7 +34,7 @@ def stressed(spark, sf):
 
 
 def consumer(spark, sf):
-    return CO.with_stress(V.applications(spark, sf), stressed(spark, sf))
+    return CO.with_helpers(CO.with_stress(V.applications(spark, sf), stressed(spark, sf)))
 
 
 _STRESS = f"""
@@ -65,26 +72,130 @@ def q_encoded_names(spark, sf):
         part = a.where(F.col(c).isNotNull()).select(F.concat(F.lit(c + "_"), F.col(c)).alias("feature")).distinct()
         names = part if names is None else names.unionByName(part)
     names = names.unionByName(spark.range(1).select(F.lit("loan_amnt").alias("feature")))
-    return names.select("feature", CO.encoded_name(F.col("feature")).alias("e")).select("feature", "e.column", "e.level")
+    return names.select("feature", CO.encoded_name(F.col("feature"), [*CO.CATEGORICAL, "loan_grade"]).alias("e")).select("feature", "e.column", "e.level")
 
 
 def _split(spark, sf):
     return checkpointed(ML.stratified_split(consumer(spark, sf), LABEL, "loan_id", 0.2, seed=42))
 
 
+_BUNDLES: dict[tuple[str, str], str] = {}
+
+
+def scorer(spark, sf) -> CO.Scorer:
+    """The consumer model of this session: trained once on the session's tables, published as a versioned bundle, read
+    back for every use. The trees learn from 80 % of the training rows, the isotonic map from the rest."""
+    slot = (spark.sparkContext.applicationId, f"{sf}:{TB.stamp(spark, sf, ['orders', 'customer', 'nation', 'region', 'documents'])}")
+    if slot not in _BUNDLES:
+        inner = ML.stratified_split(_split(spark, sf).where("split = 'train'").drop("split"), LABEL, "loan_id", 0.2, seed=43)
+        model = CO.fit(inner.where("split = 'train'"))
+        iso = ML.calibrate(CO.score(model, inner.where("split = 'test'")), "prob", LABEL)
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/consumer-{uuid.uuid4().hex[:12]}"
+        VS.publish(spark, root, lambda path: CO.save(spark, path, model, iso))
+        _BUNDLES[slot] = root
+    return CO.Scorer.load(spark, VS.current(spark, _BUNDLES[slot]))
+
+
+def _losses(df):
+    out = P.with_lgd(df, "loan_intent", K.LGD_CONSUMER, K.LGD_CONSUMER_DEFAULT)
+    return out.withColumn("expected_loss", F.col("pd") * F.col("loan_amnt") * F.col("lgd"))
+
+
 @register("consumer_scores")
 def q_consumer_scores(spark, sf):
-    """Every application: calibrated PD of the trained pipeline, band and expected loss. The trees learn
-    from 80 % of the training rows, the isotonic map from the rest."""
-    every = _split(spark, sf)
-    inner = ML.stratified_split(every.where("split = 'train'").drop("split"), LABEL, "loan_id", 0.2, seed=43)
-    model = CO.fit(inner.where("split = 'train'"))
-    iso = ML.calibrate(CO.score(model, inner.where("split = 'test'")), "prob", LABEL)
-    out = iso.transform(CO.score(model, every)).withColumn("pd", F.col("prob_calibrated")).withColumn("band", risk_band("pd"))
-    out = P.with_lgd(out, "loan_intent", K.LGD_CONSUMER, K.LGD_CONSUMER_DEFAULT).withColumn("expected_loss", F.col("pd") * F.col("loan_amnt") * F.col("lgd"))
+    """Every application: calibrated PD of the trained pipeline, band and expected loss, scored from the saved bundle."""
+    out = _losses(scorer(spark, sf).score(_split(spark, sf)))
     return out.select("loan_id", "split", LABEL, "prob", "pd", "band", "lgd", "expected_loss")
 
 
+# Scores agree to this: the pipeline adds up trees and interpolates in another order.
+AGREE = 1e-9
+
+
+@register("compiled_scores", S.with_views(S.V_APPLICATIONS, body="""
+SELECT loan_id, true AS same_prob, true AS same_pd, true AS in_range FROM v_applications"""))
+def q_compiled_scores(spark, sf):
+    """The compiled model against the fitted spark.ml stages, application by application."""
+    model, rows = scorer(spark, sf), checkpointed(consumer(spark, sf))
+    ours = model.score(rows).select("loan_id", "prob", "pd")
+    theirs = model.reference_score(rows).select("loan_id", F.col("prob").alias("prob2"), F.col("pd").alias("pd2"))
+    return ours.join(theirs, "loan_id").select("loan_id", (F.abs(F.col("prob") - F.col("prob2")) < AGREE).alias("same_prob"),
+                                               (F.abs(F.col("pd") - F.col("pd2")) < AGREE).alias("same_pd"), F.col("pd").between(0, 1).alias("in_range"))
+
+
+def trajectory(spark, sf):
+    """Twelve scenario months of every application, rescored by the compiled model in one projection."""
+    return scorer(spark, sf).score(TR.consumer_scenarios(consumer(spark, sf)))
+
+
+@register("consumer_trajectory")
+def q_consumer_trajectory(spark, sf):
+    """Forward PD of every application by the trained model, month by month."""
+    return trajectory(spark, sf).select("loan_id", "month_idx", "month", "pd", "band")
+
+
+@register("consumer_trajectory_check", S.with_views(S.V_APPLICATIONS, body="""
+SELECT loan_id, 12 AS months, true AS in_order, true AS same_pd, true AS same_band, true AS migrated_as_banded FROM v_applications"""))
+def q_consumer_trajectory_check(spark, sf):
+    """Facts of ``consumer_trajectory`` that hold for any trained model: twelve months in order, every PD the one
+    the spark.ml stages give the altered row, bands by the cuts, migration from the first month's band to the current one."""
+    model = scorer(spark, sf)
+    rows = checkpointed(TR.consumer_scenarios(consumer(spark, sf)))
+    key = ["loan_id", "month_idx"]
+    theirs = model.reference_score(rows).select(*key, F.col("pd").alias("pd2"))
+    months = model.score(rows).join(theirs, key).groupBy("loan_id").agg(
+        F.count(F.lit(1)).cast("int").alias("months"), F.array_sort(F.collect_list(F.struct("month_idx", "month"))).alias("m"),  # twelve at most
+        F.max(F.abs(F.col("pd") - F.col("pd2"))).alias("off"), F.bool_and(F.col("band") == risk_band("pd2")).alias("same_band"),
+        F.min_by("pd", "month_idx").alias("first"))
+    now = model.reference_score(consumer(spark, sf)).select("loan_id", F.col("pd").alias("now"))
+    ours = q_consumer_migration(spark, sf)
+    order = F.transform("m", lambda x: x["month"]) == F.array(*[F.lit(x) for x in K.SCENARIO_MONTHS])
+    return (months.join(now, "loan_id").join(ours, "loan_id")
+            .select("loan_id", "months", order.alias("in_order"), (F.col("off") < AGREE).alias("same_pd"), "same_band",
+                    ((F.col("start_band") == risk_band("first")) & (F.col("end_band") == risk_band("now"))).alias("migrated_as_banded")))
+
+
+@register("consumer_migration")
+def q_consumer_migration(spark, sf):
+    """Band of the first scenario month against the band of the current PD, by the trained model."""
+    current = scorer(spark, sf).score(consumer(spark, sf))
+    return TR.migration(trajectory(spark, sf), current, "loan_id").select("loan_id", "start_band", "end_band", "migrated")
+
+
+# ---------------------------------------------------------------- explanations ---------
+@register("consumer_attribution")
+def q_consumer_attribution(spark, sf):
+    """Shapley values of the margin by raw input column: the slots of a category are added up."""
+    columns = [*CO.NUMERIC, CO.TEXT, *CO.CATEGORICAL]
+    found = scorer(spark, sf).impacts(consumer(spark, sf), "loan_id")
+    return found.select("loan_id", "base", F.inline(CO.by_column("drivers", columns))).withColumnRenamed("column", "feature")
+
+
+@register("consumer_attribution_check", S.with_views(S.V_APPLICATIONS, body="""
+SELECT loan_id, 12 AS features, true AS additive, true AS one_level_each FROM v_applications"""))
+def q_consumer_attribution_check(spark, sf):
+    """Additivity of the attribution: base and impacts, by slot and by raw column, add up to the spark.ml margin, and
+    no category has more than one level set."""
+    model, rows = scorer(spark, sf), checkpointed(consumer(spark, sf))
+    columns = [*CO.NUMERIC, CO.TEXT, *CO.CATEGORICAL]
+    found = model.impacts(rows, "loan_id").withColumn("columns", CO.by_column("drivers", columns))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x["impact"])
+    chosen = lambda c: F.size(F.filter("drivers", lambda x: (x["column"] == c) & (x["value"] > 0.5)))
+    levels = [chosen(c) for c in CO.CATEGORICAL]
+    margin = model.pipeline.transform(rows).select("loan_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    return found.join(margin, "loan_id").select(
+        "loan_id", F.size("columns").alias("features"),
+        ((F.abs(F.col("base") + total("drivers") - F.col("margin")) < AGREE) & (F.abs(F.col("base") + total("columns") - F.col("margin")) < AGREE)).alias("additive"),
+        F.greatest(*levels).between(0, 1).alias("one_level_each"))
+
+
+@register("consumer_drivers")
+def q_consumer_drivers(spark, sf):
+    """The eight strongest drivers of every application with their sentences; levels that are not the applicant's are left out."""
+    found = scorer(spark, sf).impacts(consumer(spark, sf), "loan_id")
+    return found.select("loan_id", F.inline(CO.top_drivers("drivers")))
+
+
 @register("consumer_ablation")
 def q_consumer_ablation(spark, sf):
     """Held-out metrics of the trained pipeline with and without the text feature."""

@@ -148,9 +148,9 @@ v_loans AS (
 
 
 def title_case(x: str) -> str:
-    """Python str.title()-like capitalisation of space-separated words."""
-    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
-            f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+    """Upper case after every character that is no letter, lower case elsewhere."""
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|\\P{{L}}+'), "
+            f"lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '')")
 
 
 V_PANEL = """

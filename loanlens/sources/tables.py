@@ -130,6 +130,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def stamp(spark: SparkSession, sf_dir: str, names: Sequence[str] = TABLES) -> str:
+    """Digest of the tables' files (path, length, time): what is kept for a session is kept by it, so a table that
+    changes within the session is read anew."""
+    jvm, conf, seen = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), hashlib.sha1()
+    for name in names:
+        jpath = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = jpath.getFileSystem(conf)
+        files = fs.listStatus(jpath) if fs.exists(jpath) else []
+        for s in sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files):
+            seen.update(s.encode())
+    return seen.hexdigest()[:16]
+
+
 _MATERIALISED: dict[tuple[str, str], str] = {}
 
 

@@ -22,7 +22,7 @@ from ..functions import constants as K
 from ..functions.scalars import clip
 from ..operators.ordered import exact_medians
 from ..operators.scorecard import fit_zscore, score
-from .tables import materialise, read_table
+from .tables import materialise, read_table, stamp
 
 
 def customer_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,12 +126,16 @@ def borrowers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def borrower_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(spark, f"borrowers:{sf_dir}", lambda: borrower_features(spark, sf_dir))
+    return materialise(spark, _borrower_key(spark, sf_dir), lambda: borrower_features(spark, sf_dir))
+
+
+def _borrower_key(spark: SparkSession, sf_dir: str) -> str:
+    return f"borrowers:{sf_dir}:{stamp(spark, sf_dir, ['orders', 'lineitem', 'customer', 'nation', 'region'])}"
 
 
 def borrower_stats(spark: SparkSession, sf_dir: str) -> dict:
     """Per-feature (mean, sample std) of the borrower table, fitted once per session."""
-    slot = (spark.sparkContext.applicationId, f"borrowers:{sf_dir}")
+    slot = (spark.sparkContext.applicationId, _borrower_key(spark, sf_dir))
     if slot not in _STATS:
         _STATS[slot] = fit_zscore(borrower_table(spark, sf_dir), K.MSME_FEATURES)
     return _STATS[slot]
@@ -271,7 +275,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.greatest(F.col("s_acctbal"), F.lit(0.0)), F.lit(0.0)).alias("opening_balance"),
             (F.sum("returns_in_month").over(whole) * 3 > F.sum("_lines").over(whole)).cast("int").alias("default"),
         )
-    return materialise(spark, f"panel:{sf_dir}", build)
+    return materialise(spark, f"panel:{sf_dir}:{stamp(spark, sf_dir, ['lineitem', 'part', 'supplier', 'nation', 'region'])}", build)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
