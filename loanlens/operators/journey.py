@@ -6,7 +6,7 @@ Everything is keyed by the journey owner (``user_id``): dedup is a window partit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,24 +39,43 @@ def dedup_first(df: DataFrame, owner: str = "user_id", order=("ts", "event_id"))
     return df.groupBy(owner, "date", "desc").agg(first).select(owner, "date", "desc", "_first.*")
 
 
-def running_journey(df: DataFrame, owner: str = "user_id", order: str = "ts", tie: str = "event_id",
-                    last_n: int = 3) -> DataFrame:
-    """Running counts per owner plus the types of the last ``last_n`` events.
+RANK_BLOCK = 1024
 
-    Skew-safe: running counts come from ``running_totals`` (per owner, split into event-time
-    ranges, so one owner with a third of all events is spread over many tasks); the previous
-    events are fetched by equi-joins on (owner, rank - k), which hash-partition evenly."""
+
+def journey_log(df: DataFrame, owner: str = "user_id", order: str = "ts", tie: str = "event_id", block: int = RANK_BLOCK) -> DataFrame:
+    """The journeys as a log: every event with its 1-based ``rank`` in its owner's journey, the running number of errors, and its
+    rank ``block``. The journey to any date is a prefix of ranks, read by a range of blocks; no list grows with the
+    history. Ranks come from running counts over event-time ranges, so one owner with a third of all events is spread."""
     keyed = df.withColumn("_one", F.lit(1)).withColumn("_err", (F.col("type") == "error").cast("long"))
     keyed = keyed.withColumn("_ord", F.struct(F.col(order).alias("ts"), F.col(tie).alias("tie")))
-    ranked = _running_by_struct(keyed, owner)
-    out = ranked
-    parts = []
-    for k in range(last_n - 1, 0, -1):
-        prev = ranked.select(owner, (F.col("events_to_date") + k).alias("events_to_date"), F.col("type").alias(f"_t{k}"))
-        out = out.join(prev, [owner, "events_to_date"], "left")
-        parts.append(F.col(f"_t{k}"))
-    recent = F.concat_ws(">", *parts, F.col("type"))
-    return out.withColumn("recent_types", recent).drop(*[f"_t{k}" for k in range(1, last_n)])
+    ranked = _running_by_struct(keyed, owner).withColumnRenamed("events_to_date", "rank")
+    return ranked.withColumn("block", F.floor((F.col("rank") - 1) / block).cast("long"))
+
+
+def journey_to_date(log: DataFrame, points: DataFrame, owner: str = "user_id", block: int = RANK_BLOCK) -> DataFrame:
+    """For ``points`` (owner, ``upto``, more columns): one row per event of the prefix of ``upto`` events, with the point's columns.
+
+    A point asks for its blocks by number, so the join is on (owner, block): a long journey's blocks lie in different tasks, and
+    only the last block of a prefix needs the test of the rank."""
+    asked = points.where(F.col("upto") > 0).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("upto") - 1) / block).cast("long"))))
+    return asked.join(log, [owner, "block"]).where(F.col("rank") <= F.col("upto")).drop("block")
+
+
+def running_journey(df: DataFrame, owner: str = "user_id", order: str = "ts", tie: str = "event_id", last_n: int = 3,
+                    block: int = RANK_BLOCK) -> DataFrame:
+    """Running counts per owner plus the types of the last ``last_n`` events, for display; the whole journey to
+    a date is ``journey_to_date``.
+
+    The last events of a rank block are handed on to the next block, so the types are a window inside (owner, block):
+    one shuffle, and no owner in one task."""
+    log = journey_log(df, owner, order, tie, block)
+    edge = (F.col("rank") - 1) % block >= block - (last_n - 1)
+    copies = F.when(edge, F.array(F.col("block"), F.col("block") + 1)).otherwise(F.array("block"))
+    spread = log.withColumn("_own", F.col("block")).withColumn("block", F.explode(copies))
+    w = Window.partitionBy(owner, "block").orderBy("rank")
+    before = [F.lag("type", k).over(w) for k in range(last_n - 1, 0, -1)]
+    recent = spread.withColumn("recent_types", F.concat_ws(">", *before, "type")).where(F.col("block") == F.col("_own"))
+    return recent.withColumnRenamed("rank", "events_to_date").drop("block", "_own")
 
 
 def _running_by_struct(df: DataFrame, owner: str) -> DataFrame:

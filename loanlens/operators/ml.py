@@ -1,5 +1,5 @@
 """Model training and scoring on spark.ml: exact-median imputation, stratified split and
-folds, boosted trees, logistic regression, random forest, isotonic calibration, CV search.
+folds, boosted trees, logistic regression, random forest, isotonic calibration.
 
 Splits and folds are exact per-class quotas: each class is ranked by a deterministic order
 key (a seeded hash in production, the id for reproducible checks) with running counts over
@@ -8,16 +8,13 @@ value ranges (no single-partition window even when one class holds most rows).
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -118,21 +115,3 @@ def calibrate(cal: DataFrame, prob: str, label: str):
     points = (cal.where(F.col(prob).isNotNull()).groupBy(prob).agg(F.avg(F.col(label).cast("double")).alias(label), F.count(F.lit(1)).cast("double").alias("_w")))
     return IsotonicRegression(featuresCol=prob, labelCol=label, weightCol="_w", predictionCol="prob_calibrated",
                               isotonic=True).fit(points)
-
-
-def cv_search(train: DataFrame, features: Sequence[str], label: str, fold_col: str = "fold", n_trials: int = 4,
-              seed: int = 42, parallelism: int = 2) -> DataFrame:
-    """Random search over boosted-tree settings scored by k-fold CV AUC (folds from a column);
-    returns one row per candidate with its mean AUC."""
-    rng = random.Random(seed)
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", seed=seed)
-    grid = ParamGridBuilder()
-    depths = sorted({rng.choice([3, 4, 5, 6]) for _ in range(n_trials)})
-    steps = sorted({round(10 ** rng.uniform(-2, -0.7), 4) for _ in range(n_trials)})
-    grid = grid.addGrid(gbt.maxDepth, depths).addGrid(gbt.stepSize, steps).addGrid(gbt.maxIter, [20]).build()
-    cv = CrossValidator(estimator=Pipeline(stages=[*preprocessing(features), gbt]), estimatorParamMaps=grid,
-                        evaluator=BinaryClassificationEvaluator(labelCol=label, numBins=0), foldCol=fold_col,
-                        parallelism=parallelism, seed=seed)
-    model = cv.fit(training_frame(train, label))
-    rows = [(int(pm[gbt.maxDepth]), float(pm[gbt.stepSize]), float(m)) for pm, m in zip(grid, model.avgMetrics)]
-    return train.sparkSession.createDataFrame(rows, "max_depth int, step_size double, cv_auc double")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import journey as J
+from ..operators.ordered import checkpointed
 from ..sources import tables as TB
 from .registry import register
 
@@ -43,3 +44,29 @@ FROM jv WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNB
 def q_running_journey(spark, sf):
     return J.running_journey(journey(spark, sf)).select("user_id", "event_id", "events_to_date", "errors_to_date",
                                                         "recent_types")
+
+
+_LOG = JV + """, log AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank, CAST((dayofmonth(date) - 1) // 7 AS INT) AS week FROM jv)
+"""
+
+
+@register("journey_to_date", _LOG + """, points AS (SELECT user_id, week, max(rank) AS upto FROM log GROUP BY ALL)
+SELECT p.user_id, p.week, p.upto, l.rank, l.event_id, l.date, l.type, l."desc" FROM points p JOIN log l ON l.user_id = p.user_id AND l.rank <= p.upto""")
+def q_journey_to_date(spark, sf):
+    """The whole journey of every user at the end of each week with events: all events to date, in order."""
+    log = checkpointed(J.journey_log(journey(spark, sf)))
+    week = F.floor((F.dayofmonth("date") - 1) / 7).cast("int")
+    points = log.groupBy("user_id", week.alias("week")).agg(F.max("rank").alias("upto"))
+    return J.journey_to_date(log, points).select("user_id", "week", "upto", "rank", "event_id", "date", "type", "desc")
+
+
+@register("journey_text", JV + """
+, txt AS (SELECT user_id, event_id, date, type, "desc", CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN '[{' || "desc" ELSE 'ok' END AS bad FROM jv)
+SELECT user_id, event_id, CASE WHEN bad = 'ok' THEN 1 ELSE 0 END AS n_events, CASE WHEN bad = 'ok' THEN date END AS date, CASE WHEN bad = 'ok' THEN type END AS type FROM txt""")
+def q_journey_text(spark, sf):
+    """Journeys kept as JSON text, some rows null and some cut off: a malformed journey is an empty one."""
+    j = journey(spark, sf)
+    good = F.to_json(F.array(F.struct("date", "type", "desc")))
+    text = F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(F.col("event_id") % 5 == 1, F.concat(F.lit("[{"), F.col("desc"))).otherwise(good)
+    parsed = j.withColumn("journey", text).withColumn("events", J.parse_events("journey"))
+    return parsed.select("user_id", "event_id", F.size("events").alias("n_events"), F.get("events", F.lit(0))["date"].alias("date"), F.get("events", F.lit(0))["type"].alias("type"))

@@ -10,8 +10,11 @@ from ..functions.scalars import risk_band
 from ..operators import features as FE
 from ..operators import metrics as MT
 from ..operators import ml as ML
+from ..operators import search as SE
 from ..operators.clean import status_label
+from ..operators.ordered import checkpointed
 from ..operators.portfolio import round_doubles
+from ..sources import tables as TB
 from ..sources import views as V
 from . import sql_views as S
 from .record_queries import FIXTURE_DEFAULT_STATUSES
@@ -89,11 +92,43 @@ def q_calibrated_scores(spark, sf):
     return iso.transform(test).select("company_id", LABEL, "prob", "prob_calibrated")
 
 
+# The registered search draws fewer and smaller trials than the operator's defaults, which are those of a
+# full search (40 trials of 200 to 800 trees on 5 folds).
+TRIALS, FOLDS, TREES = 6, 3, ("int", 4, 12, 2)
+
+
+def search_rows(spark, sf):
+    def build():
+        train, _ = _train_test(spark, sf)
+        folded = checkpointed(ML.stratified_folds(train.drop("split"), LABEL, "company_id", FOLDS, seed=7))
+        return SE.successive_halving(folded, FEATS, LABEL, "fold", FOLDS, TRIALS, SE.SPACE | {"trees": TREES})
+    return TB.materialise(spark, f"search:{sf}:{TB.stamp(spark, sf)}", build)
+
+
 @register("cv_results")
 def q_cv_results(spark, sf):
-    train, _ = _train_test(spark, sf)
-    folded = ML.stratified_folds(train.drop("split"), LABEL, "company_id", 3, seed=7)
-    return ML.cv_search(folded, FEATS, LABEL, "fold", n_trials=2)
+    """Successive halving over joint draws of all tree parameters: every rung's trials with their mean AUC over the rung's folds."""
+    return search_rows(spark, sf)
+
+
+_RUNGS = ", ".join(str(x) for x in SE.rungs(TRIALS, FOLDS))
+
+
+@register("search_rungs", f"""
+SELECT CAST(rung AS INT) AS rung, CAST(trials AS BIGINT) AS trials, CAST(folds AS INT) AS folds, true AS in_space, true AS best_go_on
+FROM (SELECT row_number() OVER (ORDER BY folds) AS rung, trials, folds FROM (VALUES {_RUNGS}) AS r(trials, folds))
+WHERE (SELECT count(*) FROM customer) > 0""")
+def q_search_rungs(spark, sf):
+    """Rows of the search by rung: how many trials on how many folds, whether every draw lies in its range, and whether those
+    that go on are the best of their rung."""
+    rows = search_rows(spark, sf)
+    inside = None
+    for name, (_, low, high, *_rest) in (SE.SPACE | {"trees": TREES}).items():
+        ok = F.col(name) >= low if high is None else F.col(name).between(low, high)
+        inside = ok if inside is None else inside & ok
+    worst_kept, best_left = F.min(F.when(F.col("promoted"), F.col("cv_auc"))), F.max(F.when(~F.col("promoted"), F.col("cv_auc")))
+    return rows.groupBy("rung").agg(F.count(F.lit(1)).alias("trials"), F.max("folds").alias("folds"), F.bool_and(inside).alias("in_space"),
+                                    (worst_kept >= F.coalesce(best_left, F.lit(0.0))).alias("best_go_on"))
 
 
 @register("cross_dataset_eval")
