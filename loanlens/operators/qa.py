@@ -7,7 +7,7 @@ no matching borrower gets the portfolio-level attention answer.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.scalars import contains_any
 from .attribution import _num
+from .records import actions, linear_drivers
 
 
 def route(question: Column | str) -> Column:
@@ -29,18 +30,13 @@ def money(v: Column) -> Column:
     return F.format_number(F.bround(v, 0), 0)
 
 
-def context(scored: DataFrame, drivers: DataFrame, actions: DataFrame, k: int = K.DRIVERS_ANSWER,
-            key: str = "company_id") -> DataFrame:
-    """One context row per borrower: PD, band, EAD, LGD, EL, top-k driver text, action list.
-    Drivers and actions are bounded per borrower (k and <= 4 rows)."""
-    d = (drivers.where(F.col("rank") <= k).groupBy(key)
-         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "narrative"))),
-                                       lambda x: x["narrative"]), "; ").alias("drivers_text")))
-    a = (actions.groupBy(key)
-         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "action"))),
-                                       lambda x: x["action"]), ", ").alias("actions_text")))
-    return (scored.select(key, "sector", "pd", "band", F.col("outstanding_loan").alias("ead"), "lgd", "expected_loss")
-            .join(d, key, "left").join(a, key, "left"))
+def context(scored: DataFrame, stats: Mapping[str, tuple[float, float]], k: int = K.DRIVERS_ANSWER, key: str = "company_id") -> DataFrame:
+    """One context row per borrower: PD, band, EAD, LGD, EL, top-k drivers and the action list, and both as text. Everything
+    is nested in the borrower's own row: no join, no shuffle."""
+    nested = scored.select(key, "sector", "pd", "band", F.col("outstanding_loan").alias("ead"), "lgd", "expected_loss",
+                           linear_drivers(stats, k=k).alias("drivers"), actions("band").alias("actions"))
+    return (nested.withColumn("drivers_text", F.array_join(F.transform("drivers", lambda x: x["narrative"]), "; "))
+            .withColumn("actions_text", F.array_join(F.transform("actions", lambda x: x["action"]), ", ")))
 
 
 NOT_FOUND = "Borrower not found"  # fixed text

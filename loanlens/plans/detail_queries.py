@@ -9,8 +9,10 @@ from ..functions import constants as K
 from ..functions.scalars import flag, grade_encode, risk_band
 from ..operators import attribution as AT
 from ..operators import features as FE
+from ..operators import journey as J
 from ..operators import portfolio as P
 from ..operators import qa as QA
+from ..operators import records as RC
 from ..operators import trajectory as TR
 from ..operators.portfolio import round_doubles
 from ..operators.scorecard import margin
@@ -19,6 +21,8 @@ from ..session import literal_broadcast, literal_table
 from ..sources import tables as TB
 from ..sources import views as V
 from . import sql_views as S
+from .consumer_queries import _STRESS, consumer, stressed
+from .journey_queries import journey
 from .portfolio_queries import V_SCORED, scored
 from .registry import register
 
@@ -33,13 +37,13 @@ def money_sql(v: str) -> str:
     return f"format('{{:,}}', CAST(round_even(CAST(CAST(({v}) AS VARCHAR) AS DECIMAL(38,18)), 0) AS HUGEINT))"
 
 
-def narrative_sql(f: str, v: str) -> str:
+def narrative_sql(f: str, v: str, rules=K.NARRATIVES_MSME, places: int = 3) -> str:
     whens = []
-    for name, (template, tiers, other) in K.NARRATIVES_MSME.items():
+    for name, (template, tiers, other) in rules.items():
         tier = None
         if tiers:
-            conds = " ".join(f"WHEN ({v}) {'>' if op == '>' else '='} {b} THEN '{w}'" for op, b, w in tiers)
-            tier = f"(CASE {conds} ELSE '{other}' END)"
+            conds = " ".join(f"WHEN ({v}) {'=' if op == '==' else op} {b} THEN '{w}'" for op, b, w in tiers)
+            tier = f"(CASE WHEN ({v}) IS NULL THEN NULL {conds} ELSE '{other}' END)"
         parts, rest = [], template
         while rest:
             i = rest.find("{")
@@ -50,11 +54,12 @@ def narrative_sql(f: str, v: str) -> str:
                 parts.append("'" + rest[:i].replace("'", "''") + "'")
             j = rest.index("}", i)
             tok = rest[i + 1:j]
-            parts.append({"pct": num_sql(f"{v} * 100", 0), "v2": num_sql(v, 2),
+            parts.append({"pct": num_sql(f"{v} * 100", 0), "v0": num_sql(v, 0), "v1": num_sql(v, 1), "v2": num_sql(v, 2), "money": money_sql(v),
+                          "grade": f"coalesce(chr(CASE WHEN round_even({v}, 0) BETWEEN 1 AND 7 THEN CAST(64 + round_even({v}, 0) AS INT) END), '?')",
                           "int": f"CAST(CAST(trunc({v}) AS BIGINT) AS VARCHAR)", "tier": tier}[tok])
             rest = rest[j + 1:]
-        whens.append(f"WHEN '{name}' THEN concat({', '.join(parts)})")
-    return f"(CASE {f} {' '.join(whens)} ELSE {f} || ': ' || {num_sql(v, 3)} END)"
+        whens.append(f"WHEN '{name}' THEN {' || '.join(parts)}")
+    return f"(CASE {f} {' '.join(whens)} ELSE {f} || ': ' || {num_sql(v, places)} END)"
 
 
 def _case_map(col: str, mapping: dict) -> str:
@@ -182,47 +187,44 @@ def q_pd_trajectory(spark, sf):
     return round_doubles(out)
 
 
-@register("risk_factor_groups", S.with_views(S.V_APPLICATIONS, body=f"""
-SELECT loan_id, grp AS factor_group, feature, round(value, 6) AS value FROM (
+@register("risk_factor_groups", S.with_views(S.V_APPLICATIONS, _STRESS, body=f"""
+SELECT loan_id, grp AS factor_group, feature, round(value, 6) AS value, {narrative_sql('feature', 'value', K.NARRATIVES_FACTORS, 2)} AS narrative FROM (
   SELECT * FROM (SELECT loan_id,
                   CAST(CAST(coalesce(cb_person_default_on_file = 'Y', false) AS INTEGER) AS DOUBLE) AS default_flag,
                   CAST(cb_person_cred_hist_length AS DOUBLE) AS cb_person_cred_hist_length,
                   CAST(ascii(loan_grade) - 64 AS DOUBLE) AS loan_grade_ord,
                   loan_percent_income, loan_int_rate, loan_amnt,
                   CAST(person_age AS DOUBLE) AS person_age, person_income, person_emp_length,
-                  CAST(0.5 AS DOUBLE) AS note_stress_index
-           FROM v_applications) src
+                  CAST(coalesce(stress_index, 0.5) AS DOUBLE) AS note_stress_index
+           FROM v_applications LEFT JOIN cx ON v_applications.company_id = cx.doc_id) src
   UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(f for fs in K.RISK_FACTOR_GROUPS_CONSUMER.values() for f in fs)}))) u
 JOIN (VALUES {", ".join(f"('{g}', '{f}')" for g, fs in K.RISK_FACTOR_GROUPS_CONSUMER.items() for f in fs)}) AS m(grp, feat)
   ON u.feature = m.feat"""))
 def q_risk_factor_groups(spark, sf):
-    a = V.applications(spark, sf).select(
-        "loan_id", flag("cb_person_default_on_file").cast("double").alias("default_flag"),
-        F.col("cb_person_cred_hist_length").cast("double").alias("cb_person_cred_hist_length"),
-        grade_encode("loan_grade").cast("double").alias("loan_grade_ord"),
-        "loan_percent_income", "loan_int_rate", "loan_amnt", F.col("person_age").cast("double").alias("person_age"),
-        "person_income", "person_emp_length", F.lit(K.MISSING_NOTE_SCORE).alias("note_stress_index"))
+    """Risk factors of every application by group, each with its sentence; the text factor is the stress index of the
+    applicant's note (0.5 without one)."""
     groups = [(g, f) for g, fs in K.RISK_FACTOR_GROUPS_CONSUMER.items() for f in fs]
+    a = consumer(spark, sf).select("loan_id", *[F.col(f).cast("double").alias(f) for _, f in groups])
     dim = literal_table(spark, groups, ["factor_group", "feature"])
     long = a.unpivot(["loan_id"], [f for _, f in groups], "feature", "value")
     # the group map is a fixed literal table (10 rows): broadcast by construction
-    return round_doubles(long.join(literal_broadcast(dim), "feature").select("loan_id", "factor_group", "feature", "value"))
+    told = long.join(literal_broadcast(dim), "feature").withColumn("narrative", AT.narrative("feature", "value", K.NARRATIVES_FACTORS, 2))
+    return round_doubles(told.select("loan_id", "factor_group", "feature", "value", "narrative"))
 
 
 # ---------------------------------------------------------------- context / detail -----
 def _context(spark, sf, k, only=None):
-    """Context records; ``only`` (a frame of company ids) restricts the work to those borrowers
-    with a semi join before attribution, so answering a few questions does not explain the
-    whole portfolio."""
+    """Context records; ``only`` (a frame of company ids) restricts the work to those borrowers with a semi join,
+    so answering a few questions does not explain the whole portfolio."""
     s = scored(spark, sf)
-    b = V.borrowers(spark, sf)
     if only is not None:
         s = s.join(only, "company_id", "left_semi")
-        b = b.join(only, "company_id", "left_semi")
-    attr = AT.linear_attribution(b, V.borrower_stats(spark, sf))
-    drivers = AT.top_drivers(attr, k).withColumn("narrative", AT.narrative("feature", "value"))
-    actions = P.action_plan(s.select("company_id", "band"))
-    return QA.context(s, drivers, actions, k)
+    return QA.context(s, V.borrower_stats(spark, sf), k)
+
+
+def _notes(spark, sf):
+    """Officer notes by company: text and stress index."""
+    return stressed(spark, sf).select(F.col("doc_id").alias("company_id"), "text", "stress_index")
 
 
 CTX = """
@@ -237,29 +239,76 @@ def _nar() -> str:
     return f"nar AS (SELECT company_id, rank, {narrative_sql('feature', 'value')} AS narrative FROM drv)"
 
 
-@register("borrower_context", dsql("""
-SELECT company_id, sector, round(pd, 6) AS pd, band, round(ead, 2) AS ead, lgd, round(expected_loss, 2) AS expected_loss,
-       drivers_text, actions_text FROM ctx""", _nar(), CTX.format(k=K.DRIVERS_CONTEXT)))
+_NOTE = """
+note AS (SELECT d.doc_id AS company_id, coalesce(d.text, '') AS officer_notes, cx.stress_index FROM documents d JOIN cx ON d.doc_id = cx.doc_id)"""
+
+
+@register("borrower_context", dsql(f"""
+SELECT ctx.company_id, sector, round(pd, 6) AS pd, band, round(ead, 2) AS ead, lgd, round(expected_loss, 2) AS expected_loss,
+       drivers_text, actions_text,
+       (SELECT string_agg(feature || ' ' || {num_sql('impact', 6)}, '; ' ORDER BY rank) FROM drv WHERE drv.company_id = ctx.company_id AND rank <= {K.DRIVERS_CONTEXT}) AS impacts_text,
+       coalesce(note.officer_notes, '') AS officer_notes, round(note.stress_index, 6) AS note_stress_index
+FROM ctx LEFT JOIN note USING (company_id)""", _nar(), CTX.format(k=K.DRIVERS_CONTEXT), _STRESS, _NOTE))
 def q_borrower_context(spark, sf):
-    c = _context(spark, sf, K.DRIVERS_CONTEXT)
-    return round_doubles(c, 6, {"ead": 2, "expected_loss": 2})
+    """Context record: scores, drivers with impacts and sentences, actions, the officer's note and its stress index."""
+    c = RC.gather(_context(spark, sf, K.DRIVERS_CONTEXT), {"note": _notes(spark, sf)}, "company_id")
+    c = c.withColumn("note", F.get("note", F.lit(0)))
+    impacts = F.transform("drivers", lambda x: F.concat(x["feature"], F.lit(" "), AT._num(x["impact"], 6)))
+    out = c.select("company_id", "sector", "pd", "band", "ead", "lgd", "expected_loss", "drivers_text", "actions_text", F.array_join(impacts, "; ").alias("impacts_text"),
+                   F.coalesce("note.text", F.lit("")).alias("officer_notes"), F.col("note.stress_index").alias("note_stress_index"))
+    return round_doubles(out, 6, {"ead": 2, "expected_loss": 2})
+
+
+def detail(spark, sf):
+    """Full record of every borrower: one tagged union of scenario months, events and notes, grouped once."""
+    features = V.borrowers(spark, sf)
+    base = (scored(spark, sf).withColumn("raw_features", RC.feature_values(FEATS)).withColumn("action_ladder", RC.actions("band"))
+            .select("company_id", "sector", "loan_type", "outstanding_loan", "lgd", "expected_loss", "potential_recovery", "pd", "risk_score", "band",
+                    "raw_features", "action_ladder"))
+    months = TR.trajectory(TR.msme_scenarios(features), lambda: sigmoid(margin(V.borrower_stats(spark, sf), K.SCORECARD_WEIGHTS, K.FIXTURE_INTERCEPT)))
+    events = J.dedup_first(journey(spark, sf))
+    shown = RC.latest_rows(events, "user_id", ["ts", "event_id"]).select(F.col("user_id").alias("company_id"), "ts", "event_id", "date", "type", "desc")
+    counts = events.groupBy(F.col("user_id").alias("company_id")).agg(F.count(F.lit(1)).alias("n"))
+    return RC.gather(base, {"timeline": months.select("company_id", "month_idx", "month", "pd", "band"), "journey_events": shown, "n_events": counts,
+                            "note": _notes(spark, sf)}, "company_id")
+
+
+_DETAIL = f"""
+jv AS (SELECT user_id, event_id, ts, CAST(ts AS DATE) AS date, event_type AS type, props AS "desc" FROM events
+       QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE), props ORDER BY ts, event_id) = 1),
+jn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back, count(*) OVER (PARTITION BY user_id) AS n FROM jv),
+jt AS (SELECT user_id AS company_id, max(n) AS n_events, string_agg(CASE WHEN back <= {RC.SHOWN} THEN strftime(date, '%Y-%m-%d') || ' ' || type || ' ' || "desc" END, '; ' ORDER BY ts, event_id) AS journey
+       FROM jn GROUP BY 1),
+tl AS (SELECT company_id, string_agg(month || ' ' || {num_sql('pd', 6)}, '; ' ORDER BY month_idx) AS timeline FROM traj GROUP BY 1),
+rf AS (SELECT company_id, string_agg(feature || '=' || coalesce({num_sql('value', 6)}, 'null'), '; ' ORDER BY list_position([{", ".join(f"'{f}'" for f in FEATS)}], feature)) AS raw FROM att_long GROUP BY 1),
+al AS (SELECT band, string_agg(priority || '|' || action || '|' || detail, '; ' ORDER BY seq) AS ladder
+       FROM (VALUES {", ".join("('{}', {}, '{}', '{}', '{}')".format(b, i + 1, p, a, d) for b, acts in K.ACTION_LADDER_MSME.items() for i, (p, a, d) in enumerate(acts))}) AS l(band, seq, priority, action, detail)
+       GROUP BY 1)"""
 
 
 @register("borrower_detail", dsql(f"""
 SELECT s.company_id, s.sector, s.loan_type, round(s.outstanding_loan, 2) AS outstanding_loan, s.lgd AS lgd_pct,
        round(s.expected_loss, 2) AS expected_loss, round(s.potential_recovery, 2) AS potential_recovery,
-       round(s.pd, 6) AS current_pd, s.band AS risk_band, {S.band('t.pd')} AS start_band, s.band AS end_band,
-       (SELECT count(*) FROM acts a WHERE a.company_id = s.company_id) AS n_actions
-FROM v_scored s JOIN traj t ON s.company_id = t.company_id AND t.month_idx = 0""", _traj_sql()))
+       round(s.pd, 6) AS current_pd, s.risk_score, s.band AS risk_band, {S.band('t.pd')} AS start_band, s.band AS end_band,
+       (SELECT count(*) FROM acts a WHERE a.company_id = s.company_id) AS n_actions,
+       tl.timeline, coalesce(jt.journey, '') AS journey_events, coalesce(jt.n_events, 0) AS n_events, coalesce(note.officer_notes, '') AS officer_notes,
+       round(note.stress_index, 6) AS note_stress_index, rf.raw AS raw_features, coalesce(al.ladder, '') AS action_ladder
+FROM v_scored s JOIN traj t ON s.company_id = t.company_id AND t.month_idx = 0 JOIN tl ON tl.company_id = s.company_id JOIN rf ON rf.company_id = s.company_id
+LEFT JOIN jt ON jt.company_id = s.company_id LEFT JOIN note ON note.company_id = s.company_id LEFT JOIN al ON al.band = s.band""", _traj_sql(), _STRESS, _NOTE, _DETAIL))
 def q_borrower_detail(spark, sf):
-    s = scored(spark, sf)
-    t = msme_trajectory(spark, sf).withColumn("band", risk_band("pd"))
-    mig = TR.migration(t, V.borrowers(spark, sf)).select("company_id", "start_band", "end_band")
-    n_act = P.action_plan(s.select("company_id", "band")).groupBy("company_id").agg(F.count(F.lit(1)).alias("n_actions"))
-    out = (s.select("company_id", "sector", "loan_type", "outstanding_loan", F.col("lgd").alias("lgd_pct"),
-                    "expected_loss", "potential_recovery", F.col("pd").alias("current_pd"), F.col("band").alias("risk_band"))
-           .join(mig, "company_id").join(n_act, "company_id", "left")
-           .withColumn("n_actions", F.coalesce("n_actions", F.lit(0))))
+    """Full record of every borrower; the nested arrays of ``detail`` are written out as text."""
+    d = detail(spark, sf)
+    join = lambda c, f: F.array_join(F.transform(c, f), "; ")
+    out = d.select(
+        "company_id", "sector", "loan_type", "outstanding_loan", F.col("lgd").alias("lgd_pct"), "expected_loss", "potential_recovery", F.col("pd").alias("current_pd"),
+        "risk_score", F.col("band").alias("risk_band"), F.get("timeline", F.lit(0))["band"].alias("start_band"), F.col("band").alias("end_band"),
+        F.size("action_ladder").cast("long").alias("n_actions"),
+        join("timeline", lambda x: F.concat(x["month"], F.lit(" "), AT._num(x["pd"], 6))).alias("timeline"),
+        join("journey_events", lambda x: F.concat(x["date"].cast("string"), F.lit(" "), x["type"], F.lit(" "), x["desc"])).alias("journey_events"),
+        F.coalesce(F.get("n_events", F.lit(0))["n"], F.lit(0)).alias("n_events"), F.coalesce(F.get("note", F.lit(0))["text"], F.lit("")).alias("officer_notes"),
+        F.get("note", F.lit(0))["stress_index"].alias("note_stress_index"),
+        join("raw_features", lambda x: F.concat(x["feature"], F.lit("="), F.coalesce(AT._num(x["value"], 6), F.lit("null")))).alias("raw_features"),
+        join("action_ladder", lambda x: F.concat_ws("|", x["priority"], x["action"], x["detail"])).alias("action_ladder"))
     return round_doubles(out, 6, {"outstanding_loan": 2, "expected_loss": 2, "potential_recovery": 2})
 
 
