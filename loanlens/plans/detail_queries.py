@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.scalars import flag, grade_encode, risk_band
+from ..functions.scalars import flag, grade_decode, grade_encode, risk_band, risk_score, title_case
 from ..operators import attribution as AT
+from ..operators import consumer as CO
 from ..operators import features as FE
 from ..operators import journey as J
 from ..operators import portfolio as P
@@ -21,7 +22,7 @@ from ..session import literal_broadcast, literal_table
 from ..sources import tables as TB
 from ..sources import views as V
 from . import sql_views as S
-from .consumer_queries import _STRESS, consumer, stressed
+from .consumer_queries import _STRESS, consumer, scorer, stressed
 from .journey_queries import journey
 from .portfolio_queries import V_SCORED, scored
 from .registry import register
@@ -312,6 +313,56 @@ def q_borrower_detail(spark, sf):
     return round_doubles(out, 6, {"outstanding_loan": 2, "expected_loss": 2, "potential_recovery": 2})
 
 
+# ---------------------------------------------------------------- consumer record ------
+FACTORS = [(g, f) for g, fs in K.RISK_FACTOR_GROUPS_CONSUMER.items() for f in fs]
+RAW = [*CO.NUMERIC, CO.TEXT]
+
+
+def consumer_detail(spark, sf):
+    """Full record of every application, scored by the trained model: loss, bands, twelve scenario months, note, risk factors by
+    group with sentences, raw features, actions. Months and notes come in one grouped pass, the rest is nested in place."""
+    model, rows = scorer(spark, sf), consumer(spark, sf)
+    values = [(g, f, F.col(f).cast("double")) for g, f in FACTORS]
+    factors = F.array(*[F.struct(F.lit(g).alias("factor_group"), F.lit(f).alias("feature"), v.alias("value"),
+                                 AT.narrative(F.lit(f), v, {f: K.NARRATIVES_FACTORS[f]}, 2).alias("narrative")) for g, f, v in values])
+    s = P.with_lgd(model.score(rows), "loan_intent", K.LGD_CONSUMER, K.LGD_CONSUMER_DEFAULT)
+    s = P.with_expected_loss(s.withColumn("outstanding_loan", F.col("loan_amnt") * K.CONSUMER_EXPOSURE_SCALE))
+    base = s.select("loan_id", "company_id", title_case("loan_intent").alias("sector"), grade_decode("loan_grade_ord").alias("loan_type"), "outstanding_loan", "lgd",
+                    "expected_loss", "potential_recovery", "pd", risk_score("pd").alias("risk_score"), "band", CO.TEXT, factors.alias("risk_factors"),
+                    RC.feature_values(RAW).alias("raw_features"), RC.actions("band", K.ACTION_LADDER_CONSUMER).alias("action_ladder"))
+    months = model.score(TR.consumer_scenarios(rows)).select("loan_id", "month_idx", "month", "pd", "band")
+    notes = rows.select("loan_id", "company_id").join(_notes(spark, sf), "company_id").select("loan_id", "text")
+    return RC.gather(base, {"timeline": months, "note": notes}, "loan_id")
+
+
+@register("consumer_record", S.with_views(S.V_APPLICATIONS, _STRESS, _NOTE, f"""
+cr AS (SELECT a.*, CAST(ascii(loan_grade) - 64 AS DOUBLE) AS loan_grade_ord, CAST(CAST(coalesce(cb_person_default_on_file = 'Y', false) AS INT) AS DOUBLE) AS default_flag,
+              coalesce(note.stress_index, 0.5) AS note_stress_index, note.officer_notes
+       FROM v_applications a LEFT JOIN note USING (company_id))""", body=f"""
+SELECT loan_id, {S.title_case('loan_intent')} AS sector, 'Grade ' || coalesce(loan_grade, '?') AS loan_type, round(loan_amnt * 100, 2) AS outstanding_loan,
+       CAST({K.LGD_CONSUMER_DEFAULT} AS DOUBLE) AS lgd_pct, true AS losses_fit, true AS migration_fits, true AS actions_fit,
+       {"'" + ", ".join(K.SCENARIO_MONTHS) + "'"} AS months, coalesce(officer_notes, '') AS officer_notes, round(note_stress_index, 6) AS note_stress_index,
+       {" || '; ' || ".join(f"'{f}=' || coalesce({num_sql(f'CAST({f} AS DOUBLE)', 6)}, 'null')" for f in RAW)} AS raw_features,
+       {" || '; ' || ".join(f"'{g}: ' || coalesce({narrative_sql(repr(f), f'CAST({f} AS DOUBLE)', {f: K.NARRATIVES_FACTORS[f]}, 2)}, 'unknown')" for g, f in FACTORS)} AS risk_factors
+FROM cr"""))
+def q_consumer_record(spark, sf):
+    """Record of every application. What depends on the trained PD is stated as facts: losses are PD x exposure x LGD, the
+    migration goes from the first month's band to the current one, actions are those of the band."""
+    d = consumer_detail(spark, sf)
+    loss = F.col("pd") * F.col("outstanding_loan") * F.col("lgd")
+    steps = F.create_map(*[x for b, a in K.ACTION_LADDER_CONSUMER.items() for x in (F.lit(b), F.lit(len(a)))])
+    join = lambda c, f: F.array_join(F.transform(c, f), "; ")
+    out = d.select(
+        "loan_id", "sector", "loan_type", "outstanding_loan", F.col("lgd").alias("lgd_pct"),
+        ((F.abs(F.col("expected_loss") - loss) < 1e-6) & (F.abs(F.col("potential_recovery") + loss - F.col("outstanding_loan")) < 1e-6)).alias("losses_fit"),
+        ((F.get("timeline", F.lit(0))["band"] == risk_band(F.get("timeline", F.lit(0))["pd"])) & (F.col("band") == risk_band("pd"))).alias("migration_fits"),
+        (F.size("action_ladder") == F.try_element_at(steps, F.col("band"))).alias("actions_fit"),
+        F.array_join(F.transform("timeline", lambda x: x["month"]), ", ").alias("months"), F.coalesce(F.get("note", F.lit(0))["text"], F.lit("")).alias("officer_notes"),
+        F.col(CO.TEXT), join("raw_features", lambda x: F.concat(x["feature"], F.lit("="), F.coalesce(AT._num(x["value"], 6), F.lit("null")))).alias("raw_features"),
+        join("risk_factors", lambda x: F.concat(x["factor_group"], F.lit(": "), F.coalesce(x["narrative"], F.lit("unknown")))).alias("risk_factors"))
+    return round_doubles(out, 6, {"outstanding_loan": 2})
+
+
 # ---------------------------------------------------------------- questions ------------
 def _route_sql(q: str) -> str:
     a = " OR ".join(f"contains(lower({q}), '{w}')" for w in K.ROUTE_ACTION_WORDS)
