@@ -36,7 +36,7 @@ def context(scored: DataFrame, stats: Mapping[str, tuple[float, float]], k: int
     nested = scored.select(key, "sector", "pd", "band", F.col("outstanding_loan").alias("ead"), "lgd", "expected_loss",
                            linear_drivers(stats, k=k).alias("drivers"), actions("band").alias("actions"))
     return (nested.withColumn("drivers_text", F.array_join(F.transform("drivers", lambda x: x["narrative"]), "; "))
-            .withColumn("actions_text", F.array_join(F.transform("actions", lambda x: x["action"]), ", ")))
+            .withColumn("actions_text", F.nullif(F.array_join(F.transform("actions", lambda x: x["action"]), ", "), F.lit(""))))
 
 
 NOT_FOUND = "Borrower not found"  # fixed text

@@ -280,8 +280,8 @@ jv AS (SELECT user_id, event_id, ts, CAST(ts AS DATE) AS date, event_type AS typ
 jn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back, count(*) OVER (PARTITION BY user_id) AS n FROM jv),
 jt AS (SELECT user_id AS company_id, max(n) AS n_events, string_agg(CASE WHEN back <= {RC.SHOWN} THEN strftime(date, '%Y-%m-%d') || ' ' || type || ' ' || "desc" END, '; ' ORDER BY ts, event_id) AS journey
        FROM jn GROUP BY 1),
-tl AS (SELECT company_id, string_agg(month || ' ' || {num_sql('pd', 6)}, '; ' ORDER BY month_idx) AS timeline FROM traj GROUP BY 1),
-rf AS (SELECT company_id, string_agg(feature || '=' || coalesce({num_sql('value', 6)}, 'null'), '; ' ORDER BY list_position([{", ".join(f"'{f}'" for f in FEATS)}], feature)) AS raw FROM att_long GROUP BY 1),
+tl AS (SELECT company_id, string_agg(month || ' ' || coalesce({num_sql('pd', 6)}, 'unknown'), '; ' ORDER BY month_idx) AS timeline FROM traj GROUP BY 1),
+rf AS (SELECT company_id, string_agg(feature || '=' || coalesce({num_sql('value', 9)}, 'null'), '; ' ORDER BY list_position([{", ".join(f"'{f}'" for f in FEATS)}], feature)) AS raw FROM att_long GROUP BY 1),
 al AS (SELECT band, string_agg(priority || '|' || action || '|' || detail, '; ' ORDER BY seq) AS ladder
        FROM (VALUES {", ".join("('{}', {}, '{}', '{}', '{}')".format(b, i + 1, p, a, d) for b, acts in K.ACTION_LADDER_MSME.items() for i, (p, a, d) in enumerate(acts))}) AS l(band, seq, priority, action, detail)
        GROUP BY 1)"""
@@ -304,11 +304,11 @@ def q_borrower_detail(spark, sf):
         "company_id", "sector", "loan_type", "outstanding_loan", F.col("lgd").alias("lgd_pct"), "expected_loss", "potential_recovery", F.col("pd").alias("current_pd"),
         "risk_score", F.col("band").alias("risk_band"), F.get("timeline", F.lit(0))["band"].alias("start_band"), F.col("band").alias("end_band"),
         F.size("action_ladder").cast("long").alias("n_actions"),
-        join("timeline", lambda x: F.concat(x["month"], F.lit(" "), AT._num(x["pd"], 6))).alias("timeline"),
+        join("timeline", lambda x: F.concat(x["month"], F.lit(" "), F.coalesce(AT._num(x["pd"], 6), F.lit("unknown")))).alias("timeline"),
         join("journey_events", lambda x: F.concat(x["date"].cast("string"), F.lit(" "), x["type"], F.lit(" "), x["desc"])).alias("journey_events"),
         F.coalesce(F.get("n_events", F.lit(0))["n"], F.lit(0)).alias("n_events"), F.coalesce(F.get("note", F.lit(0))["text"], F.lit("")).alias("officer_notes"),
         F.get("note", F.lit(0))["stress_index"].alias("note_stress_index"),
-        join("raw_features", lambda x: F.concat(x["feature"], F.lit("="), F.coalesce(AT._num(x["value"], 6), F.lit("null")))).alias("raw_features"),
+        join("raw_features", lambda x: F.concat(x["feature"], F.lit("="), F.coalesce(AT._num(x["value"], 9), F.lit("null")))).alias("raw_features"),
         join("action_ladder", lambda x: F.concat_ws("|", x["priority"], x["action"], x["detail"])).alias("action_ladder"))
     return round_doubles(out, 6, {"outstanding_loan": 2, "expected_loss": 2, "potential_recovery": 2})
 
@@ -342,7 +342,7 @@ cr AS (SELECT a.*, CAST(ascii(loan_grade) - 64 AS DOUBLE) AS loan_grade_ord, CAS
 SELECT loan_id, {S.title_case('loan_intent')} AS sector, 'Grade ' || coalesce(loan_grade, '?') AS loan_type, round(loan_amnt * 100, 2) AS outstanding_loan,
        CAST({K.LGD_CONSUMER_DEFAULT} AS DOUBLE) AS lgd_pct, true AS losses_fit, true AS migration_fits, true AS actions_fit,
        {"'" + ", ".join(K.SCENARIO_MONTHS) + "'"} AS months, coalesce(officer_notes, '') AS officer_notes, round(note_stress_index, 6) AS note_stress_index,
-       {" || '; ' || ".join(f"'{f}=' || coalesce({num_sql(f'CAST({f} AS DOUBLE)', 6)}, 'null')" for f in RAW)} AS raw_features,
+       {" || '; ' || ".join(f"'{f}=' || coalesce({num_sql(f'CAST({f} AS DOUBLE)', 9)}, 'null')" for f in RAW)} AS raw_features,
        {" || '; ' || ".join(f"'{g}: ' || coalesce({narrative_sql(repr(f), f'CAST({f} AS DOUBLE)', {f: K.NARRATIVES_FACTORS[f]}, 2)}, 'unknown')" for g, f in FACTORS)} AS risk_factors
 FROM cr"""))
 def q_consumer_record(spark, sf):
@@ -358,7 +358,7 @@ def q_consumer_record(spark, sf):
         ((F.get("timeline", F.lit(0))["band"] == risk_band(F.get("timeline", F.lit(0))["pd"])) & (F.col("band") == risk_band("pd"))).alias("migration_fits"),
         (F.size("action_ladder") == F.try_element_at(steps, F.col("band"))).alias("actions_fit"),
         F.array_join(F.transform("timeline", lambda x: x["month"]), ", ").alias("months"), F.coalesce(F.get("note", F.lit(0))["text"], F.lit("")).alias("officer_notes"),
-        F.col(CO.TEXT), join("raw_features", lambda x: F.concat(x["feature"], F.lit("="), F.coalesce(AT._num(x["value"], 6), F.lit("null")))).alias("raw_features"),
+        F.col(CO.TEXT), join("raw_features", lambda x: F.concat(x["feature"], F.lit("="), F.coalesce(AT._num(x["value"], 9), F.lit("null")))).alias("raw_features"),
         join("risk_factors", lambda x: F.concat(x["factor_group"], F.lit(": "), F.coalesce(x["narrative"], F.lit("unknown")))).alias("risk_factors"))
     return round_doubles(out, 6, {"outstanding_loan": 2})
 
