@@ -63,3 +63,20 @@ def q_stream_dedup(spark, sf):
     ST.replay(twice, src, 6, "_k", lambda stream: ST.append_batches(
         ST.dedup_redelivery(stream, "event_id", "ts", "2 hours"), sink, ck, lambda b: b).awaitTermination())
     return spark.read.parquet(sink).select("event_id", "ts", "user_id", "event_type")
+
+
+BOARD = 5
+
+
+@register("stream_board", S.with_views(V_SCORED, body=f"""
+SELECT sector, CAST(rank AS INT) AS rank, company_id, round(margin, 6) AS margin FROM (
+  SELECT sector, company_id, margin, row_number() OVER (PARTITION BY sector ORDER BY round(margin, 9) DESC, company_id) AS rank FROM v_scored
+  WHERE sector IS NOT NULL AND margin IS NOT NULL) WHERE rank <= {BOARD}"""))
+def q_stream_board(spark, sf):
+    """New loans ordered by PD: they arrive in batches, and a board in the stream's state keeps the riskiest five of each sector (by
+    log-odds, which order like the PD)."""
+    new = scored(spark, sf).select("company_id", "sector", F.round("margin", 9).alias("margin")).where(F.col("sector").isNotNull())
+    src, out, ck = ST.scratch(spark, "src"), ST.scratch(spark, "out"), ST.scratch(spark, "ck")
+    ST.stage_files(new, src, 4, "company_id")
+    ST.run_updates(ST.top_board(ST.read_stream(spark, src, new.schema, max_files=1), "sector", "company_id", "margin", BOARD), out, ck)
+    return round_doubles(ST.latest_boards(spark, out, "sector").select("sector", "rank", "company_id", "margin"))

@@ -133,3 +133,38 @@ def run_to_table(stream_df: DataFrame, mode: str, path: str, checkpoint: str) ->
     q = (stream_df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def top_board(stream: DataFrame, group: str, key: str, value: str, k: int, expire: str | None = None) -> DataFrame:
+    """Running board of the ``k`` rows of largest ``value`` in each group (ties by smaller key): after every trigger, the boards
+    of the groups that got rows, as (group, rank, key, value).
+
+    The state of a group is its board, k rows whatever has arrived; a trigger's rows are merged batch by batch, so a group with
+    most of the rows needs no more memory. A redelivered key keeps its place once. With ``expire`` (such as "1 hour") a group
+    without new rows for so long is dropped by a timer."""
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (group, key, value)}
+    out = f"{group} {kinds[group]}, rank int, {key} {kinds[key]}, {value} {kinds[value]}"
+
+    def update(name, batches, state):
+        import pandas as pd
+        if state.hasTimedOut:
+            state.remove()
+            return
+        board = pd.DataFrame(dict(zip((key, value), state.get))) if state.exists else pd.DataFrame({key: [], value: []})
+        for rows in batches:
+            board = pd.concat([b for b in (board, rows[[key, value]].dropna(subset=[value])) if len(b)] or [board])
+            board = board.drop_duplicates(key).sort_values([value, key], ascending=[False, True]).head(k)
+        state.update((board[key].tolist(), board[value].tolist()))
+        if expire:
+            state.setTimeoutDuration(expire)
+        yield pd.DataFrame({group: [name[0]] * len(board), "rank": range(1, len(board) + 1), key: board[key].to_numpy(), value: board[value].to_numpy()})
+
+    return stream.groupBy(group).applyInPandasWithState(update, out, f"keys array<{kinds[key]}>, top array<{kinds[value]}>", "update",
+                                                        "ProcessingTimeTimeout" if expire else "NoTimeout")
+
+
+def latest_boards(spark: SparkSession, path: str, group: str) -> DataFrame:
+    """Boards written by ``run_updates``: of each group, the one of its latest batch."""
+    boards = spark.read.parquet(path)
+    last = boards.groupBy(group).agg(F.max("batch_id").alias("_last"))
+    return boards.join(last, group).where(F.col("batch_id") == F.col("_last")).drop("batch_id", "_last")
