@@ -57,6 +57,11 @@ def risk_score(pd_col) -> Column:
     return F.bround(_c(pd_col) * 100, 0).cast("int")
 
 
+def round_half_even(x, places: int) -> Column:
+    """Rounding to ``places`` decimals, halves to the even digit."""
+    return F.bround(_c(x), places)
+
+
 def title_case(s) -> Column:
     """Upper case after every character that is no letter, lower case elsewhere ("home-improvement" -> "Home-Improvement")."""
     runs = F.regexp_extract_all(_c(s), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))

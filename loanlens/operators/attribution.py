@@ -40,6 +40,12 @@ def global_importance(attr: DataFrame) -> DataFrame:
     return attr.groupBy("feature").agg(F.avg(F.abs("impact")).alias("mean_abs_impact"))
 
 
+def importance_head(importance: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` features by importance with their rank (ties by name); one row a feature, so the window is tiny."""
+    w = Window.orderBy(F.desc(F.round("mean_abs_impact", 9)), F.asc("feature"))
+    return importance.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
 def _num(v: Column, places: int) -> Column:
     """Fixed-point text of ``v`` rounded half-even to ``places`` decimals."""
     return F.bround(v, places).cast(f"decimal(18,{places})").cast("string")

@@ -68,15 +68,15 @@ def risk_proxy_consumer(grade="loan_grade_ord", pct="loan_percent_income", rate=
     return clip(raw, 0.0, 1.0)
 
 
-def harmonise_loans(df: DataFrame, dti_median: float | None = None) -> DataFrame:
-    """Map an out-of-domain loan table onto the sixteen scorecard features."""
+def harmonise_loans(df: DataFrame, dti_median: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Map an out-of-domain loan table onto the sixteen scorecard features; ``keep`` columns go along, such as a label."""
     if dti_median is None:
         from .ordered import exact_medians
         dti_median = exact_medians(df, ["debt_to_income"])["debt_to_income"]
     used, limit = F.col("total_credit_utilized"), F.col("total_credit_limit")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     return df.select(
-        "order_id", "line_no",
+        "order_id", "line_no", *keep,
         F.coalesce(clip(safe_divide(used, limit), 0.0, 5.0), F.lit(0.0)).alias("revolving_utilization"),
         F.coalesce(F.col("debt_to_income"), F.lit(dti_median)).alias("debt_ratio"),
         z("delinq_2y").alias("late_30_59"),

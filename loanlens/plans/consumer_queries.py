@@ -207,3 +207,16 @@ def q_consumer_ablation(spark, sf):
             F.lit(name).alias("model"), F.col("loan_id").alias("id"), F.col(LABEL).alias("y_true"), "prob")
         scored = part if scored is None else scored.unionByName(part)
     return MT.model_comparison(checkpointed(scored))
+
+
+@register("schema_document", S.with_views(S.V_APPLICATIONS, body=f"""
+SELECT 'numeric' AS kind, c AS name, NULL AS level FROM (VALUES {", ".join(f"('{c}')" for c in CO.NUMERIC)}) AS v(c) WHERE (SELECT count(*) FROM v_applications) > 0
+UNION ALL SELECT 'text_derived', '{CO.TEXT}', NULL
+UNION ALL SELECT DISTINCT 'category', 'person_home_ownership', person_home_ownership FROM v_applications WHERE person_home_ownership IS NOT NULL
+UNION ALL SELECT DISTINCT 'category', 'loan_intent', loan_intent FROM v_applications WHERE loan_intent IS NOT NULL"""))
+def q_schema_document(spark, sf):
+    """The schema document of the saved bundle: numeric inputs, the text feature, and the levels of each category."""
+    d = scorer(spark, sf).document
+    rows = [("numeric", c, None) for c in d["numeric"]] + [("text_derived", c, None) for c in d["text_derived"]]
+    rows += [("category", c, v) for c, levels in d["categories"].items() for v in levels]
+    return spark.createDataFrame(rows, "kind string, name string, level string")

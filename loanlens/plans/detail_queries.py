@@ -114,6 +114,15 @@ def q_global_importance(spark, sf):
     return round_doubles(AT.global_importance(attribution(spark, sf)))
 
 
+@register("importance_head", dsql("""
+SELECT feature, round(m, 6) AS mean_abs_impact, CAST(rank AS INT) AS rank FROM (
+  SELECT feature, m, row_number() OVER (ORDER BY round(m, 9) DESC, feature) AS rank FROM (SELECT feature, avg(abs(impact)) AS m FROM att GROUP BY feature)) WHERE rank <= 8"""))
+def q_importance_head(spark, sf):
+    """The eight features of largest mean absolute impact, in order."""
+    head = AT.importance_head(AT.global_importance(attribution(spark, sf)), 8)
+    return round_doubles(head.select("feature", "mean_abs_impact", "rank"))
+
+
 @register("driver_narratives", dsql(f"""
 SELECT company_id, rank, feature, {narrative_sql('feature', 'value')} AS narrative FROM drv WHERE rank <= 8"""))
 def q_driver_narratives(spark, sf):

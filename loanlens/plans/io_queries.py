@@ -17,6 +17,7 @@ from ..sources import versions as VS
 from ..sources import views as V
 from ..streaming.stream import scratch
 from . import sql_views as S
+from .metric_queries import counts_cte
 from .portfolio_queries import V_SCORED, scored
 from .registry import register
 
@@ -133,3 +134,21 @@ def q_prevalence_check(spark, sf):
     rate = score(feat, stats, intercept=fit.intercept).agg(F.count(F.lit(1)).alias("borrowers"), F.avg("pd").alias("r"))
     return rate.select("borrowers", F.lit(K.SCORECARD_TARGET_RATE).alias("target_rate"), F.round("r", 4).alias("achieved_rate"),
                        (F.abs(F.col("r") - K.SCORECARD_TARGET_RATE) <= fit.error).alias("within_bound"))
+
+
+@register("nested_report", S.with_views(S.V_SCORES, counts_cte([0.5]), body="""
+SELECT c.model, s.n, round(s.rate, 6) AS default_rate, round(s.brier, 6) AS brier, c.tn, c.fp, c.fn, c.tp, 3 AS models, 'threshold 0.5' AS point
+FROM cnt c JOIN (SELECT model, count(*) AS n, avg(y_true) AS rate, avg(pow(prob - y_true, 2)) AS brier FROM v_scores GROUP BY model) s ON s.model = c.model"""))
+def q_nested_report(spark, sf):
+    """Performance report as one nested JSON document (data set, models with quality and confusion matrix), written and read back."""
+    s, path = V.scores(spark, sf), scratch(spark, "report")
+    quality = s.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("y_true").alias("default_rate"))
+    rows = MT.threshold_counts(s, [0.5]).join(quality, "model").join(MT.brier(s), "model")
+    entry = F.struct("model", "n", F.struct(F.round("default_rate", 6).alias("default_rate"), F.round("brier", 6).alias("brier")).alias("quality"),
+                     F.struct("tn", "fp", "fn", "tp").alias("confusion_matrix"))
+    document = rows.agg(F.array_sort(F.collect_list(entry)).alias("models"), F.count(F.lit(1)).cast("int").alias("n_models"))  # a row per model
+    TB.write_report(document.select(F.struct("n_models", F.lit("threshold 0.5").alias("point")).alias("about"), "models"), path)
+    back = TB.read_metadata(spark, path, multi_line=False)
+    return back.select("about", F.explode("models").alias("m")).select(
+        "m.model", F.col("m.n").alias("n"), "m.quality.default_rate", "m.quality.brier", "m.confusion_matrix.tn", "m.confusion_matrix.fp", "m.confusion_matrix.fn",
+        "m.confusion_matrix.tp", F.col("about.n_models").cast("int").alias("models"), "about.point")

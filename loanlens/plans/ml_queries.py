@@ -3,19 +3,23 @@ model outputs are rows-only (iterative fits have no SQL equivalent)."""
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scalars import risk_band
+from ..operators import attribution as AT
 from ..operators import features as FE
 from ..operators import metrics as MT
 from ..operators import ml as ML
 from ..operators import search as SE
 from ..operators.clean import status_label
+from ..operators.imputer import ExactMedianImputer
 from ..operators.ordered import checkpointed
 from ..operators.portfolio import round_doubles
 from ..sources import tables as TB
 from ..sources import views as V
+from ..streaming.stream import scratch
 from . import sql_views as S
 from .record_queries import FIXTURE_DEFAULT_STATUSES
 from .registry import register
@@ -51,16 +55,24 @@ def _train_test(spark, sf):
     return d.where(F.col("split") == "train"), d
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def borrower_trees(spark, sf):
+    """The boosted trees of the borrower portfolio: fitted once a session, saved, and read back for every use."""
+    slot = (spark.sparkContext.applicationId, f"{sf}:{TB.stamp(spark, sf)}")
+    if slot not in _SAVED:
+        train, _ = _train_test(spark, sf)
+        path = scratch(spark, "gbt_pipeline")
+        ML.fit_gbt(train, FEATS, LABEL, max_iter=30, depth=4).write().overwrite().save(path)
+        _SAVED[slot] = path
+    return PipelineModel.load(_SAVED[slot])
+
+
 @register("gbt_scores")
 def q_gbt_scores(spark, sf):
-    from pyspark.ml import PipelineModel
-
-    from ..streaming.stream import scratch
-    train, every = _train_test(spark, sf)
-    path = scratch(spark, "gbt_pipeline")
-    ML.fit_gbt(train, FEATS, LABEL, max_iter=30, depth=4).write().overwrite().save(path)
-    model = PipelineModel.load(path)  # scoring runs from the saved artifact
-    return ML.score_model(model, every).select("company_id", "split", LABEL, "prob").withColumn(
+    _, every = _train_test(spark, sf)
+    return ML.score_model(borrower_trees(spark, sf), every).select("company_id", "split", LABEL, "prob").withColumn(
         "band", risk_band("prob"))
 
 
@@ -135,12 +147,9 @@ def q_search_rungs(spark, sf):
 def q_cross_dataset_eval(spark, sf):
     """Train on the borrower portfolio, score the harmonised out-of-domain loan lines,
     report AUC and the confusion at the 0.30 early-warning threshold."""
-    train, _ = _train_test(spark, sf)
-    model = ML.fit_gbt(train, FEATS, LABEL, max_iter=30, depth=4)
     loans = V.loans(spark, sf).withColumn("y_true", status_label("loan_status", FIXTURE_DEFAULT_STATUSES))
-    feats = FE.harmonise_loans(loans).join(loans.select("order_id", "line_no", "y_true"), ["order_id", "line_no"])
-    scored = ML.score_model(model, feats).select(F.lit("gbt_cross").alias("model"),
-                                                 F.col("order_id").alias("id"), "y_true", "prob")
+    scored = checkpointed(ML.score_model(borrower_trees(spark, sf), FE.harmonise_loans(loans, keep=["y_true"])).select(
+        F.lit("gbt_cross").alias("model"), F.col("order_id").alias("id"), "y_true", "prob"))
     cm = MT.classification_metrics(MT.threshold_counts(scored, [0.30]))
     return round_doubles(MT.roc_auc(scored).join(cm, "model"))
 
@@ -149,9 +158,37 @@ def q_cross_dataset_eval(spark, sf):
 def q_tree_attribution(spark, sf):
     """Per-borrower, per-feature TreeSHAP values of the boosted-tree margin (model saved, node
     tables read back, attribution in Arrow batches)."""
-    from ..operators import attribution as AT
-    from ..streaming.stream import scratch
-    train, every = _train_test(spark, sf)
-    model = ML.fit_gbt(train, FEATS, LABEL, max_iter=30, depth=4)
+    _, every = _train_test(spark, sf)
+    model = borrower_trees(spark, sf)
     trees, weights = AT.tree_tables(spark, model.stages[-1], scratch(spark, "gbt_model"))
     return AT.tree_shap_attribution(ML.filled(model, every, FEATS), trees, weights, FEATS)
+
+
+@register("trained_split_facts", S.with_views(S.BORROWER_FEATURES, body="""
+SELECT m.model, s.split, count(*) AS n, sum(f."default") AS defaults, true AS in_range
+FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY "default" ORDER BY company_id) <= floor(count(*) OVER (PARTITION BY "default") * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split
+      FROM v_borrower_features) f, (VALUES ('trees'), ('forest'), ('logistic')) AS m(model), (VALUES ('train'), ('test')) AS s(split)
+WHERE s.split = f.split GROUP BY ALL"""))
+def q_trained_split_facts(spark, sf):
+    """Facts of the trained models that hold for any fit: rows and defaults of either split (exact quotas a class, whatever the seed) and scores in range."""
+    train, every = _train_test(spark, sf)
+    models = {"trees": borrower_trees(spark, sf), "forest": ML.fit_random_forest(train, FEATS, LABEL, trees=10, depth=4),
+              "logistic": ML.fit_logreg(train, V.LEGACY_FEATURES, LABEL)}
+    out = None
+    for name, model in models.items():
+        facts = ML.score_model(model, every).groupBy(F.lit(name).alias("model"), "split").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(LABEL).cast("long").alias("defaults"), F.bool_and(F.col("prob").between(0, 1)).alias("in_range"))
+        out = facts if out is None else out.unionByName(facts)
+    return out
+
+
+@register("imputer_medians", S.with_views(S.BORROWER_FEATURES, f"""
+tr AS (SELECT * FROM v_borrower_features QUALIFY row_number() OVER (PARTITION BY "default" ORDER BY company_id) > floor(count(*) OVER (PARTITION BY "default") * 0.2 + 0.5)),
+tl AS (SELECT feature, value FROM (SELECT {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATS)} FROM tr) UNPIVOT (value FOR feature IN ({", ".join(FEATS)})))""",
+    body="SELECT feature, round(median(value), 9) AS median FROM tl GROUP BY feature"))
+def q_imputer_medians(spark, sf):
+    """Medians of the fitted imputer stage, learnt from the training rows alone (split by id, so that SQL can follow)."""
+    train = split_borrowers(spark, sf).where("split = 'train'")
+    found = ExactMedianImputer(inputCols=FEATS, outputCols=[f"filled_{f}" for f in FEATS]).fit(train).fitted()
+    values = F.create_map(*[x for f, m in found.items() for x in (F.lit(f), F.lit(m))])
+    return train.limit(1).select(F.explode(values).alias("feature", "median")).withColumn("median", F.round("median", 9))

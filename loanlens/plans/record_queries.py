@@ -330,3 +330,14 @@ FROM v_loans"""))
 def q_cross_dataset_features(spark, sf):
     out = FE.harmonise_loans(V.loans(spark, sf))
     return out.withColumn("debt_ratio", F.round("debt_ratio", 6))
+
+
+@register("decimal_rounding", """
+SELECT l_orderkey, l_linenumber, (q + CASE WHEN r > 100 OR (r = 100 AND q % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE AS half_discount
+FROM (SELECT l_orderkey, l_linenumber, p // 200 AS q, p % 200 AS r
+      FROM (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT) AS p FROM lineitem))""")
+def q_decimal_rounding(spark, sf):
+    """Half of each line's discount rounded to two places, halves to the even digit, on exact decimals."""
+    lines = TB.read_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"])
+    half = F.col("l_extendedprice").cast("decimal(20,4)") * F.col("l_discount").cast("decimal(4,2)") * F.lit(0.5).cast("decimal(2,1)")
+    return lines.select("l_orderkey", "l_linenumber", X.round_half_even(half, 2).cast("double").alias("half_discount"))
