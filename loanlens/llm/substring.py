@@ -22,7 +22,8 @@ window once, with its smallest doc_id, and all its places go the way of hot stri
 
 Cases: null and empty texts have no words; a null doc_id ranks above all others; rows with the
 same doc_id do not count against each other; the text becomes its kept words joined by one space; all other
-columns pass through, whatever their names; an empty table gives an empty result.
+columns pass through, whatever their names; an empty table gives an empty result. Ids of a type other than
+integers are numbered in their order. Equal rows share their intervals.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .tables import cut
+from .tables import cut, long_ids
 
 WINDOW = 13
 GRAM = 2
@@ -286,7 +287,7 @@ _OUT_ARROW = [("kind", pa.int32()), ("doc", pa.int64()), ("print", pa.int32()),
               ("d1", pa.int64()), ("d2", pa.int64()), ("raw", pa.int64()), ("data", pa.binary())]
 
 
-def _buckets(emitted: DataFrame, window: int) -> DataFrame:
+def _buckets(emitted: DataFrame, window: int, n_buckets: int) -> DataFrame:
     """kind 0: an interval; 1: places of a hot string, passed on; 2: window limits of a hot string."""
     schema = pa.schema(_OUT_ARROW)
 
@@ -322,7 +323,7 @@ def _buckets(emitted: DataFrame, window: int) -> DataFrame:
         if packed:
             yield from solved(packed)
 
-    return emitted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _OUT)
+    return emitted.repartition(max(1, n_buckets), "bucket").sortWithinPartitions("bucket").mapInArrow(run, _OUT)
 
 
 def _hot_intervals(out: DataFrame, window: int) -> DataFrame:
@@ -343,13 +344,14 @@ def _hot_intervals(out: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc, print, cut array<start, stop>): word intervals whose windows also start in a document with
-    a smaller id. ``print`` is the hash of the row's text, ``doc`` the id (NO_ID for null)."""
+    """(doc, print, cut array<start, stop>) for documents (doc_id long, text): word intervals whose windows also start in a
+    document with a smaller id. ``print`` is the hash of the row's text, ``doc`` the id (NO_ID for null)."""
     keyed = docs.select("doc_id", F.hash("text").alias("_text"), "text")
     levels = plan_levels(keyed, window, hot, bucket_bytes)
-    out = cut(_buckets(_emit(keyed, levels, window, hot), window))
+    out = cut(_buckets(_emit(keyed, levels, window, hot), window, levels[-1].first + levels[-1].buckets))
     found = out.where("kind = 0").select("doc", "print", "start", "stop").unionByName(_hot_intervals(out, window))
-    return found.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "stop")).alias("cut"))
+    # equal rows name the same intervals: each is kept once, also before the shuffle
+    return found.groupBy("doc", "print").agg(F.collect_set(F.struct("start", "stop")).alias("cut"))
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, counts: tuple[str, str] | None = None, hot: int = HOT,
@@ -357,9 +359,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, counts: tuple[str, str]
     """The documents without the repeated words; ``counts`` names two further columns: words before,
     and words removed."""
     columns = docs.columns
-    cuts = repeated_intervals(docs, window, hot, bucket_bytes)
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)],
-                        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash("text").alias("print"))
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)])
+    numbered, _ = long_ids(named, f"_{columns.index('doc_id')}", "_doc")
+    body = F.col(f"_{columns.index('text')}")
+    cuts = repeated_intervals(numbered.select(F.col("_doc").alias("doc_id"), body.alias("text")), window, hot, bucket_bytes)
+    plain = numbered.withColumn("doc", F.coalesce("_doc", F.lit(NO_ID))).withColumn("print", F.hash(body)).drop("_doc")
     joined = plain.join(cuts, ["doc", "print"], "left")
     text = f"_{columns.index('text')}"
     order = [f"_{i}" for i in range(len(columns))]
