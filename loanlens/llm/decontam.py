@@ -37,7 +37,7 @@ SHARD_WORDS = 1 << 20
 _BITS = np.int64(21)
 
 MATCH = "array<struct<item_id: string, doc_word: long, item_word: long, n_words: long>>"
-SCHEMA = f"n_words long, hits array<struct<from: long, to: long>>, items array<string>, matches {MATCH}"
+FOUND = {"hits": "array<struct<from: long, to: long>>", "items": "array<string>", "matches": MATCH}
 
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,17 +242,15 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     n_blocks = max(1, -(-int(size) // block_bytes) * 2) if size > block_bytes else 1
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     block_of = F.pmod(F.xxhash64("item_id", "first"), F.lit(n_blocks))
-    out = None
-    for b in range(n_blocks):
+    used = sorted(r["b"] for r in pieces.select(block_of.alias("b")).distinct().collect()) or [0]  # a number a block
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    for i, b in enumerate(used):
         rows = pieces.where(block_of == b).collect()  # at most about block_bytes
         shared = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["first"] for r in rows], [r["text"] for r in rows]))
-        one = _one_pass(docs, shared, keep, kinds, window)
-        out = one if out is None else out.unionByName(one)
-    if n_blocks > 1:
-        # rows of a document stand in each pass: merge them by the document's own columns
-        out = (out.groupBy(*keep, "n_words", "_text")
-               .agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "items", "matches")], F.count(F.lit(1)).alias("_rows")))
-        out = out.withColumn("_n", F.explode(F.sequence(F.lit(1), (F.col("_rows") / n_blocks).cast("int"))))
+        out = _one_pass(out, shared, keep, kinds, window, i, i < len(used) - 1)
+        if i < len(used) - 1:
+            out = cut(out)  # a pass takes the rows of the pass before with their results: nothing is grouped
+    out = out.select(*[F.col(f"`{c}`") for c in keep], "n_words", *[F.concat(*[f"_{c}_{i}" for i in range(len(used))]).alias(c) for c in FOUND])
     merged = F.aggregate(
         F.array_sort("hits"), F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("reach")),
         lambda a, x: F.struct((a["sum"] + F.greatest(F.lit(0), x["to"] - F.greatest(x["from"], a["reach"]))).alias("sum"),
@@ -261,9 +259,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     return out.select(*keep, "n_words", merged.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "matches")
 
 
-def _one_pass(docs, shared, keep, kinds, window):
-    text_key = "_text"
-    cols = [*keep, text_key]
+def _one_pass(rows: DataFrame, shared, keep, kinds: str, window: int, number: int, carry: bool) -> DataFrame:
+    """The kept columns, the results of earlier passes and of this one; with ``carry`` the text as well."""
+    before = {f"_{c}_{b}": t for b in range(number) for c, t in FOUND.items()}
+    text = {"_text": "string"} if carry else {}
     state = {}
 
     def fn(c, buf, offs):
@@ -271,7 +270,9 @@ def _one_pass(docs, shared, keep, kinds, window):
             state["items"] = TestItems(*shared.value, window)
         return [*c.values(), *_match_block(state["items"], *_tokens(buf, offs))]
 
-    return tb.scan(docs.withColumn(text_key, F.xxhash64("text")), cols, fn, f"{kinds}, {text_key} long, {SCHEMA}")
+    added = {"n_words": "long"} | {f"_{c}_{number}": t for c, t in FOUND.items()}
+    schema = ", ".join([kinds, *(f"{c} {t}" for c, t in (before | text | added).items())])
+    return tb.scan(rows, [*keep, *before, *text], fn, schema, text="_text")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
