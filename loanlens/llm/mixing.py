@@ -1,6 +1,7 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Each document gets a hash-random key (MD5 of its id). Within a source the keys are cut into
+Each document gets a hash-random key (MD5 of its id and of its text's MD5, so rows without an id, or with the
+same one, are spread by their texts). Within a source the keys are cut into
 about sqrt(rows) ranges; range totals are prefix-summed, and a window inside each range completes
 the running sum of words in key order. A source that holds a third of all rows is spread over as
 many tasks as it has ranges. The cut is the source's exact budget: whole epochs first, then documents
@@ -10,8 +11,8 @@ Targets: sources in code-point order (null last) take the weights in turn; a sou
 ``max_epochs`` times its size and its excess goes to the others by weight, until none is above.
 One aggregate over the per-source totals per step; only four scalars reach the driver.
 
-Cases: null text has size 0, a null source is a source of its own; null or repeated ids are ordered by size
-as well, rows equal in both are alike; an empty table gives no rows; if all sizes are 0 nothing is taken.
+Cases: null text has size 0, a null source is a source of its own; rows equal in id and text are alike and stand
+together, those of a large group of them at the cut in any order; very long texts are only counted; extra columns are ignored; an empty table gives no rows; if all sizes are 0 nothing is taken.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, epochs (whole repeats) and
     taken (words taken, repeats counted)."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
     rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")))
     totals = cut(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
     plan = targets(totals, weights, share, max_epochs)

@@ -84,7 +84,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_sql(table: str = "documents", columns: str = "doc_id, size, source_size, target") -> str:
     ctes = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({_SPACE_WORDS}) AS BIGINT) AS size FROM {table}),
+WITH d AS (SELECT doc_id, source, CAST(len({_SPACE_WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS k FROM {table}),
 s AS (SELECT *, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS w
       FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1)),
 o AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS full_before,
@@ -93,7 +93,7 @@ o AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w
 l AS (SELECT min_by((total - full_before) / w_left, 2 * source_size / w) FILTER (WHERE (total - full_before) / w_left * w <= 2 * source_size) AS level FROM o),
 g AS (SELECT source, source_size, least(w * coalesce(level, 0), 2.0::DOUBLE * source_size) AS target FROM s, l),
 b AS (SELECT doc_id, d.source AS source, size, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS e,
-             sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+             sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT {columns},
        CAST(e * size + greatest(0, least(size, CAST(floor(target) AS BIGINT) - e * source_size - before)) AS BIGINT) AS taken FROM b
