@@ -192,10 +192,11 @@ def _canonical_sql(table: str, key: str) -> str:
 
 @_register("op7_license_scan", f"""
 WITH lic(license_id, text) AS (VALUES {_KNOWN}),
-k AS (SELECT DISTINCT license_id, sha256(array_to_string(l, ' ')) AS digest FROM ({_canonical_sql('lic', 'license_id')})),
+k AS (SELECT DISTINCT license_id, l[1] AS first, len(l) AS n, sha256(array_to_string(l, ' ')) AS digest FROM ({_canonical_sql('lic', 'license_id')}) WHERE len(l) > 0),
 d AS ({_canonical_sql('documents', 'doc_id')}),
+r AS (SELECT doc_id, l, l[i] AS x, i FROM d, unnest(range(1, len(l) + 1)) AS t(i)),
 u AS (SELECT doc_id, sha256(array_to_string(l, ' ')) AS digest, true AS whole FROM d WHERE len(l) > 0
-      UNION ALL SELECT doc_id, sha256(x), false FROM d, unnest(l) AS t(x)),
+      UNION ALL SELECT doc_id, sha256(array_to_string(l[i:i + s.n - 1], ' ')), false FROM r JOIN (SELECT DISTINCT first, n FROM k) s ON r.x = s.first WHERE i + s.n - 1 <= len(l)),
 f AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids, count(DISTINCT license_id) AS n, bool_or(whole) AS whole
       FROM u JOIN k USING (digest) GROUP BY 1)
 SELECT doc_id, CASE WHEN len(l) > 0 THEN sha256(array_to_string(l, ' ')) END AS text_digest, coalesce(ids, '') AS license_ids,
