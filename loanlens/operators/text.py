@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,20 +40,11 @@ def note_tone(stress: Column | str, cuts: tuple[float, float] = K.NOTE_TONE_CUTS
             .when(s.isNotNull(), F.lit("healthy")))
 
 
-def anchor_means(df: DataFrame, vec: str, selector: Column) -> list[float]:
-    """Mean of L2-normalised vectors of the selected anchor rows (a dim-sized list)."""
-    norm = df.where(selector).select(F.posexplode(l2_normalise(vec)).alias("i", "x"))
-    rows = norm.groupBy("i").agg(F.avg("x").alias("m")).collect()  # one row per dimension
-    return [m for _, m in sorted((r["i"], r["m"]) for r in rows)]
-
-
 def anchor_pair(df: DataFrame, vec: str, label: str, stress_value, healthy_value) -> tuple[list[float], list[float]]:
-    """Both anchor means in one pass: (label, dimension) -> mean, 2 x dim rows collected."""
-    norm = (df.where(F.col(label).isin(stress_value, healthy_value))
-            .select(label, F.posexplode(l2_normalise(vec)).alias("i", "x")))
-    rows = norm.groupBy(label, "i").agg(F.avg("x").alias("m")).collect()
-    pick = lambda v: [m for _, m in sorted((r["i"], r["m"]) for r in rows if r[label] == v)]
-    return pick(stress_value), pick(healthy_value)
+    """Both anchor means (of L2-normalised vectors) in one pass: a vector aggregate per label, two rows collected."""
+    unit = df.where(F.col(label).isin(stress_value, healthy_value)).select(label, array_to_vector(l2_normalise(vec)).alias("v"))
+    means = {r[label]: r["m"].toArray().tolist() for r in unit.groupBy(label).agg(Summarizer.mean(F.col("v")).alias("m")).collect()}
+    return means.get(stress_value, []), means.get(healthy_value, [])
 
 
 def anchor_contrast(df: DataFrame, vec: str, stress_anchor: Sequence[float], healthy_anchor: Sequence[float],

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import panel as PN
+from ..operators.asof import asof_join
 from ..operators.portfolio import round_doubles, with_risk
 from ..operators.scorecard import fit_zscore, score
+from ..sources import tables as TB
 from ..sources import views as V
 from . import sql_views as S
 from .registry import register
@@ -81,6 +83,34 @@ def q_expanding_features(spark, sf):
             .withColumn("avg_emi_to_revenue", F.round("avg_emi_to_revenue", 6)))
 
 
+_NOTES = """
+pn AS (SELECT doc_id AS note_id, CAST((doc_id % 100 + 1) * 10000 + 1992 + doc_id % 7 AS BIGINT) AS company_id, CAST((doc_id // 7) % 12 + 1 AS INT) AS month, text FROM documents),
+pe AS (SELECT company_id, month, 1 AS seq, CASE WHEN returns_in_month > 0 THEN 'critical' ELSE 'success' END AS type FROM v_panel
+       UNION ALL SELECT company_id, month, 2, CASE WHEN returns_in_month > 0 THEN 'warning' ELSE 'success' END FROM v_panel
+       UNION ALL SELECT company_id, month, 3, 'critical' FROM v_panel WHERE working_capital_usage > 0.85)"""
+
+
+@register("expanding_snapshots", psql("""
+SELECT x.company_id, CAST(x.t AS INT) AS month, 1000000.0::DOUBLE AS outstanding_loan, n.month AS note_month, coalesce(n.text, '') AS officer_note,
+       (SELECT string_agg(type, '>' ORDER BY month, seq) FROM pe WHERE pe.company_id = x.company_id AND pe.month <= x.t) AS journey
+FROM (SELECT DISTINCT p.company_id, r.t FROM v_panel p JOIN range(6, 13) AS r(t) ON p.month <= r.t) x
+LEFT JOIN LATERAL (SELECT month, text FROM pn WHERE pn.company_id = x.company_id AND pn.month <= x.t ORDER BY pn.month DESC, note_id DESC LIMIT 1) n ON true""", _NOTES))
+def q_expanding_snapshots(spark, sf):
+    """Exposure, last officer note and journey of every account at months 6 to 12: the note by an as-of join, the journey as
+    all events to date (three a month and twelve months at most)."""
+    panel = TB.add_defaults(V.panel(spark, sf), {"outstanding_loan": K.UPLOAD_DEFAULTS_MSME["outstanding_loan"]})
+    points = (panel.where("month <= 12").select("company_id", F.col("month").alias("m"), "outstanding_loan")
+              .withColumn("month", F.explode(F.sequence(F.greatest("m", F.lit(6)), F.lit(12), F.lit(1)))))
+    points = points.groupBy("company_id", "month").agg(F.max_by("outstanding_loan", "m").alias("outstanding_loan"))
+    noted = asof_join(points, V.panel_notes(spark, sf), "company_id", "month", ["text"], 3, tie="note_id", found="note_month")
+    events = PN.derive_events(panel, F.col("company_id") % 10000)
+    seen = events.withColumn("t", F.explode(F.sequence(F.greatest("month", F.lit(6)), F.lit(12), F.lit(1))))
+    journey = seen.groupBy("company_id", F.col("t").alias("month")).agg(F.array_sort(F.collect_list(F.struct(F.col("month").alias("at"), "seq", "type"))).alias("j"))
+    return noted.join(journey, ["company_id", "month"], "left").select(
+        "company_id", "month", "outstanding_loan", "note_month", F.coalesce("text", F.lit("")).alias("officer_note"),
+        F.array_join(F.transform("j", lambda e: e["type"]), ">").alias("journey"))
+
+
 @register("running_delays", psql("""
 SELECT company_id, month, CAST(monthly_outflow > monthly_inflow AS INTEGER) AS missed,
        CAST(sum(CAST(monthly_outflow > monthly_inflow AS INTEGER)) OVER (PARTITION BY company_id ORDER BY month

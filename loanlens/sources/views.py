@@ -283,3 +283,10 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
     labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
     return docs.join(labels, "doc_id", "left")
+
+
+def panel_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Officer notes of the panel accounts: a document is a note of one account's month (``note_id``, ``company_id``, ``month``, ``text``)."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    account = ((F.col("doc_id") % 100 + 1) * 10000 + 1992 + F.col("doc_id") % 7).cast("long")
+    return docs.select(F.col("doc_id").alias("note_id"), account.alias("company_id"), (F.floor(F.col("doc_id") / 7) % 12 + 1).cast("int").alias("month"), "text")

@@ -146,3 +146,19 @@ def test_board_after_each_batch(spark):
         for s in "ab":
             want = sorted({(i, p) for g, i, p in seen if g == s and p is not None}, key=lambda x: (-x[1], x[0]))[:4]
             assert got[s] == want
+
+
+@pytest.mark.parametrize("width", [1, 5, 1000])
+def test_asof_join(spark, width):
+    """Against brute force: one key with most rows, ties, keys of one side only, rows without a time."""
+    from loanlens.operators.asof import asof_join
+    rng = random.Random(4)
+    left = [(i, 1 if i % 3 else rng.randint(2, 5), rng.choice([None, *range(-5, 40)])) for i in range(200)]
+    right = [(1 if i % 2 else rng.randint(2, 4), rng.choice([None, *range(-3, 38)]), i, f"v{i}") for i in range(60)] + [(9, 1, 1, "x")]
+    got = asof_join(spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "k int, t int, n int, v string"), "k", "t", ["v"], width, tie="n")
+    want = []
+    for i, k, t in left:
+        before = [(rt, n, v) for rk, rt, n, v in right if rk == k and rt is not None and t is not None and rt <= t]
+        best = max(before, default=(None, None, None))
+        want.append((i, k, t, best[0], best[2]))
+    assert sorted((r["id"], r["k"], r["t"], r["found_at"], r["v"]) for r in got.collect()) == sorted(want)
