@@ -20,7 +20,8 @@
 Cases: null and empty texts, and texts without words, have an empty set, link with nothing and are
 their own component; fewer words than a shingle make one shingle; rows with the same doc_id but
 different texts are judged each by its own text; a null doc_id links with nothing, has a null component
-and is kept; an empty table gives no rows.
+and is kept; an empty table gives no rows. Ids of a type other than integers are numbered in their order first.
+Extra columns are ignored, a text of any length is one set.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .tables import cut
+from .tables import cut, long_ids
 
 SHINGLE = 4
 PERCENT = 80
@@ -178,6 +179,9 @@ def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
                     batch: int = BATCH, miss: float = MISS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, and _text (hash of the text)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs, ids = long_ids(docs.select("doc_id", "text"), "doc_id", "_doc")
+    docs = docs.select(F.col("_doc").alias("doc_id"), "text")
     rows_of = cut(features(docs, size, bands * rows))
     some = rows_of.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # a class is a distinct set, its representative the document with the smallest id
@@ -202,13 +206,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
                     .applyInArrow(_comparer(least, batch, percent), "a long, b long").distinct())
         links = found if links is None else cut(links.unionByName(found))
         label = cut(components(links))
-    ids = classes.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "rep")
+    known = classes.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "rep")
     if label is not None:
-        ids = ids.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("label", "rep"))
+        known = known.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("label", "rep"))
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id"))
-    return (rows_of.drop("sig").join(ids, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
+    judged = (rows_of.drop("sig").join(known, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
             .withColumn("component_id", own).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select("doc_id", "_text", "n_shingles", "component_id", "kept"))
+    for c in ("doc_id", "component_id"):
+        if ids is None:
+            judged = judged.withColumn(c, F.col(c).cast(kind))
+        else:
+            judged = judged.join(ids.toDF("_number", "_id"), F.col(c) == F.col("_number"), "left").withColumn(c, F.col("_id")).drop("_number", "_id")
+    return judged.select("doc_id", "_text", "n_shingles", "component_id", "kept")
 
 
 def _round(todo: DataFrame, links: DataFrame | None, label: DataFrame | None, most: int):
