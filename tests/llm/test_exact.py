@@ -372,3 +372,74 @@ def test_word_spans_do_not_cross_documents():
     assert textbytes.hash_spans(buf, s, e)[0] == textbytes.hash_spans(np.frombuffer(b"xab", np.uint8), np.array([1]), np.array([3]))[0]
     assert hashlib.sha256(b"").hexdigest()
     assert DOCS.fieldNames()[0] == "doc_id"
+
+
+# repeated rows, rows without ids, ids of other types ---------------------------------------------
+def test_labelled_sample_is_bounded(spark):
+    """One id on very many labelled rows gives the driver one row."""
+    from loanlens.llm.labelled import sample
+    docs = spark.range(200_000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, toxic int")
+    got = sample(docs, labels, "toxic", F.lit(True), 2, 1000)
+    assert len(got) == 3 and sorted(y for _, y in got) == [0, 1, 1]
+    assert got == sample(docs.repartition(7), labels, "toxic", F.lit(True), 2, 1000)
+
+
+def test_mixing_spreads_rows_without_ids(spark):
+    """Half of the rows have no id: their keys differ by text, and the budget is met."""
+    docs = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat_ws(" ", F.lit("a b"), "id").alias("text"),
+                                      F.concat(F.lit("s"), F.col("id") % 2).alias("source"), F.lit(1).alias("key"))
+    got = mixing.mix(docs)
+    total = {r["source"]: (r["t"], r["target"]) for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("target")).collect()}
+    assert got.count() == 20_000 and all(abs(t - target) <= 1 for t, target in total.values())
+    assert got.where("taken > 2 * size").count() == 0
+
+
+def test_substring_equal_rows(spark):
+    """Very many equal rows keep one set of intervals, and all rows come back."""
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.range(5000).select(F.lit(7).alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+    cuts = substring.repeated_intervals(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).collect()
+    assert [r["doc"] for r in cuts] == [7] and len(cuts[0]["cut"]) <= 28  # at most one for each window
+    got = substring.drop_repeats(docs, counts=("n_words", "n_removed"))
+    assert {(r["doc_id"], r["n_removed"]): r["count"] for r in got.groupBy("doc_id", "n_removed").count().collect()} == {(7, 40): 5000, (1, 0): 1}
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_other_id_types(spark, docs, kind):
+    some = docs.where("doc_id is not null")
+    own = F.col("doc_id").cast("int") if kind == "int" else F.format_string("%08d", "doc_id")
+    as_text = lambda x: x if x is None or kind == "int" else f"{x:08d}"
+    base = {(as_text(r["doc_id"]), r["text"]) for r in substring.drop_repeats(some.select("doc_id", "text")).collect()}
+    other = some.select(own.alias("doc_id"), "text")
+    assert {tuple(r) for r in substring.drop_repeats(other).collect()} == base
+    near = {(as_text(r["doc_id"]), r["_text"], r["n_shingles"], as_text(r["component_id"]), r["kept"]) for r in neardup.near_duplicates(some).collect()}
+    got = neardup.near_duplicates(other)
+    assert {(r["doc_id"], r["_text"], r["n_shingles"], r["component_id"], r["kept"]) for r in got.collect()} == near
+    assert got.schema["component_id"].dataType == other.schema["doc_id"].dataType
+
+
+def test_decontamination_of_equal_rows_in_blocks(spark):
+    """Many equal rows, some without an id, pass through several blocks of items without being grouped."""
+    item = " ".join(f"q{i}" for i in range(30))
+    docs = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.lit(5)).alias("doc_id"), F.lit("x y " + item).alias("text"))
+    bench = spark.createDataFrame([(i, item if i == 3 else f"other item number {i} " * 5) for i in range(12)], "item_id long, text string")
+    got = decontam.find_matches(docs, bench, block_bytes=200)
+    assert [tuple(r) for r in got.groupBy("n_hit", "items").count().collect()] == [(30, ["3"], 4000)]
+
+
+def test_license_runs_inside_other_text(spark):
+    """Titles, notices and whole licences inside other text are found by runs of lines; a cut-off run is not."""
+    text = {n: t for n, t in licenses.LICENSES}
+    mit = [t for n, t in licenses.LICENSES if n == "MIT"][-1]
+    apache = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"""
+    notice = '# Copyright 2020 Somebody\n#\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\nimport os'
+    rows = [(1, apache), (2, notice), (3, "intro\n\n" + mit + "\n\nmore"), (4, "\n".join(mit.split("\n")[:6])), (5, text["BSD-3-Clause"].replace("\n", " \n * ")),
+            (6, "one\n" + text["MPL-2.0"] + "\ntwo\n" + text["Zlib"]), (7, text["Unlicense"].replace("\n", " ")), (8, None), (9, "Apache License\nnothing else")]
+    got = {r["doc_id"]: (r["license_ids"], r["whole"]) for r in licenses.scan(make(spark, rows)).collect()}
+    assert got == {1: ("Apache-2.0", False), 2: ("Apache-2.0", False), 3: ("MIT", False), 4: ("", False), 5: ("BSD-3-Clause", True), 6: ("MPL-2.0,Zlib", False),
+                   7: ("Unlicense", True), 8: ("", False), 9: ("", False)}

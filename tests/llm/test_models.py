@@ -113,3 +113,72 @@ def test_labelled_sample_passes_over_long_texts(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, y long")
     got = sample(docs, labels, "y", F.lit(True), 2, 100)
     assert got == [("short", 0), ("short", 1), ("short", 0), ("short", 1)]
+
+
+# plain versions, loop by loop -------------------------------------------------------------------
+TEXTS = ["", "one", "a few plain words", "The Quick  brown fox\n\tjumps over " * 15, "é ünïcode wörds and 日本語 " * 20, "x" * 900, "word " * 33 + "last"]
+
+
+def plain_quality(p, text):
+    """One text's score, byte by byte and chunk by chunk."""
+    b = text.encode()
+    starts, at = [], 0
+    while True:
+        starts.append(max(0, min(at, len(b) - quality_model.CHUNK)))
+        if at + quality_model.CHUNK >= len(b):
+            break
+        at += quality_model.STEP
+    units = []
+    for s in starts:
+        chunk = b[s:s + quality_model.CHUNK]
+        x = [0.0] * quality_model.FILTERS
+        for i in range(len(chunk) - quality_model.WIDTH + 1):
+            for f in range(quality_model.FILTERS):
+                x[f] = max(x[f], sum(float(p["f"][j][chunk[i + j]][f]) for j in range(quality_model.WIDTH)))
+        x.append(np.log1p(len(chunk)) / 6)
+        units.append([np.tanh(sum(x[i] * float(p["m"][i][u]) for i in range(len(x))) + float(p["m0"][u])) for u in range(quality_model.UNITS)])
+    n = quality_model.UNITS
+    pooled = [sum(u[k] for u in units) / len(units) for k in range(n)] + [max(u[k] for u in units) for k in range(n)]
+    return 1 / (1 + np.exp(-(sum(pooled[k] * float(p["o"][k]) for k in range(2 * n)) + float(p["o0"][0]))))
+
+
+def test_quality_forward_equals_plain_version():
+    p = quality_model.init(3)
+    texts = TEXTS + ["ab " * 171, "ab " * 172 + "c", "long text " * 130]
+    got = quality_model.Scorer(p)(*textbytes.text_buffer(pa.array(texts, pa.large_string())))
+    assert np.allclose(got, [plain_quality(p, t) for t in texts], atol=1e-5)
+
+
+def plain_toxicity(p, x):
+    """Highest window probability of one text, given the input vector of each of its words."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    h, best = toxicity.HIDDEN, 0.0
+    starts, at = [], 0
+    while len(x):
+        starts.append(max(0, min(at, len(x) - toxicity.WINDOW)))
+        if at + toxicity.WINDOW >= len(x):
+            break
+        at += toxicity.STEP
+    for s in starts:
+        window = x[s:s + toxicity.WINDOW]
+        states = {}
+        for d, order in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
+            state = np.zeros(h)
+            for t in order:
+                inp = window[t] @ p[f"w_{d}"] + p[f"b_{d}"]
+                r, z = sig(inp[:h] + state @ p[f"g_{d}"][:, :h]), sig(inp[h:2 * h] + state @ p[f"g_{d}"][:, h:])
+                state = (1 - z) * state + z * np.tanh(inp[2 * h:] + (r * state) @ p[f"c_{d}"])
+                states[d, t] = state
+        both = [np.concatenate([states["f", t], states["b", t]]) for t in range(len(window))]
+        e = np.exp([np.tanh(b @ p["a"] + p["a0"]) @ p["v"] for b in both])
+        best = max(best, float(sig(sum(w * b for w, b in zip(e / e.sum(), both)) @ p["o"] + p["o0"][0])))
+    return best
+
+
+def test_toxicity_forward_equals_plain_version(toxic_model):
+    texts = TEXTS + [r[0] for r in labelled("toxic", (4, 2))[1][:12]]
+    got = score(toxic_model, texts)
+    for t, s in zip(texts, got):
+        w = toxicity.Words(*textbytes.text_buffer(pa.array([t], pa.large_string())))
+        x = toxicity._inputs(toxic_model, w)[w.ids].astype(np.float64) if len(w.ids) else np.zeros((0, 1))
+        assert abs(plain_toxicity(toxic_model, x) - s) < 1e-4
