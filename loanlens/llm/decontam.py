@@ -18,7 +18,9 @@ one pass: the size is checked and a larger test set means more passes, not a lar
 
 Cases: null and empty texts have no words; an item of fewer words than a window (but not none) is
 one window; null item ids count as no item id and are searched but listed as the empty string;
-repeated item ids count once; an empty test set leaves every document clean.
+repeated item ids count once; an empty test set leaves every document clean. Repeated rows are judged row by row, also over
+several passes; kept columns pass through under their own names, others are ignored; a document longer than a block
+is a block of its own; no documents give no rows.
 """
 
 from __future__ import annotations

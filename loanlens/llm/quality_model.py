@@ -10,7 +10,8 @@ Fitting (bounded: ``PER_CLASS`` labelled texts of either label, of at most ``MAX
 on the cross-entropy, full back-propagation, fixed seed. The model is a few MB and is broadcast.
 
 Cases: a null or empty text is one chunk without bytes, scored by the network's bias; without labelled rows of both
-labels every score is 0.5; repeated rows score alike; extra columns are ignored.
+labels every score is 0.5; repeated rows score alike; extra columns are ignored; a very long text has more chunks, all
+of them read; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ hash occurs twice, the (hash, position) pairs are sorted and the places of equal
 folded into a covered length. This takes n log n steps for a text of n words, however repetitive.
 
 Cases: null text counts as empty; empty texts have no words and fail the base rule; other
-columns, whatever their names, pass through untouched; repeated rows are judged alike.
+columns, whatever their names, pass through untouched; repeated rows are judged alike; a text of any length is
+judged whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

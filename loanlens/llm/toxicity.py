@@ -13,7 +13,8 @@ embedding column. Adam, full back-propagation through time, fixed seed. The mode
 is broadcast.
 
 Cases: null and empty texts and texts without words score 0; without labelled rows of both labels
-the untrained model scores 0 throughout; repeated rows score alike; extra columns are ignored.
+the untrained model scores 0 throughout; repeated rows score alike; extra columns are ignored; a very long text has more
+windows, all of them scored; an empty table gives no rows.
 """
 
 from __future__ import annotations
