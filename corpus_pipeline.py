@@ -1,5 +1,10 @@
 """Training-corpus pipeline: each stage's result is written as Parquet and read as the next one's
-documents. All stages but the last return the columns of documents."""
+documents. All stages but the last return the columns of documents.
+
+Cases, in every stage: rows with null ids, sources or languages stay rows of their own; null and empty texts fail the quality rules and go
+in the first stage (a later stage keeps them, as they hold no line, shingle or benchmark window to go by); repeated rows
+are judged alike, and near-dedup keeps one of them; texts of any length are read whole; further columns pass through
+all stages but the last; an empty table gives no rows."""
 
 from __future__ import annotations
 
