@@ -39,7 +39,7 @@ def score(p, texts):
 
 def test_toxicity_held_out(toxic_model):
     rows = labelled("toxic", (4, 2))[1]
-    assert auc(score(toxic_model, [r[0] for r in rows]), np.array([r[1] for r in rows])) > 0.75
+    assert auc(score(toxic_model, [r[0] for r in rows]), np.array([r[1] for r in rows])) > 0.88
 
 
 def test_toxicity_reads_whole_texts(toxic_model):
