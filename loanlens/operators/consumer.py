@@ -168,10 +168,17 @@ def driver_sentence(driver: Column) -> Column:
 
 
 def top_drivers(drivers: Column | str, k: int = K.DRIVERS_EXPLAIN) -> Column:
-    """The ``k`` drivers of largest absolute impact with a sentence (ties by feature name): no shuffle."""
+    """The ``k`` drivers of largest absolute impact with a sentence (ties by feature name): no shuffle. Sentences are made for the
+    first ``k`` alone; only where one of these has none, for all that may have one."""
     d = F.col(drivers) if isinstance(drivers, str) else drivers
-    told = F.filter(F.transform(d, lambda x: F.struct((-F.round(F.abs(x["impact"]), 12)).alias("order"), x["feature"].alias("feature"), x["value"].alias("value"),
-                                                      x["impact"].alias("impact"), driver_sentence(x).alias("narrative"))),
-                    lambda x: F.coalesce(x["narrative"], F.lit("")) != "")
-    return F.transform(F.slice(F.array_sort(told), 1, k), lambda x, i: F.struct((i + 1).alias("rank"), x["feature"].alias("feature"), x["value"].alias("value"),
-                                                                                   x["impact"].alias("impact"), x["narrative"].alias("narrative")))
+    mine = F.filter(d, lambda x: x["level"].isNull() | F.coalesce(x["value"] > 0.5, F.lit(False)))  # other levels have no sentence
+    ranked = F.array_sort(F.transform(mine, lambda x: F.struct((-F.round(F.abs(x["impact"]), 12)).alias("order"), x["feature"].alias("feature"), x["value"].alias("value"),
+                                                               x["impact"].alias("impact"), x["column"].alias("column"), x["level"].alias("level"))))
+    said = lambda a: F.transform(a, lambda x: F.struct(x["feature"].alias("feature"), x["value"].alias("value"), x["impact"].alias("impact"),
+                                                       driver_sentence(x).alias("narrative")))
+    told = lambda x: F.coalesce(x["narrative"], F.lit("")) != ""
+    # bound once each: the ranking, then the first sentences
+    bound = F.transform(F.array(ranked), lambda r: F.struct(r.alias("r"), said(F.slice(r, 1, k)).alias("head")))
+    rows = F.get(F.transform(bound, lambda b: F.when(F.forall(b["head"], told), b["head"]).otherwise(F.slice(F.filter(said(b["r"]), told), 1, k))), F.lit(0))
+    return F.transform(rows, lambda x, i: F.struct((i + 1).alias("rank"), x["feature"].alias("feature"), x["value"].alias("value"),
+                                                   x["impact"].alias("impact"), x["narrative"].alias("narrative")))

@@ -153,3 +153,37 @@ def test_histogram_intercept_within_its_bound(spark):
         fit = fit_intercept_histogram(df, {"x": (0.0, 1.0)}, {"x": 1.0}, target_rate=target, lo=-200.0, hi=200.0)
         rate = score(df, {"x": (0.0, 1.0)}, {"x": 1.0}, fit.intercept).agg(F.avg("pd")).first()[0]
         assert abs(rate - target) <= fit.error
+
+
+def test_shapley_shared_by_answers_equals_row_by_row():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    tree = (np.array([0, 1, 2, -1, -1, -1, 0, -1, -1]), np.array([0.5, 0.2, 0.7, 0, 0, 0, 0.8, 0, 0]), np.array([1, 3, 5, -1, -1, -1, 7, -1, -1]),
+            np.array([2, 4, 6, -1, -1, -1, 8, -1, -1]), np.arange(9.0), np.array([100.0, 60, 40, 25, 35, 10, 30, 12, 18]))
+    x = np.vstack([rng.random((500, 3)), [[np.nan, 0.1, 0.9]]])
+    want, got, calls = np.zeros(x.shape), np.zeros(x.shape), []
+    AT._tree_shap(x, tree, 0.3, want)
+    plain = AT._tree_shap
+    try:
+        AT._tree_shap = lambda rows, *rest: (calls.append(len(rows)), plain(rows, *rest))
+        AT._tree_shap_shared(x, tree, 0.3, got)
+    finally:
+        AT._tree_shap = plain
+    assert np.allclose(want, got, atol=1e-14) and calls[0] <= 16  # four splits, so sixteen ways to answer them at most
+
+
+def test_drivers_without_a_sentence_make_room(spark):
+    """A driver among the first k without a sentence (a value that is missing) leaves its place to the next."""
+    rows = [(1, [("a", "x", None, None, 9.0), ("b", "y", None, 1.0, -2.0), ("l", "loan_intent", "MEDICAL", 0.0, 8.0), ("m", "loan_intent", "VENTURE", 1.0, 1.0), ("c", "z", None, 3.0, 0.5)])]
+    df = spark.createDataFrame(rows, "id int, drivers array<struct<feature: string, column: string, level: string, value: double, impact: double>>")
+    top = df.select(CO.top_drivers("drivers", 2).alias("t")).first()["t"]
+    assert [(d["rank"], d["feature"]) for d in top] == [(1, "b"), (2, "m")] and all(d["narrative"] for d in top)
+
+
+def test_training_rows_are_dealt_out_by_number(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("y"))
+    assert ML.training_frame(df, "y").rdd.getNumPartitions() <= 8
+    monkeypatch.setattr(ML, "TRAINING_ROWS", 50)
+    parts = ML.training_frame(df, "y")
+    sizes = [len(p) for p in parts.rdd.glom().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 1000 and max(sizes) <= 100
