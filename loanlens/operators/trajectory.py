@@ -46,8 +46,33 @@ def trajectory(scenarios: DataFrame, scorer: Callable[[], Column], key: str = "c
     return scenarios.select(key, "month_idx", "month", scorer().alias("pd")).withColumn("band", risk_band("pd"))
 
 
+def folded(months: DataFrame, key: str, name: str) -> DataFrame:
+    """key, ``name``: neighbouring rows of a key become one row with their other columns as an array of structs. The months of
+    a borrower are made side by side, so a shuffle moves one row a borrower instead of twelve; where the end of a batch
+    parts them there are two, which whoever groups by the key puts together."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    own = [c for c in months.columns if c != key]
+
+    def run(batches):
+        for batch in batches:
+            n, keys = batch.num_rows, batch.column(0)
+            if not n:
+                continue
+            same = pc.fill_null(pc.equal(keys[1:], keys[:-1]), False).to_numpy(zero_copy_only=False) if n > 1 else np.zeros(0, dtype=bool)
+            at = np.concatenate([[0], np.flatnonzero(~same) + 1, [n]]).astype(np.int32)
+            rows = pa.StructArray.from_arrays(batch.columns[1:], names=own)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at[:-1])), pa.ListArray.from_arrays(pa.array(at), rows)], names=[key, name])
+
+    kinds = {f.name: f.dataType.simpleString() for f in months.schema.fields}
+    row = ", ".join(f"{c}: {kinds[c]}" for c in own)
+    return months.select(key, *own).mapInArrow(run, f"{key} {kinds[key]}, {name} array<struct<{row}>>")
+
+
 def migration(traj: DataFrame, current: DataFrame, key: str = "company_id") -> DataFrame:
-    """Band at scenario month 0 versus the band of the current PD."""
-    start = traj.groupBy(key).agg(F.min_by("band", "month_idx").alias("start_band"))
+    """Band at scenario month 0 versus the band of the current PD: of ``traj`` only the rows of that month are scored and grouped."""
+    start = traj.where(F.col("month_idx") == 0).groupBy(key).agg(F.min_by("band", "month_idx").alias("start_band"))
     return (current.select(key, risk_band("pd").alias("end_band")).join(start, key)
             .withColumn("migrated", F.col("start_band") != F.col("end_band")))
