@@ -8,6 +8,7 @@ value ranges (no single-partition window even when one class holds most rows).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -23,6 +24,9 @@ from .imputer import ExactMedianImputer
 from .ordered import running_totals
 
 
+TRAINING_ROWS = 250_000  # a task of a fit: some 80 MB of binned rows with twenty features
+
+
 def order_key(df: DataFrame, key: str, seed: int | None) -> DataFrame:
     """Deterministic rank key: a seeded 64-bit hash of the id, or without a seed a numeric id itself."""
     k = F.xxhash64(F.col(key), F.lit(0 if seed is None else seed))
@@ -77,9 +81,13 @@ def with_class_weight(df: DataFrame, label: str) -> DataFrame:
 
 def training_frame(train: DataFrame, label: str) -> DataFrame:
     """Iterative fits read their input many times: write it once (class weights included) to the
-    checkpoint folder so every pass reads files instead of recomputing the upstream plan."""
+    checkpoint folder so every pass reads files instead of recomputing the upstream plan. No task of the
+    fit gets much more than ``TRAINING_ROWS`` rows."""
     from .ordered import checkpointed
-    return checkpointed(with_class_weight(train, label))
+    frame = checkpointed(with_class_weight(train, label))
+    # a file's rows take many times its bytes in the memory of the fit, so files are dealt out by rows
+    parts = math.ceil(frame.count() / TRAINING_ROWS)
+    return frame.repartition(parts) if parts > frame.rdd.getNumPartitions() else frame
 
 
 def fit_gbt(train: DataFrame, features: Sequence[str], label: str, max_iter: int = 50, depth: int = 5,
