@@ -147,7 +147,8 @@ def q_search_rungs(spark, sf):
 def q_cross_dataset_eval(spark, sf):
     """Train on the borrower portfolio, score the harmonised out-of-domain loan lines,
     report AUC and the confusion at the 0.30 early-warning threshold."""
-    loans = V.loans(spark, sf).withColumn("y_true", status_label("loan_status", FIXTURE_DEFAULT_STATUSES))
+    # joined once: the median of the harmonised columns and the scores both read them
+    loans = checkpointed(V.loans(spark, sf).withColumn("y_true", status_label("loan_status", FIXTURE_DEFAULT_STATUSES)))
     scored = checkpointed(ML.score_model(borrower_trees(spark, sf), FE.harmonise_loans(loans, keep=["y_true"])).select(
         F.lit("gbt_cross").alias("model"), F.col("order_id").alias("id"), "y_true", "prob"))
     cm = MT.classification_metrics(MT.threshold_counts(scored, [0.30]))
