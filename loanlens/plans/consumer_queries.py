@@ -140,16 +140,19 @@ def q_consumer_trajectory_check(spark, sf):
     """Facts of ``consumer_trajectory`` that hold for any trained model: twelve months in order, every PD the one
     the spark.ml stages give the altered row, bands by the cuts, migration from the first month's band to the current one."""
     model = scorer(spark, sf)
-    rows = checkpointed(TR.consumer_scenarios(consumer(spark, sf)))
-    key = ["loan_id", "month_idx"]
-    theirs = model.reference_score(rows).select(*key, F.col("pd").alias("pd2"))
-    months = model.score(rows).join(theirs, key).groupBy("loan_id").agg(
-        F.count(F.lit(1)).cast("int").alias("months"), F.array_sort(F.collect_list(F.struct("month_idx", "month"))).alias("m"),  # twelve at most
-        F.max(F.abs(F.col("pd") - F.col("pd2"))).alias("off"), F.bool_and(F.col("band") == risk_band("pd2")).alias("same_band"),
-        F.min_by("pd", "month_idx").alias("first"))
+    ours = model.score(TR.consumer_scenarios(consumer(spark, sf))).drop("margin", "prob").withColumnsRenamed({"pd": "ours", "band": "ours_band"})
+    both = model.reference_score(ours).select("loan_id", "month_idx", "month", F.col("ours").alias("pd"), F.col("ours_band").alias("band"), F.col("pd").alias("pd2"))
+    each = TR.folded(both, "loan_id", "part").groupBy("loan_id").agg(F.flatten(F.collect_list("part")).alias("m"))  # twelve months an application
+    # rows that share a loan_id are compared with each other as well, month by month
+    crossed = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y["month_idx"] == x["month_idx"]), lambda y: x.withField("pd2", y["pd2"]))))
+    pairs = each.withColumn("m", F.when(F.size("m") > TR.MONTHS, crossed).otherwise(F.col("m")))
+    months = pairs.select("loan_id", F.size("m").alias("months"), F.array_sort(F.transform("m", lambda x: F.struct(x["month_idx"], x["month"]))).alias("in_turn"),
+                          F.array_max(F.transform("m", lambda x: F.abs(x["pd"] - x["pd2"]))).alias("off"),
+                          F.forall("m", lambda x: F.coalesce(x["band"] == risk_band(x["pd2"]), F.lit(True))).alias("same_band"),
+                          F.array_min(F.transform("m", lambda x: F.struct(x["month_idx"].alias("month_idx"), x["pd"].alias("pd"))))["pd"].alias("first"))
     now = model.reference_score(consumer(spark, sf)).select("loan_id", F.col("pd").alias("now"))
     ours = q_consumer_migration(spark, sf)
-    order = F.transform("m", lambda x: x["month"]) == F.array(*[F.lit(x) for x in K.SCENARIO_MONTHS])
+    order = F.transform("in_turn", lambda x: x["month"]) == F.array(*[F.lit(x) for x in K.SCENARIO_MONTHS])
     return (months.join(now, "loan_id").join(ours, "loan_id")
             .select("loan_id", "months", order.alias("in_order"), (F.col("off") < AGREE).alias("same_pd"), "same_band",
                     ((F.col("start_band") == risk_band("first")) & (F.col("end_band") == risk_band("now"))).alias("migrated_as_banded")))
