@@ -186,11 +186,13 @@ def q_consumer_attribution_check(spark, sf):
     chosen = lambda c: F.size(F.filter("drivers", lambda x: (x["column"] == c) & (x["value"] > 0.5)))
     levels = [chosen(c) for c in CO.CATEGORICAL]
     margin = model.pipeline.transform(rows).select("loan_id", vector_to_array("rawPrediction")[1].alias("margin"))
-    return found.join(margin, "loan_id").select(
-        "loan_id", F.size("columns").alias("features"),
-        ((F.abs(F.col("base") + total("drivers") - F.col("margin")) < AGREE) & (F.abs(F.col("base") + total("columns") - F.col("margin")) < AGREE)).alias("additive"),
-        F.greatest(*levels).between(0, 1).alias("one_level_each"))
+    return facts.join(margin, "loan_id").select(
+        "loan_id", "features", ((F.abs(F.col("by_slot") - F.col("margin")) < AGREE) & (F.abs(F.col("by_column") - F.col("margin")) < AGREE)).alias("additive"),
+        "one_level_each")
 
+    # an application's arrays become four values before its rows are dealt out by the key
+    facts = found.select("loan_id", F.size("columns").alias("features"), (F.col("base") + total("drivers")).alias("by_slot"),
+                         (F.col("base") + total("columns")).alias("by_column"), F.greatest(*levels).between(0, 1).alias("one_level_each"))
 
 @register("consumer_drivers")
 def q_consumer_drivers(spark, sf):
