@@ -33,8 +33,13 @@ def stressed(spark, sf):
     return TX.lexicon_stress(V.notes(spark, sf), "text")
 
 
+_TABLES = ["orders", "customer", "nation", "region", "documents", "labels"]
+
+
 def consumer(spark, sf):
-    return CO.with_helpers(CO.with_stress(V.applications(spark, sf), stressed(spark, sf)))
+    """Applications with the stress of their note, joined and written once a session: models and scenarios read them many times."""
+    return TB.materialise(spark, f"consumer:{sf}:{TB.stamp(spark, sf, _TABLES)}",
+                          lambda: CO.with_helpers(CO.with_stress(V.applications(spark, sf), stressed(spark, sf))))
 
 
 _STRESS = f"""
@@ -76,7 +81,8 @@ def q_encoded_names(spark, sf):
 
 
 def _split(spark, sf):
-    return checkpointed(ML.stratified_split(consumer(spark, sf), LABEL, "loan_id", 0.2, seed=42))
+    """The applications with their split, written once a session."""
+    return TB.materialise(spark, f"consumer_split:{sf}:{TB.stamp(spark, sf, _TABLES)}", lambda: ML.stratified_split(consumer(spark, sf), LABEL, "loan_id", 0.2, seed=42))
 
 
 _BUNDLES: dict[tuple[str, str], str] = {}
@@ -85,7 +91,7 @@ _BUNDLES: dict[tuple[str, str], str] = {}
 def scorer(spark, sf) -> CO.Scorer:
     """The consumer model of this session: trained once on the session's tables, published as a versioned bundle, read
     back for every use. The trees learn from 80 % of the training rows, the isotonic map from the rest."""
-    slot = (spark.sparkContext.applicationId, f"{sf}:{TB.stamp(spark, sf, ['orders', 'customer', 'nation', 'region', 'documents'])}")
+    slot = (spark.sparkContext.applicationId, f"{sf}:{TB.stamp(spark, sf, _TABLES)}")
     if slot not in _BUNDLES:
         inner = ML.stratified_split(_split(spark, sf).where("split = 'train'").drop("split"), LABEL, "loan_id", 0.2, seed=43)
         model = CO.fit(inner.where("split = 'train'"))
@@ -116,7 +122,7 @@ AGREE = 1e-9
 SELECT loan_id, true AS same_prob, true AS same_pd, true AS in_range FROM v_applications"""))
 def q_compiled_scores(spark, sf):
     """The compiled model against the fitted spark.ml stages, application by application."""
-    model, rows = scorer(spark, sf), checkpointed(consumer(spark, sf))
+    model, rows = scorer(spark, sf), consumer(spark, sf)
     ours = model.score(rows).select("loan_id", "prob", "pd")
     theirs = model.reference_score(rows).select("loan_id", F.col("prob").alias("prob2"), F.col("pd").alias("pd2"))
     return ours.join(theirs, "loan_id").select("loan_id", (F.abs(F.col("prob") - F.col("prob2")) < AGREE).alias("same_prob"),
@@ -179,7 +185,7 @@ SELECT loan_id, 12 AS features, true AS additive, true AS one_level_each FROM v_
 def q_consumer_attribution_check(spark, sf):
     """Additivity of the attribution: base and impacts, by slot and by raw column, add up to the spark.ml margin, and
     no category has more than one level set."""
-    model, rows = scorer(spark, sf), checkpointed(consumer(spark, sf))
+    model, rows = scorer(spark, sf), consumer(spark, sf)
     columns = [*CO.NUMERIC, CO.TEXT, *CO.CATEGORICAL]
     found = model.impacts(rows, "loan_id").withColumn("columns", CO.by_column("drivers", columns))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x["impact"])
