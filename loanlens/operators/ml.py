@@ -24,7 +24,7 @@ from .imputer import ExactMedianImputer
 from .ordered import running_totals
 
 
-TRAINING_ROWS = 250_000  # a task of a fit: some 80 MB of binned rows with twenty features
+TRAINING_ROWS = 250_000  # a task of a fit: some 110 MB of cached rows with the consumer model's features
 
 
 def order_key(df: DataFrame, key: str, seed: int | None) -> DataFrame:
