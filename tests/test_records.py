@@ -66,6 +66,12 @@ def test_gather(spark):
     assert got == {1: ("a", [(1, "x"), (2, "y")], []), 2: ("b", [], [(0.5,)]), 3: (None, [], [(None,)])}
 
 
+def test_gather_keeps_a_value_of_every_base_row(spark):
+    base = spark.createDataFrame([(1, "b", 5), (1, "a", 5), (2, None, 6), (None, "c", 7), (None, "c", 7)], "k long, name string, n int")
+    got = {r["k"]: (r["n"], r["names"], len(r["many"])) for r in RC.gather(base, {"many": base.select("k", "n")}, "k", {"names": "name"}).collect()}
+    assert got == {1: (5, ["a", "b"], 2), 2: (6, [], 1), None: (7, ["c", "c"], 2)}
+
+
 def test_latest_rows(spark):
     df = spark.createDataFrame([(i % 2, i) for i in range(20)], "o int, t int")
     got = sorted(tuple(r) for r in RC.latest_rows(df, "o", ["t"], 3).collect())

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from loanlens.functions import constants as K
+from loanlens.operators import records as RC
 from loanlens.operators import trajectory as TR
 from loanlens.plans import consumer_queries as CQ
 from loanlens.plans import detail_queries as DQ
@@ -43,6 +44,30 @@ def test_record_has_twelve_months_in_turn(spark):
         assert [x["month_idx"] for x in r["timeline"]] == list(range(12)) and [x["month"] for x in r["timeline"]] == list(K.SCENARIO_MONTHS)
 
 
+def test_record_moves_a_note_once_an_applicant(spark, monkeypatch):
+    """Where no applicants share an id, no note goes through the grouping of applications."""
+    gather, seen = RC.gather, {}
+    monkeypatch.setattr(RC, "gather", lambda base, parts, *a, **b: seen.update(parts) or gather(base, parts, *a, **b))
+    d = DQ.consumer_detail(spark, SF)
+    assert d.where(F.size("note") == 1).count() > 0
+    assert seen["parts"].count() > 0 and seen["note"].count() == 0
+
+
+def test_record_has_the_notes_of_all_applicants_of_an_id(spark, monkeypatch):
+    pairs = [(1, 10), (1, 11), (2, 10), (2, 10), (3, None), (None, 10), (None, 11), (4, 11), (4, None), (5, 12), (6, 11), (7, 13), (7, 14), (7, 13), (8, 12), (8, 10)]
+    texts = [(10, "b"), (10, "a"), (11, None), (13, ""), (14, "c"), (99, "z"), (None, "y")]
+    real = CQ.consumer(spark, SF)
+    mine = [{**r.asDict(), "loan_id": loan, "company_id": company} for r, (loan, company) in zip(real.orderBy("loan_id").limit(len(pairs)).collect(), pairs)]
+    monkeypatch.setattr(DQ, "consumer", lambda *_: spark.createDataFrame([tuple(r[c] for c in real.columns) for r in mine], real.schema))
+    monkeypatch.setattr(DQ, "_notes", lambda *_: spark.createDataFrame([(c, t, 0.5) for c, t in texts], "company_id long, text string, stress_index double"))
+    got = DQ.consumer_detail(spark, SF).select("loan_id", "note", F.size("timeline").alias("months")).collect()
+    want = {loan: [t for o, c in pairs if o == loan and c is not None for d, t in texts if d == c] for loan, _ in pairs}
+    assert len(got) == len(want)
+    for r in got:
+        assert [x["text"] for x in r["note"]] == sorted(want[r["loan_id"]], key=lambda t: (t is not None, t or "")), r
+        assert r["months"] == 12 * sum(loan == r["loan_id"] for loan, _ in pairs)
+
+
 def test_folded_puts_neighbours_together(spark):
     rows = [(k, m) for k in (7, 7, 3, None, None, 9) for m in range(4)]
     df = spark.createDataFrame(rows, "k long, m int").coalesce(1)
