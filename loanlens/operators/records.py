@@ -21,16 +21,17 @@ from .scorecard import zscore
 SHOWN = 50  # latest events of a record; ``journey.journey_to_date`` reads all
 
 
-def gather(base: DataFrame, parts: Mapping[str, DataFrame], key: str, every: Mapping[str, str] | None = None) -> DataFrame:
+def gather(base: DataFrame, parts: Mapping[str, DataFrame], key: str, every: Mapping[str, str] | None = None, tasks: int = 0) -> DataFrame:
     """``base`` (one row a key) with one array column for each part: the part's rows of that key as
     structs, in the order of their fields. Rows of keys that ``base`` lacks are left out. Where ``base`` repeats a key one of its
-    rows stays; ``every`` (new name: column of ``base``) keeps a column's known values of all of them, in order."""
+    rows stays; ``every`` (new name: column of ``base``) keeps a column's known values of all of them, in order. With ``tasks`` the
+    rows are first dealt out to so many: where a key has few rows, grouping before the shuffle sorts them for nothing, and
+    many small rows after it, put together by their packed size, may not fit a task's memory."""
     own, every = [c for c in base.columns if c != key], dict(every or {})
     tagged = [base.select(key, F.struct(*own).alias("_base"))]
     tagged += [part.select(key, F.struct(*[c for c in part.columns if c != key]).alias(name)) for name, part in parts.items()]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    # dealt out first: a task has next to nothing of a key to put together before that, and would sort all its rows for it
-    grouped = union.repartition(key).groupBy(key).agg(
+    grouped = (union.repartition(tasks, key) if tasks else union).groupBy(key).agg(
         F.first("_base", ignorenulls=True).alias("_base"), *(F.array_sort(F.collect_list(n)).alias(n) for n in parts),
         *(F.array_sort(F.collect_list(F.col("_base")[c])).alias(n) for n, c in every.items()))
     return grouped.where(F.col("_base").isNotNull()).select(key, "_base.*", *parts, *every)
